@@ -1,15 +1,17 @@
-"""Identifier to asset resolution and the registry views.
-
-Resolution runs on the *distinct* identifiers, so its cost follows the number of addresses rather than the
-number of events, and joins back by equality.
-"""
+"""Identifier to asset resolution and the registry views."""
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplewatch.functions import net
 from ripplewatch.functions.lookup import ladder
-from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, broadcast_if_small, cut_by_key
+from ripplewatch.functions.partitions import (
+    BROADCAST_ROWS,
+    MAX_ROWS_PER_TASK,
+    broadcast_if_small,
+    cut_by_key,
+    cut_lineage,
+)
 
 NEAREST = 5
 _HOST = r"^10\.0\.1\.(\d+)$"
@@ -38,66 +40,93 @@ def nearest_hosts(registry: DataFrame, reach: int = NEAREST) -> DataFrame:
     )
 
 
-def resolve_identifiers(identifiers: DataFrame, registry: DataFrame) -> DataFrame:
-    """One row per identifier: asset, criticality, confidence, is_known.
+def _is_small(registry: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    return registry.limit(max_rows + 1).count() <= max_rows
+
+
+def _lookup(df: DataFrame, column: str, registry: DataFrame, prefix: str, small: bool) -> DataFrame:
+    """Add ``<prefix>_asset, _criticality, _confidence, _is_known`` for the identifier in ``column``.
 
-    Priority: exact registration, account prefix, nearest host, generated ``Unresolved_*`` name.
-    ``identifiers`` needs a column ``identifier``.
+    Priority: exact registration, account prefix, nearest host, generated ``Unresolved_*`` name. ``small`` says
+    the registry was counted and may be broadcast (the nearest-host table has at most 11 rows per registration).
     """
-    trimmed = identifiers.withColumn("_id", F.trim("identifier"))
-    account = F.when(F.col("_id").rlike(r"^C\d+$"), "__customer__").when(
-        F.col("_id").rlike(r"^M\d+$"), "__merchant__"
-    )
+    hint = F.broadcast if small else (lambda table: table)
     exact = registry.groupBy("identifier").agg(F.max_by(F.struct("name", "criticality"), "position").alias("r"))
-    exact = broadcast_if_small(exact.select(F.col("identifier").alias("_id"), F.col("r.name").alias("exact_name"),
-                                            F.col("r.criticality").alias("exact_criticality")))
-    by_account = exact.select(
-        F.col("_id").alias("_account"),
-        F.col("exact_name").alias("account_name"),
-        F.col("exact_criticality").alias("account_criticality"),
-    ).filter(F.col("_account").isin("__customer__", "__merchant__"))
+    exact = exact.select(F.col("identifier").alias("_id"), F.col("r").alias("_exact"))
+    # Two rows at most.
+    accounts = exact.filter(F.col("_id").isin("__customer__", "__merchant__")).select(
+        F.col("_id").alias("_account"), F.col("_exact").alias("_by_account")
+    )
+    near = nearest_hosts(registry).select(
+        F.col("host").alias("_host"),
+        F.struct(F.col("near_name").alias("name"), F.col("near_criticality").alias("criticality")).alias("_near"),
+        F.col("distance").alias("_distance"),
+    )
+    text = F.trim(F.col(column))
+    account = F.when(text.rlike(r"^C\d+$"), "__customer__").when(text.rlike(r"^M\d+$"), "__merchant__")
     rows = (
-        trimmed.withColumns({"_account": account, "host": _host(F.col("_id"))})
-        .join(exact, "_id", "left")
-        .join(F.broadcast(by_account), "_account", "left")
-        .join(broadcast_if_small(nearest_hosts(registry)), "host", "left")
+        df.withColumns({"_id": text, "_account": account, "_host": _host(text)})
+        .join(hint(exact), "_id", "left")
+        .join(F.broadcast(accounts), "_account", "left")
+        .join(hint(near), "_host", "left")
     )
-    is_exact, is_account = F.col("exact_name").isNotNull(), F.col("account_name").isNotNull()
-    is_near = F.col("near_name").isNotNull()
-    return rows.select(
+    found = F.coalesce("_exact", "_by_account", "_near")
+    known = F.col("_exact").isNotNull() | F.col("_by_account").isNotNull()
+    return rows.withColumns(
+        {
+            f"{prefix}_asset": F.coalesce(found["name"], F.concat(F.lit("Unresolved_"), net.sanitise(F.col("_id")))),
+            f"{prefix}_criticality": F.coalesce(found["criticality"], F.lit(0.1)),
+            f"{prefix}_confidence": ladder(
+                (F.col("_exact").isNotNull(), F.lit(1.0)),
+                (F.col("_by_account").isNotNull(), F.lit(0.85)),
+                (F.col("_near").isNotNull(), F.greatest(F.lit(0.4), 1.0 - F.col("_distance") * 0.12)),
+                default=F.lit(0.3),
+            ),
+            f"{prefix}_is_known": known,
+        }
+    ).drop("_id", "_account", "_host", "_exact", "_by_account", "_near", "_distance")
+
+
+def resolve_identifiers(identifiers: DataFrame, registry: DataFrame) -> DataFrame:
+    """One row per identifier: asset, criticality, confidence, is_known. Needs a column ``identifier``."""
+    out = _lookup(identifiers.select("identifier"), "identifier", registry, "_r", _is_small(registry))
+    return out.select(
         "identifier",
-        F.coalesce(
-            "exact_name", "account_name", "near_name", F.concat(F.lit("Unresolved_"), net.sanitise(F.col("_id")))
-        ).alias("asset"),
-        F.coalesce("exact_criticality", "account_criticality", "near_criticality", F.lit(0.1)).alias("criticality"),
-        ladder(
-            (is_exact, F.lit(1.0)),
-            (is_account, F.lit(0.85)),
-            (is_near, F.greatest(F.lit(0.4), 1.0 - F.col("distance") * 0.12)),
-            default=F.lit(0.3),
-        ).alias("confidence"),
-        (is_exact | is_account).alias("is_known"),
+        *[F.col(f"_r_{c}").alias(c) for c in ("asset", "criticality", "confidence", "is_known")],
     )
 
 
 def resolve_assets(
-    flows: DataFrame, registry: DataFrame, *, source: str = "source_ip", destination: str = "destination_ip"
+    flows: DataFrame,
+    registry: DataFrame,
+    *,
+    source: str = "source_ip",
+    destination: str = "destination_ip",
+    max_registry: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Add source/destination asset and criticality, and the mean resolution confidence. Never drops rows."""
-    ids = flows.select(F.col(source).alias("identifier")).union(flows.select(F.col(destination))).distinct()
-    table = broadcast_if_small(resolve_identifiers(ids, registry))
-
-    def side(key: str, prefix: str) -> DataFrame:
-        return table.select(
-            F.col("identifier").alias(key),
-            F.col("asset").alias(f"{prefix}_asset"),
-            F.col("criticality").alias(f"{prefix}_criticality"),
-            F.col("confidence").alias(f"_{prefix}_confidence"),
-        )
+    """Add source/destination asset and criticality, and the mean resolution confidence. Never drops rows.
 
-    out = flows.join(side(source, "source"), source, "left").join(side(destination, "destination"), destination, "left")
-    mean = (F.col("_source_confidence") + F.col("_destination_confidence")) / 2
-    return out.withColumn("resolution_confidence", mean).drop("_source_confidence", "_destination_confidence")
+    With a registry small enough to broadcast, the flows are resolved in place and are not shuffled. A larger
+    one is resolved on the distinct identifiers, which are then joined back.
+    """
+    if _is_small(registry, max_registry):
+        out = flows
+        for column, prefix in ((source, "source"), (destination, "destination")):
+            out = _lookup(out, column, registry, prefix, True)
+    else:
+        ids = flows.select(F.col(source).alias("identifier")).union(flows.select(F.col(destination))).distinct()
+        table = cut_lineage(resolve_identifiers(ids, registry))
+        out = flows
+        for column, prefix in ((source, "source"), (destination, "destination")):
+            side = table.select(
+                F.col("identifier").alias(column),
+                *[F.col(c).alias(f"{prefix}_{c}") for c in ("asset", "criticality", "confidence", "is_known")],
+            )
+            out = out.join(broadcast_if_small(side), column, "left")
+    mean = (F.col("source_confidence") + F.col("destination_confidence")) / 2
+    return out.withColumn("resolution_confidence", mean).drop(
+        "source_confidence", "destination_confidence", "source_is_known", "destination_is_known"
+    )
 
 
 def display_names(df: DataFrame, assets: DataFrame, *, ip: str, name: str) -> DataFrame:
