@@ -1 +1,170 @@
-"""Queries."""
+"""Queries over detector evaluation."""
+
+from pyspark.sql import functions as F
+
+from ripplewatch.operators import evaluate as E
+from ripplewatch.operators import supervised
+from ripplewatch.plans.catalog import query
+from ripplewatch.plans.ordered import labelled
+
+_COUNTS = """count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp,
+   count(*) FILTER (truth AND NOT pred) AS fn, count(*) FILTER (NOT truth AND NOT pred) AS tn"""
+_LABELLED = "(SELECT user_id, event_id, ts, is_attack AS truth, value > 60 AS pred, value FROM flows)"
+
+
+@query(
+    "confusion_metrics",
+    f"""SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+        SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall FROM (SELECT {_COUNTS} FROM {_LABELLED}))""",
+)
+def confusion_metrics(t):
+    return E.confusion(labelled(t))
+
+
+@query(
+    "confusion_by_asset",
+    f"""SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+        SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall
+        FROM (SELECT user_id, {_COUNTS} FROM {_LABELLED} GROUP BY user_id))""",
+)
+def confusion_by_asset(t):
+    return E.confusion(labelled(t), by=["user_id"])
+
+
+@query(
+    "roc_auc",
+    """SELECT sum(p)::BIGINT AS positives, sum(n - p)::BIGINT AS negatives,
+       (sum(p * (upto - n + (n + 1) / 2.0::DOUBLE)) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) AS auc FROM (
+         SELECT p, n, sum(n) OVER (ORDER BY value) AS upto FROM (
+           SELECT value, count(*) AS n, count(*) FILTER (is_attack) AS p FROM flows GROUP BY value))""",
+)
+def roc_auc(t):
+    return E.roc_auc(t.flows, score="value", truth="is_attack")
+
+
+@query(
+    "segment_metrics",
+    f"""SELECT segments, detected, tp, fp, precision, recall, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1 FROM (
+         SELECT segments, detected, tp, fp, tp / (tp + fp) AS precision, detected / segments AS recall
+         FROM (SELECT count(*) AS segments, count(*) FILTER (detected) AS detected FROM label_runs) CROSS JOIN (SELECT {_COUNTS} FROM {_LABELLED}))""",
+)
+def segment_metrics(t):
+    return E.segment_metrics(labelled(t), ["ts", "event_id"], keys=["user_id"])
+
+
+@query(
+    "split_guard",
+    "SELECT avg(is_attack::INT) AS positive_rate FROM flows",
+)
+def split_guard(t):
+    rate = E.guard_split(t.flows, truth="is_attack")
+    return t.flows.agg(F.avg(F.col("is_attack").cast("int")).alias("positive_rate")).filter(F.lit(0.01 <= rate <= 0.99))
+
+
+@query(
+    "benign_train_split",
+    """SELECT event_id, CASE WHEN NOT is_attack AND row_number() OVER (PARTITION BY is_attack ORDER BY md5('42|' || event_id))
+         <= floor(count(*) OVER (PARTITION BY is_attack) * 0.6::DOUBLE) THEN 'train' ELSE 'eval' END AS part FROM flows""",
+)
+def benign_train_split(t):
+    rows = t.flows.select("event_id", F.col("is_attack").alias("truth"))
+    return E.benign_split(rows, fraction=0.6).select("event_id", "part")
+
+
+@query(
+    "stratified_sample",
+    """SELECT event_id FROM (SELECT event_id, is_attack, row_number() OVER (PARTITION BY is_attack ORDER BY md5('42|' || event_id)) AS r,
+         least(count(*) FILTER (is_attack) OVER (), 1000) AS p FROM flows) WHERE r <= CASE WHEN is_attack THEN p ELSE 2000 - p END""",
+)
+def stratified_sample(t):
+    from ripplewatch.sources.flows import stratified_sample as sample
+
+    return sample(t.flows, positive=F.col("is_attack"), limit=2000, key=["event_id"]).select("event_id")
+
+
+@query(
+    "file_quota_sample",
+    """SELECT event_id FROM (SELECT event_id, is_attack, n, p, row_number() OVER (PARTITION BY protocol, is_attack ORDER BY md5('42|' || event_id)) AS r
+         FROM (SELECT *, count(*) OVER (PARTITION BY protocol) AS n, count(*) FILTER (is_attack) OVER (PARTITION BY protocol) AS p FROM flows))
+       WHERE n <= 1500 OR r <= CASE WHEN is_attack THEN least(p, 750) ELSE 1500 - least(p, 750) END""",
+)
+def file_quota_sample(t):
+    from ripplewatch.sources.flows import per_file_quota
+
+    return per_file_quota(
+        t.flows, limit=3000, key=["event_id"], file="protocol", positive=F.col("is_attack")
+    ).select("event_id")
+
+
+@query(
+    "rare_positive_top_up",
+    """SELECT event_id FROM (SELECT event_id, is_honeytoken_use, row_number() OVER (ORDER BY ts, event_id) AS r FROM flows)
+       WHERE CASE WHEN (SELECT count(*) FROM (SELECT is_honeytoken_use FROM flows ORDER BY ts, event_id LIMIT 2000) WHERE is_honeytoken_use) >= 50
+       THEN r <= 2000 ELSE r <= 1500 OR (is_honeytoken_use AND r BETWEEN 3000 AND 5999) END""",
+)
+def rare_positive_top_up(t):
+    from ripplewatch.sources.payments import top_up_rare
+
+    rows = t.flows.select("event_id", "ts", "is_honeytoken_use")
+    out = top_up_rare(rows, limit=2000, positive=F.col("is_honeytoken_use"), order=["ts", "event_id"], skip=3000)
+    return out.select("event_id")
+
+
+@query(
+    "positives_only",
+    "SELECT o_orderkey FROM payments WHERE isFraud = 1",
+)
+def positives_only(t):
+    from ripplewatch.plans.preparation import payments
+    from ripplewatch.sources.payments import only_fraud
+
+    return only_fraud(payments(t)).select("o_orderkey")
+
+
+_LEADS = """SELECT source_ip, a AS recon_detected_at, b AS exfil_detected_at, (epoch_us(b) - epoch_us(a)) / 1e6 AS lead_time_seconds FROM (
+   SELECT source_ip, min(ts) FILTER (is_honeytoken_use) AS a, min(ts) FILTER (is_anomaly AND value > 300) AS b FROM flows GROUP BY source_ip)
+   WHERE a IS NOT NULL AND b IS NOT NULL"""
+
+
+def _leads(t):
+    late = t.flows.filter(F.col("is_anomaly") & (F.col("value") > 300))
+    return E.lead_times(t.flows.filter("is_honeytoken_use"), late, key="source_ip")
+
+
+@query("lead_times", _LEADS)
+def lead_times(t):
+    return _leads(t)
+
+
+@query(
+    "lead_time_summary",
+    f"""SELECT count(*) AS n_attacks, count(*) FILTER (lead_time_seconds > 0) AS n_tripwire_earlier, round(avg(lead_time_seconds), 6) AS mean_lead_time_seconds
+        FROM ({_LEADS})""",
+)
+def lead_time_summary(t):
+    out = E.lead_time_summary(_leads(t))
+    return out.withColumn("mean_lead_time_seconds", F.round("mean_lead_time_seconds", 6))
+
+
+@query("detector_benchmark")
+def detector_benchmark(t):
+    """Z-score, median deviation and isolation forest, point-wise."""
+    return E.evaluate(t.flows.withColumn("truth", F.col("is_attack")))
+
+
+@query("detector_benchmark_segments")
+def detector_benchmark_segments(t):
+    return E.evaluate(t.flows.withColumn("truth", F.col("is_attack")), ("zscore", "mad"), scoring="segment")
+
+
+@query("supervised_scores")
+def supervised_scores(t):
+    """Class-balanced random forest fitted and scored on every flow."""
+    rows = t.flows.drop("supervised_score")
+    model = supervised.fit_supervised(rows, trees=20, depth=6)
+    return supervised.score_supervised(rows, model).select("event_id", "supervised_score", "supervised_fired")
+
+
+@query("supervised_temporal_evaluation")
+def supervised_temporal_evaluation(t):
+    return supervised.temporal_split_evaluate(t.flows.drop("supervised_score"), trees=20, depth=6)
