@@ -4,7 +4,7 @@ from collections.abc import Iterable
 from functools import reduce
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,13 @@ def ladder(*steps, default=None) -> Column:
     for condition, value in steps:
         out = F.when(condition, value) if out is None else out.when(condition, value)
     return out.otherwise(default)
+
+
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that later steps may filter on or reference many times.
+
+    ``inline`` makes them outputs of one operator, evaluated once per row. Plain ``withColumn`` would let the
+    optimizer copy a large expression into every filter and projection that mentions it.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(row)))

@@ -1,36 +1,19 @@
 """Address, port and identifier expressions."""
 
-import ipaddress
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ripplewatch import inventory as inv
-from ripplewatch.functions.lookup import any_of, map_lookup
+from ripplewatch.functions.lookup import map_lookup
 
 _QUAD = r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
 # Four octets of 0..255 without leading zeros
 _IPV4 = r"^((25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 
 
-def ipv4_number(ip: Column) -> Column:
-    """A well-formed dotted quad as a number, else null."""
-    octet = F.split(F.when(ip.rlike(_IPV4), ip), r"\.")
-    number = F.lit(0).cast("bigint")
-    for i in range(4):
-        number = number * 256 + octet[i].cast("bigint")
-    return number
-
-
 def is_external(ip: Column) -> Column:
     """True for a well-formed IPv4 address outside every private or reserved block."""
-    number = ipv4_number(ip)
-    blocks = []
-    for address, length in inv.RESERVED_BLOCKS:
-        net = ipaddress.ip_network(f"{address}/{length}")
-        blocks.append(number.between(int(net.network_address), int(net.broadcast_address)))
-    exception = number.isin([int(ipaddress.ip_address(a)) for a in inv.RESERVED_EXCEPTIONS])
-    return F.coalesce(~any_of(blocks) | exception, F.lit(False))
+    return F.coalesce(ip.rlike(_IPV4) & ~ip.rlike(inv.RESERVED_PATTERN), F.lit(False))
 
 
 def subnet24(ip: Column) -> Column:

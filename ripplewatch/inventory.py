@@ -192,24 +192,11 @@ HIGH_RISK_PAYMENTS = ("TRANSFER", "CASH_OUT")
 ADMIN_PORTS = (21, 23, 135, 139, 445, 3389)
 DATABASE_PORTS = (1433, 1521, 3306, 5432, 5984, 6379, 9200, 11211, 27017)
 
-# --- fixed values: IPv4 blocks that never count as external (network, prefix length) ---
-RESERVED_BLOCKS = (
-    ("0.0.0.0", 8),
-    ("10.0.0.0", 8),
-    ("127.0.0.0", 8),
-    ("169.254.0.0", 16),
-    ("172.16.0.0", 12),
-    ("192.0.0.0", 24),
-    ("192.0.0.170", 31),
-    ("192.0.2.0", 24),
-    ("192.168.0.0", 16),
-    ("198.18.0.0", 15),
-    ("198.51.100.0", 24),
-    ("203.0.113.0", 24),
-    ("240.0.0.0", 4),
-    ("255.255.255.255", 32),
+# --- fixed values: IPv4 blocks that never count as external ---
+RESERVED_PATTERN = (
+    r"^((0|10|127)\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.0\.0\.(?!(9|10)$)|192\.0\.2\.|192\.168\."
+    r"|198\.1[89]\.|198\.51\.100\.|203\.0\.113\.|2[45][0-9]\.)"
 )
-RESERVED_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
 
 # --- fixed values: replay scenarios (name, label, whether the decoy flag is set) ---
 SCENARIOS = {

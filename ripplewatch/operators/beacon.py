@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
-from ripplewatch.functions.lookup import micros_between
+from ripplewatch.functions.lookup import computed, micros_between
 from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, with_lookback
 
 PAIR = ("source_ip", "destination_ip")
@@ -54,8 +54,8 @@ def beaconing_verdicts(
     )
     enough = F.col("usable_intervals") >= min_samples - 1
     cv = F.when(enough & (F.col("_mean") > 0), F.col("_dev") / F.col("_mean"))
-    scored = rows.filter(~F.col("_halo")).withColumns(
-        {"beacon_cv": cv, "mean_interval_sec": F.when(enough, F.col("_mean"))}
+    scored = computed(
+        rows.filter(~F.col("_halo")), beacon_cv=cv, mean_interval_sec=F.when(enough, F.col("_mean"))
     )
     fired = F.coalesce(F.col("beacon_cv") <= max_cv, F.lit(False))
     depth = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.0 - F.col("beacon_cv") / max_cv))
@@ -70,7 +70,8 @@ def beaconing_verdicts(
     return scored.withColumns(
         {
             "beacon_fired": fired,
-            "beacon_score": F.coalesce(depth, F.lit(0.0)),
+            # greatest() and least() skip nulls, so abstention is spelled out.
+            "beacon_score": F.when(F.col("beacon_cv").isNull(), 0.0).otherwise(depth),
             "beacon_summary": summary,
         }
     ).drop("_gap", "_usable", "_mean", "_dev", "_halo", "_slice")

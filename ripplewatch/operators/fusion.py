@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
-from ripplewatch.functions.lookup import ladder, noisy_or
+from ripplewatch.functions.lookup import computed, ladder
 
 ORDER = ("volumetric", "tripwire", "supervised", "signature", "beaconing", "drift")
 
@@ -56,7 +56,7 @@ def collect_verdicts(df: DataFrame, *, volumetric=True, supervised=True, signatu
         parts.append(verdict("beaconing", F.col("beacon_fired"), F.col("beacon_score"), F.col("beacon_cv")))
     if drift:
         parts.append(verdict("drift", F.col("drift_fired"), F.col("drift_score"), F.col("drift_decision")))
-    return df.withColumn("verdicts", F.array(*parts))
+    return computed(df, verdicts=F.array(*parts))
 
 
 def check_bands(suspicious: float, likely: float, confirmed: float) -> None:
@@ -75,33 +75,41 @@ def fuse(
     """Add ``threat_score``, ``band``, ``fused_action``, ``fired_detectors``, ``n_fired`` and ``has_confirmed``.
 
     A fired confirmed verdict decides alone. Otherwise the fired verdicts combine as 1 - prod(1 - score * trust).
-    A projection over the array: no explode, no shuffle.
+    One fold over the array: no shuffle.
     """
     check_bands(suspicious, likely, confirmed)
-    fired = F.filter(F.col(verdicts), lambda v: v["fired"])
-    out = df.withColumn("_fired", fired)
-    sure = F.exists("_fired", lambda v: v["certainty"] == "confirmed")
-    heuristic = noisy_or(F.transform("_fired", lambda v: v["calibrated_score"] * v["reliability"]))
-    out = out.withColumn("has_confirmed", F.coalesce(sure, F.lit(False)))
-    out = out.withColumn(
-        "threat_score",
-        F.when(F.col("has_confirmed"), 1.0).when(F.size("_fired") > 0, heuristic).otherwise(0.0),
+    start = F.struct(
+        F.lit(1.0).alias("survival"), F.lit(False).alias("sure"), F.array().cast("array<string>").alias("names")
     )
+
+    def add(acc: Column, v: Column) -> Column:
+        nxt = F.struct(
+            (acc["survival"] * (1.0 - v["calibrated_score"] * v["reliability"])).alias("survival"),
+            (acc["sure"] | (v["certainty"] == "confirmed")).alias("sure"),
+            F.array_append(acc["names"], v["detector"]).alias("names"),
+        )
+        return F.when(v["fired"], nxt).otherwise(acc)
+
+    out = computed(df, _fused=F.aggregate(verdicts, start, add))
+    sure, names = F.col("_fused.sure"), F.col("_fused.names")
+    out = computed(
+        out,
+        has_confirmed=sure,
+        threat_score=F.when(sure, 1.0).otherwise(1.0 - F.col("_fused.survival")),
+        fired_detectors=names,
+        n_fired=F.size(names),
+    ).drop("_fused")
     s = F.col("threat_score")
-    band = ladder(
-        (F.col("has_confirmed") | (s >= confirmed), F.lit("confirmed")),
-        (s >= likely, F.lit("likely")),
-        (s >= suspicious, F.lit("suspicious")),
-        default=F.lit("benign"),
+    return computed(
+        out,
+        band=ladder(
+            (F.col("has_confirmed") | (s >= confirmed), F.lit("confirmed")),
+            (s >= likely, F.lit("likely")),
+            (s >= suspicious, F.lit("suspicious")),
+            default=F.lit("benign"),
+        ),
+        fused_action=F.when(F.col("has_confirmed") | (s >= likely), "alert").otherwise("observe"),
     )
-    return out.withColumns(
-        {
-            "band": band,
-            "fused_action": F.when(F.col("has_confirmed") | (s >= likely), "alert").otherwise("observe"),
-            "fired_detectors": F.transform("_fired", lambda v: v["detector"]),
-            "n_fired": F.size("_fired"),
-        }
-    ).drop("_fired")
 
 
 def rationale(df: DataFrame, *, verdicts: str = "verdicts") -> DataFrame:

@@ -168,12 +168,13 @@ def first_wins(df: DataFrame, keys, order) -> DataFrame:
 
 def in_effect(
     left: DataFrame, snapshots: DataFrame, *, key: str, ts: str, tie: str, columns,
-    max_age_sec: float | None = None, max_rows: int = MAX_ROWS_PER_TASK,
+    max_age_sec: float | None = None, ordered_ties: bool = False, max_rows: int = MAX_ROWS_PER_TASK,
 ) -> DataFrame:
     """As-of join: for each left row the last snapshot of its key with snapshot time <= row time.
 
     Union, order, and carry forward the last snapshot. Keys too hot for one task are cut along time, with the
-    last snapshot of each earlier slice carried into the next. ``max_age_sec`` drops older snapshots.
+    last snapshot of each earlier slice carried into the next. ``max_age_sec`` drops older snapshots. With
+    ``ordered_ties`` a snapshot at the row's own timestamp counts only if its tie value is not larger.
     """
     packed = F.struct(F.col(ts).alias("snapshot_ts"), *columns)
     left_cols = [c for c in left.columns if c != key]
@@ -181,11 +182,13 @@ def in_effect(
         key, F.col(ts).alias("_ts"), F.lit(1).alias("_side"), F.col(tie).cast("bigint").alias("_tie"), F.struct(*left_cols).alias("_row")
     )
     b = snapshots.select(
-        key, F.col(ts).alias("_ts"), F.lit(0).alias("_side"), F.lit(None).cast("bigint").alias("_tie"), packed.alias("_snap")
+        key, F.col(ts).alias("_ts"), F.lit(0).alias("_side"),
+        (F.col(tie).cast("bigint") if ordered_ties else F.lit(None).cast("bigint")).alias("_tie"), packed.alias("_snap"),
     )
+    sequence = ["_ts", "_tie", "_side"] if ordered_ties else ["_ts", "_side", "_tie"]
     both = a.unionByName(b, allowMissingColumns=True)
-    cut, sliced = cut_by_key(both, [key], ["_ts", "_side", "_tie"], max_rows)
-    order = Window.partitionBy(key, "_slice").orderBy("_ts", "_side", "_tie")
+    cut, sliced = cut_by_key(both, [key], sequence, max_rows)
+    order = Window.partitionBy(key, "_slice").orderBy(*sequence)
     local = cut.withColumn("_local", F.last("_snap", ignorenulls=True).over(order))
     out = local.filter(F.col("_side") == 1).withColumn("_found", F.col("_local"))
     if sliced:

@@ -31,6 +31,7 @@ def top_sources(df: DataFrame, *, flag: str = "is_anomaly", by: str = "source_as
 def score_histogram(df: DataFrame, *, score: str, flag: str = "is_anomaly", bins: int = 20) -> DataFrame:
     """Counts of a [0, 1] score per equal-width bin and flag."""
     at = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col(score) * bins)))
+    df = df.filter(F.col(score).isNotNull())
     return df.groupBy(at.cast("int").alias("bin"), F.col(flag).alias("flagged")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -1,6 +1,7 @@
 """Declarative signature rules over flow metadata."""
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from ripplewatch import inventory as inv
 from ripplewatch import settings as S
 from ripplewatch.functions import net
+from ripplewatch.functions.lookup import any_of, computed
 
 
 @dataclass(frozen=True)
@@ -56,11 +58,14 @@ def signature_verdicts(flows: DataFrame, rules: list[Rule] | None = None) -> Dat
                                          F.lit(r.confidence).alias("confidence")))
             for r in rules
         ]))
-    m = F.col("matched_rules")
-    return flows.withColumn("matched_rules", matched).withColumns(
-        {
-            "signature_fired": F.size(m) > 0,
-            "signature_score": F.coalesce(F.array_max(F.transform(m, lambda r: r["confidence"])), F.lit(0.0)),
-            "signature_raw": F.size(m).cast("double"),
-        }
+    # The score and the count come straight from the predicates, so they stay inside generated code.
+    hits = [F.coalesce(r.predicate, F.lit(False)) for r in rules]
+    scores = [F.when(h, r.confidence).otherwise(0.0) for h, r in zip(hits, rules)]
+    count = reduce(lambda a, b: a + b, [h.cast("int") for h in hits], F.lit(0))
+    return computed(
+        flows,
+        matched_rules=matched,
+        signature_fired=any_of(hits) if hits else F.lit(False),
+        signature_score=F.greatest(*scores, F.lit(0.0)) if scores else F.lit(0.0),
+        signature_raw=count.cast("double"),
     )

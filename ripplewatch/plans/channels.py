@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ripplewatch import settings as S
 from ripplewatch.functions.quantile import exact_quantiles
 from ripplewatch.operators import beacon, fusion, iforest, signature, volumetric
+from ripplewatch.operators.resolve import resolve_assets
 from ripplewatch.plans.catalog import cte, query
 
 _FEATURES = S.FEATURES
@@ -177,7 +178,7 @@ def pair_intervals(t):
 @query(
     "beaconing",
     """SELECT event_id, n AS usable_intervals, round(cv, 6) AS beacon_cv, coalesce(cv <= 0.25, FALSE) AS beacon_fired,
-       round(coalesce(greatest(0, least(1, 1 - cv / 0.25)), 0), 6) AS beacon_score FROM beacons""",
+       round(CASE WHEN cv IS NULL THEN 0 ELSE greatest(0, 1 - cv / 0.25) END, 6) AS beacon_score FROM beacons""",
 )
 def beaconing(t):
     out = beacon.beaconing_verdicts(t.flows, **BEACON)
@@ -188,18 +189,20 @@ def beaconing(t):
 
 
 def fused(t, *, source=None):
-    """Resolved flows with every exactly checkable channel, fused."""
-    rows = volumetric.tripwire(t.resolved if source is None else source)
-    rows = volumetric.two_channel_confidence(rows)
-    rows = signature.signature_verdicts(rows)
-    rows = beacon.beaconing_verdicts(rows, **BEACON)
+    """Flows with every exactly checkable channel, fused and resolved.
+
+    The one shuffle (by pair, for beaconing) comes first, on the bare flow columns; the rest is narrow.
+    """
+    rows = beacon.beaconing_verdicts(t.flows if source is None else source, **BEACON)
+    rows = volumetric.two_channel_confidence(volumetric.tripwire(rows))
+    rows = signature.signature_verdicts(resolve_assets(rows, t.registry))
     return fusion.fuse(fusion.collect_verdicts(rows, drift=False))
 
 
 cte(
     "channel_rows",
     """SELECT r.*, r.is_honeytoken_use AS tripwire_fired, s.score AS signature_score, s.n AS signature_n, b.cv AS beacon_cv,
-      coalesce(b.cv <= 0.25, FALSE) AS beacon_fired, coalesce(greatest(0, least(1, 1 - b.cv / 0.25)), 0) AS beacon_score,
+      coalesce(b.cv <= 0.25, FALSE) AS beacon_fired, CASE WHEN b.cv IS NULL THEN 0 ELSE greatest(0, 1 - b.cv / 0.25) END AS beacon_score,
       CASE WHEN is_anomaly AND is_honeytoken_use THEN 0.99 WHEN is_honeytoken_use THEN 0.9 WHEN is_anomaly THEN 0.5 ELSE 0.0 END::DOUBLE AS confidence
       FROM resolved r JOIN signatures s USING (event_id) JOIN (SELECT event_id, cv FROM beacons) b USING (event_id)""",
 )
