@@ -85,7 +85,8 @@ def accepted_rows(
     rows = df.select(
         F.col(key), F.col(ts), epoch_micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"), rank.alias("_level")
     )
-    rows = rows.groupBy(key, ts, "_us", "_level").agg(F.min("_tie").alias("_tie"))
+    # Read at least twice below; a few narrow columns, so cheaper to store than to derive again.
+    rows = cut_lineage(rows.groupBy(key, ts, "_us", "_level").agg(F.min("_tie").alias("_tie")))
     largest = largest_group(rows, [key])
     order = ["_us", "_tie"]
 
@@ -106,7 +107,7 @@ def _by_cells(rows: DataFrame, key: str, ttl, largest: int, max_group: int, orde
     span = rows.agg((F.max("_us") - F.min("_us")).alias("s")).first()["s"]
     # Long enough that entry rows are a small share, short enough that a cell of the hottest key fits a task.
     width = int(max(8 * reach, span // max(1, 4 * largest // max_group)))
-    cells = cut_lineage(rows.withColumn("_cell", F.floor(F.col("_us") / width)))
+    cells = rows.withColumn("_cell", F.floor(F.col("_us") / width))
     key_type = rows.schema[key].dataType.simpleString()
 
     def summarise(group: pd.DataFrame) -> pd.DataFrame:

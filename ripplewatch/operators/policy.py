@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import computed, ladder
+from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.operators.chains import MAX_GROUP, accepted_rows, debounce
 from ripplewatch.operators.resolve import in_effect
 
@@ -46,7 +47,8 @@ def alerts(
     max_group: int = MAX_GROUP, **policy,
 ) -> DataFrame:
     """Candidates after the per-asset debounce that all alert kinds share."""
-    return debounce(alert_candidates(df, **policy), asset, gap_sec=debounce_sec, max_group=max_group)
+    candidates = cut_lineage(alert_candidates(df, **policy))
+    return debounce(candidates, asset, gap_sec=debounce_sec, max_group=max_group)
 
 
 def alert_content(df: DataFrame, *, asset: str = "source_asset") -> DataFrame:
@@ -207,7 +209,8 @@ def prevention_state(
     they change the record, while coverage of other rows follows from the decisions alone.
     """
     rows = df.filter(F.col("prevention") != "observe")
-    rows = computed(rows, _level=_level(F.col("prevention")))
+    # The few rows that decide anything are read by several branches below.
+    rows = cut_lineage(computed(rows, _level=_level(F.col("prevention"))))
     seconds = dict(zip((2, 3, 4), ttl))
     active = rows.filter(F.col("_level") >= 2)
     kept = accepted_rows(active, asset, ttl_sec=seconds, level="_level", ts=ts, tie=tie, max_group=max_group)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.operators import policy
 from ripplewatch.operators.chains import debounce
 from ripplewatch.operators.fusion import rationale
@@ -85,10 +86,10 @@ def impact_snapshots(t):
         FROM walk w WHERE w.ok""",
 )
 def alert_snapshots(t):
-    # Both branches below start from the same candidates; Spark reuses the shared exchanges.
     candidates = policy.alert_candidates(fused(t), **POLICY).select(
         "event_id", "ts", "source_asset", "alert_kind"
     )
+    candidates = cut_lineage(candidates)  # both branches below start here
     alert_rows = debounce(candidates, "source_asset", gap_sec=HALF_DAY)
     snaps = policy.snapshots(candidates, reuse_sec=6 * 3600)
     return policy.with_snapshot(alert_rows, snaps).select("event_id", "snapshot_event_id")
