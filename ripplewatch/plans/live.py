@@ -1 +1,139 @@
-"""Queries."""
+"""Streaming queries: the event file drained as a stream, compared with the batch result."""
+
+from pyspark.sql import functions as F
+
+from ripplewatch.operators import analysis
+from ripplewatch.plans.catalog import query
+from ripplewatch.plans.channels import BEACON
+from ripplewatch.plans.policy import HALF_DAY, TTL, _greedy
+from ripplewatch.plans.tables import Tables
+from ripplewatch.streaming import ingest, state
+
+
+def stream(t):
+    """The flow columns over a file stream of the events table; ts becomes a zoned timestamp for watermarks."""
+    live = Tables(t.spark, t.path)
+    live.events = ingest.flow_stream(t.spark, t.path, t.events.schema, glob="events.parquet")
+    return live.flows.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def tripwired(t):
+    return stream(t).withColumn("tripwire_fired", F.col("is_honeytoken_use"))
+
+
+@query(
+    "live_minute_counts",
+    """SELECT date_trunc('minute', ts) AS minute, count(*) AS events, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (is_honeytoken_use) AS tripwires
+       FROM flows GROUP BY ALL""",
+)
+def live_minute_counts(t):
+    updates = ingest.run_available(ingest.live_counts(tripwired(t), width="1 minute"), t.spark, "counts", mode="update")
+    out = ingest.latest_windows(updates, ["window"])
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("minute"), "events", "anomalies", "tripwires")
+
+
+@query(
+    "live_subnet_counts",
+    """SELECT date_trunc('hour', ts) AS hour, subnet, count(*) AS events FROM (SELECT ts, unnest(list_distinct([
+        regexp_extract(source_ip, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24', regexp_extract(destination_ip, '^(\\d+\\.\\d+\\.\\d+)\\.', 1) || '.0/24'])) AS subnet FROM flows) GROUP BY ALL""",
+)
+def live_subnet_counts(t):
+    updates = ingest.run_available(ingest.live_subnets(stream(t), width="1 hour"), t.spark, "subnets", mode="update")
+    out = ingest.latest_windows(updates, ["window", "subnet"])
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "subnet", "events")
+
+
+@query(
+    "live_sector_counts",
+    """SELECT date_trunc('hour', ts) AS hour, sector, count(*) AS events FROM (
+         SELECT r.ts, unnest(list_distinct([s.sector, d.sector])) AS sector
+         FROM resolved r LEFT JOIN assets s ON s.name = r.source_asset LEFT JOIN assets d ON d.name = r.destination_asset)
+       WHERE sector IS NOT NULL GROUP BY ALL""",
+)
+def live_sector_counts(t):
+    from ripplewatch.operators.resolve import resolve_assets
+
+    flows = resolve_assets(stream(t), t.registry)
+    updates = ingest.run_available(ingest.live_sectors(flows, t.assets, width="1 hour"), t.spark, "sectors", mode="update")
+    out = ingest.latest_windows(updates, ["window", "sector"])
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "sector", "events")
+
+
+@query(
+    "live_deduplicated",
+    "SELECT event_id, 1 AS copies FROM flows",
+)
+def live_deduplicated(t):
+    rows = stream(t).withColumns({"session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")})
+    twice = ingest.deduplicated(rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))))
+    out = ingest.run_available(twice.select("event_id"), t.spark, "dedup")
+    return out.groupBy("event_id").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@query(
+    "live_with_injected",
+    """SELECT origin, count(*) AS n FROM (SELECT 'replay' AS origin FROM flows UNION ALL SELECT 'injected' FROM flows WHERE label = 'Bot') GROUP BY origin""",
+)
+def live_with_injected(t):
+    injected = stream(t).filter(F.col("label") == "Bot").withColumn("source_ip", F.lit("10.0.1.30"))
+    both = ingest.merge_injected(stream(t), injected).select("event_id", "origin")
+    return ingest.run_available(both, t.spark, "injected").groupBy("origin").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "live_beaconing",
+    """SELECT event_id, n AS usable_intervals, round(cv, 6) AS beacon_cv, coalesce(cv <= 0.25, FALSE) AS beacon_fired FROM beacons""",
+)
+def live_beaconing(t):
+    out = ingest.run_available(state.beacon_stream(stream(t), **BEACON), t.spark, "beacon")
+    return out.select("event_id", "usable_intervals", F.round("beacon_cv", 6).alias("beacon_cv"), "beacon_fired")
+
+
+@query(
+    "live_debounce",
+    f"WITH {_greedy('flows', 'source_ip', HALF_DAY)} SELECT event_id, grp AS source_ip FROM walk WHERE ok",
+)
+def live_debounce(t):
+    out = ingest.run_available(state.debounce_stream(stream(t), "source_ip", gap_sec=HALF_DAY), t.spark, "debounce")
+    return out.select("event_id", "source_ip")
+
+
+@query("live_prevention")
+def live_prevention(t):
+    """Prevention state with event-time expiry; the batch form is checked by SQL, this one against it in tests."""
+    action = F.when(F.col("k") >= 90, "quarantine").when(F.col("k") >= 60, "block").when(F.col("k") >= 20, "rate_limit")
+    rows = stream(t).filter("is_attack").select("event_id", "ts", F.col("source_ip").alias("source_asset"), action.otherwise("alert").alias("prevention"))
+    return ingest.run_available(state.prevention_stream(rows, ttl=TTL), t.spark, "prevention").select(
+        "source_asset", "event_id", "outcome", "us"
+    )
+
+
+@query(
+    "live_ingest",
+    """SELECT count(*) AS received, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (is_honeytoken_use) AS tripwires,
+       (SELECT count(*) FROM flows) AS stored FROM flows""",
+)
+def live_ingest(t):
+    """The whole micro-batch: score, fuse, resolve, persist, alert."""
+    from ripplewatch.sources.sinks import scratch_path
+
+    rows = stream(t).withColumns({"session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")})
+    job = ingest.Ingest(scratch_path(t.spark, "ingest"), t.registry, score=lambda df: df, debounce_sec=HALF_DAY)
+    query_ = (
+        rows.writeStream.option("checkpointLocation", scratch_path(t.spark, "ingest-state"))
+        .foreachBatch(job.process_batch).trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    counters = t.spark.read.parquet(job.path("counters")).agg(
+        *[F.sum(c).alias(c) for c in ("received", "anomalies", "tripwires")]
+    )
+    stored = t.spark.read.parquet(job.path("events")).count()
+    return counters.withColumn("stored", F.lit(stored).cast("bigint"))
+
+
+@query("batch_analysis")
+def batch_analysis(t):
+    """Features, forest, tripwire, status, risk and blast radius of one run; one summary row."""
+    from ripplewatch import inventory as inv
+
+    return analysis.analyse(t.flows, t.assets, inv.edges(t.spark), t.registry).summary
