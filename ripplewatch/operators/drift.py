@@ -45,14 +45,20 @@ def _wlog(w: Column) -> Column:
     return F.when(w > 0, w * F.log2(w)).otherwise(0.0)
 
 
-def live_edges(flows: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC, gap_sec: int = S.DRIFT_WINDOW_SEC) -> DataFrame:
-    """Edges alive at the end of each non-empty bucket, with the bytes and flows of their current life.
+def edge_buckets(flows: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC) -> DataFrame:
+    """Stored (bucket, node, peer) totals: the only pass over the flows that drift needs."""
+    return cut_lineage(_edges(flows, bucket_sec))
+
+
+def live_edges(
+    edges: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC, gap_sec: int = S.DRIFT_WINDOW_SEC
+) -> DataFrame:
+    """Edges alive at the end of each non-empty bucket, from ``edge_buckets``, with the totals of their current life.
 
     An edge lives on while the newest timestamp seen is at most ``gap_sec`` past its last flow. When it comes back
     after having been dropped, it starts a new life from zero. ``seen_before`` marks edges of an earlier bucket.
     """
     gap = gap_sec * 1_000_000
-    edges = _edges(flows, bucket_sec)
     # One row per non-empty bucket; its size follows the time span, not the data.
     clock = edges.groupBy("bucket").agg(F.max("last_seen").alias("clock"))
     in_time = Window.orderBy("bucket")
@@ -91,10 +97,10 @@ def live_edges(flows: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC, gap_se
     )
 
 
-def _history_changes(flows: DataFrame, bucket_sec: int) -> DataFrame:
+def _history_changes(edges: DataFrame) -> DataFrame:
     """Per (node, bucket): how the node's peer history changes once that bucket is merged."""
     pair = Window.partitionBy("node", "peer").orderBy("bucket")
-    rows = _edges(flows, bucket_sec).withColumn("_after", F.sum("bytes").over(pair))
+    rows = edges.withColumn("_after", F.sum("bytes").over(pair))
     before = F.col("_after") - F.col("bytes")
     first = F.row_number().over(pair) == 1
     rows = rows.withColumns(
@@ -116,10 +122,15 @@ def drift_features(
     flows: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC, gap_sec: int = S.DRIFT_WINDOW_SEC
 ) -> DataFrame:
     """The four drift features per (bucket, node) with live edges, against strictly earlier history."""
-    live = live_edges(flows, bucket_sec=bucket_sec, gap_sec=gap_sec)
-    first_anywhere = flows.groupBy(F.col("destination_ip").alias("peer")).agg(
-        F.floor(F.min(epoch_micros(F.col("ts"))) / (bucket_sec * 1_000_000)).alias("_first")
-    )
+    return features_of_edges(edge_buckets(flows, bucket_sec=bucket_sec), bucket_sec=bucket_sec, gap_sec=gap_sec)
+
+
+def features_of_edges(
+    edges: DataFrame, *, bucket_sec: int = S.DRIFT_WINDOW_SEC, gap_sec: int = S.DRIFT_WINDOW_SEC
+) -> DataFrame:
+    """``drift_features`` from edge totals."""
+    live = live_edges(edges, bucket_sec=bucket_sec, gap_sec=gap_sec)
+    first_anywhere = edges.groupBy("peer").agg(F.min("bucket").alias("_first"))
     rows = live.join(first_anywhere, "peer")
     w = F.col("live_bytes")
     now = rows.groupBy("node", "bucket").agg(
@@ -131,7 +142,7 @@ def drift_features(
         F.sum(F.when(w > 0, w)).alias("weight"),
         F.sum(_wlog(w)).alias("weight_log"),
     )
-    changes = _history_changes(flows, bucket_sec)
+    changes = _history_changes(edges)
     both = now.unionByName(changes, allowMissingColumns=True).groupBy("node", "bucket").agg(
         *[F.max(c).alias(c) for c in ("batch", "degree", "known", "globally_new", "positive", "weight", "weight_log",
                                       "new_peers", "new_positive", "new_bytes", "new_log")]

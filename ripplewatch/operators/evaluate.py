@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import hash_order
-from ripplewatch.functions.partitions import hash_rank, range_slices
+from ripplewatch.functions.partitions import cut_lineage, hash_rank, range_slices
 from ripplewatch.operators import iforest, sequence, volumetric
 
 
@@ -152,7 +152,11 @@ def evaluate(
         raise ValueError(f"unknown detectors {unknown}; registered: {sorted(DETECTORS)}")
     if scoring not in ("pointwise", "segment"):
         raise ValueError("scoring must be 'pointwise' or 'segment'")
-    split = benign_split(df, fraction=train_fraction, key=key, truth=truth, seed=seed)
+    split = cut_lineage(
+        benign_split(
+            df.select(*dict.fromkeys([key, *order, truth, *features])), fraction=train_fraction, key=key, truth=truth, seed=seed
+        )
+    )
     train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "eval")
     guard_split(test, truth=truth)
     scaler = volumetric.fit_scaler(train, features)
@@ -164,6 +168,7 @@ def evaluate(
         scored = detector.score(test, detector.fit(train, names))
         scored = scored.select(key, *[c for c in order if c != key], truth, F.col("fired").alias("pred"),
                                (-F.col("raw_score")).alias("_anomaly"))
+        scored = cut_lineage(scored)  # read by the counts, the segments and the curve
         metrics = (
             confusion(scored, truth=truth)
             if scoring == "pointwise"

@@ -5,6 +5,7 @@ isolated early are anomalous. Samples are chosen by an md5 order, so a fit does
 fitted trees have a fixed maximum size (trees x 2 x sample nodes), which is what makes broadcasting them safe.
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil, log2
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import hash_order
+from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.functions.quantile import exact_quantiles
 
 _NODE = "tree int, node int, feature int, cut double, low int, high int, depth double"
@@ -104,58 +106,71 @@ def fit_iforest(
         nodes = _grow(points, np.random.default_rng([seed, index]), limit)
         out = pd.DataFrame(nodes, columns=["node", "feature", "cut", "low", "high", "depth"])
         out.insert(0, "tree", index)
-        return out
+        return out.assign(size=len(points))
 
-    grown = numbered.withColumn("tree", tree).select("tree", "_o", *names).groupBy("tree").applyInPandas(grow, _NODE)
+    grown = numbered.withColumn("tree", tree).select("tree", "_o", *names).groupBy("tree").applyInPandas(grow, _NODE + ", size int")
     nodes = grown.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
     if nodes.empty:
         raise ValueError("cannot fit on an empty frame")
-    used = min(sample, pool.count())
+    used = int(nodes.pop("size").max())
     model = ForestModel(nodes, features, used, 0.0, contamination)
-    (offset,) = exact_quantiles(_score_samples(df.select(*features), model), "_s", [contamination])
+    # One number per row, stored: the quantile reads it several times and scoring is what costs.
+    scores = cut_lineage(_score_samples(df.select(*features), model).select("_s"))
+    (offset,) = exact_quantiles(scores, "_s", [contamination])
     return ForestModel(nodes, features, used, offset, contamination)
 
 
 class _Walker:
-    """Vectorised descent of all trees for one Arrow batch."""
+    """All trees as complete binary trees of one depth, so a batch descends them in a fixed number of steps.
+
+    A leaf above the last level repeats itself: its cut is infinite, so rows keep going left to a copy of its value.
+    """
 
     def __init__(self, model: ForestModel):
-        nodes = model.nodes
-        starts = nodes.groupby("tree")["node"].size().cumsum().shift(fill_value=0)
-        base = nodes["tree"].map(starts).to_numpy()
-        self.roots = starts.to_numpy()
-        self.feature = nodes["feature"].to_numpy()
-        self.cut = nodes["cut"].to_numpy()
-        self.low = nodes["low"].to_numpy() + base
-        self.high = nodes["high"].to_numpy() + base
-        self.depth = nodes["depth"].to_numpy()
+        nodes = model.nodes.sort_values(["tree", "node"])
+        self.levels = max(1, ceil(log2(max(model.sample_size, 2))))
+        inner = 2**self.levels - 1
+        trees = [g[["feature", "cut", "low", "high", "depth"]].to_numpy() for _, g in nodes.groupby("tree")]
+        self.feature = np.zeros((len(trees), inner), dtype=np.intp)
+        self.cut = np.full((len(trees), inner), np.inf)
+        self.leaf = np.zeros((len(trees), inner + 1))
+        for t, tree in enumerate(trees):
+            place = [(0, 0)]
+            while place:
+                at, node = place.pop()
+                feature, cut, low, high, depth = tree[int(node)]
+                if at >= inner:
+                    self.leaf[t, at - inner] = depth
+                elif feature < 0:
+                    place.append((2 * at + 1, node))
+                else:
+                    self.feature[t, at], self.cut[t, at] = int(feature), cut
+                    place += [(2 * at + 1, low), (2 * at + 2, high)]
         self.norm = float(average_path(model.sample_size)) or 1.0
 
     def score(self, points: np.ndarray) -> np.ndarray:
+        points = np.ascontiguousarray(points, dtype=float)
+        values, base = points.ravel(), np.arange(len(points)) * points.shape[1]
         total = np.zeros(len(points))
-        for root in self.roots:
-            at = np.full(len(points), root)
-            moving = np.arange(len(points))
-            while True:
-                moving = moving[self.feature[at[moving]] >= 0]
-                if not len(moving):
-                    break
-                here = at[moving]
-                value = points[moving, self.feature[here]]
-                at[moving] = np.where(value <= self.cut[here], self.low[here], self.high[here])
-            total += self.depth[at]
-        return -np.exp2(-(total / len(self.roots)) / self.norm)
+        inner = self.cut.shape[1]
+        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf):
+            at = np.zeros(len(points), dtype=np.intp)
+            for _ in range(self.levels):
+                at = 2 * at + 1 + (values[base + feature[at]] > cut[at])
+            total += leaf[at - inner]
+        return -np.exp2(-(total / len(self.cut)) / self.norm)
 
 
 def _score_samples(df: DataFrame, model: ForestModel, name: str = "_s") -> DataFrame:
+    # At most trees * 2 * sample nodes, whatever the data is.
     broadcast = df.sparkSession.sparkContext.broadcast(model)
+
     @F.pandas_udf("double")
-    def score(*columns: pd.Series) -> pd.Series:
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         walker = _Walker(broadcast.value)
-        points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-        # Telemetry repeats itself: identical feature rows are walked once per batch.
-        distinct, back = np.unique(points, axis=0, return_inverse=True)
-        return pd.Series(walker.score(distinct)[back.reshape(-1)])
+        for columns in batches:
+            points = np.column_stack([c.to_numpy(dtype=float) for c in columns])
+            yield pd.Series(walker.score(points))
 
     return df.withColumn(name, score(*[F.col(f).cast("double") for f in model.features]))
 

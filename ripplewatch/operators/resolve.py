@@ -51,6 +51,8 @@ def _lookup(df: DataFrame, column: str, registry: DataFrame, prefix: str, small:
     the registry was counted and may be broadcast (the nearest-host table has at most 11 rows per registration).
     """
     hint = F.broadcast if small else (lambda table: table)
+    if small:
+        registry = registry.coalesce(1)  # aggregate the few rows below without a shuffle
     exact = registry.groupBy("identifier").agg(F.max_by(F.struct("name", "criticality"), "position").alias("r"))
     exact = exact.select(F.col("identifier").alias("_id"), F.col("r").alias("_exact"))
     # Two rows at most.

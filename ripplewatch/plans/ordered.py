@@ -64,7 +64,7 @@ cte(
 
 @query("edge_lifetimes", "SELECT bucket, node, peer, live_bytes, live_flows, seen_before FROM live_edges")
 def edge_lifetimes(t):
-    return drift.live_edges(t.flows, bucket_sec=BUCKET, gap_sec=GAP).select(
+    return drift.live_edges(drift.edge_buckets(t.flows, bucket_sec=BUCKET), bucket_sec=BUCKET, gap_sec=GAP).select(
         "bucket", "node", "peer", "live_bytes", "live_flows", "seen_before"
     )
 
@@ -105,7 +105,7 @@ def peer_set_sizes(t):
        WHERE e.node IS NULL""",
 )
 def new_peers(t):
-    live = drift.live_edges(t.flows, bucket_sec=BUCKET, gap_sec=GAP)
+    live = drift.live_edges(drift.edge_buckets(t.flows, bucket_sec=BUCKET), bucket_sec=BUCKET, gap_sec=GAP)
     return live.filter(~F.col("seen_before")).select("bucket", "node", "peer")
 
 
