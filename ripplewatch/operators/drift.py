@@ -160,14 +160,18 @@ def features_of_edges(
             "_h_log": before("new_log"),
         }
     ).filter(F.col("degree").isNotNull())
+    return both.select("bucket", *feature_columns())
+
+
+def feature_columns() -> list[Column]:
+    """Batch, node and the four features, from the per-node counts and sums of live edges and history."""
     warm = F.col("history_peers") > 0
     union = F.col("history_peers") + F.col("degree") - F.col("known")
-    return both.select(
-        "bucket",
-        "batch",
-        "node",
-        "degree",
-        "history_peers",
+    return [
+        F.col("batch"),
+        F.col("node"),
+        F.col("degree"),
+        F.col("history_peers"),
         (F.when(warm, F.col("degree") - F.col("known")).otherwise(F.col("globally_new")) / F.col("degree")).alias(
             "unseen_peer_ratio"
         ),
@@ -177,7 +181,7 @@ def features_of_edges(
             _entropy(F.col("positive"), F.col("weight"), F.col("weight_log"))
             - _entropy(F.col("_h_positive"), F.col("_h_bytes"), F.col("_h_log"))
         ).alias("traffic_entropy_delta"),
-    )
+    ]
 
 
 def boundary_calibration(decision: Column, positive: Column, negative: Column, threshold: float) -> Column:

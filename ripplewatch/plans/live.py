@@ -131,6 +131,21 @@ def live_ingest(t):
     return counters.withColumn("stored", F.lit(stored).cast("bigint"))
 
 
+@query("live_drift")
+def live_drift(t):
+    """Drift features of the streamed flows, a micro-batch at a time."""
+    from ripplewatch.sources.sinks import scratch_path
+    from ripplewatch.streaming.drift import DriftState
+
+    job = DriftState(scratch_path(t.spark, "drift"), gap_sec=3 * 86_400)
+    query_ = (
+        stream(t).writeStream.option("checkpointLocation", scratch_path(t.spark, "drift-state"))
+        .foreachBatch(job.process_batch).trigger(availableNow=True).start()
+    )
+    query_.awaitTermination()
+    return job.features(t.spark)
+
+
 @query("batch_analysis")
 def batch_analysis(t):
     """Features, forest, tripwire, status, risk and blast radius of one run; one summary row."""
