@@ -104,7 +104,9 @@ def hash_rank(df: DataFrame, key: Column, within=(), name: str = "rank", total:
         F.sum("_n").over(scope).alias("_total"),
     )
     local = F.row_number().over(Window.partitionBy(*within, "_cell").orderBy("_key"))
-    out = rows.withColumn("_local", local).join(F.broadcast(cells), [*within, "_cell"])
+    # Without classes there are at most 4096 cells; with classes their number is checked.
+    cells = broadcast_if_small(cells) if within else F.broadcast(cells)
+    out = rows.withColumn("_local", local).join(cells, [*within, "_cell"])
     out = out.withColumn(name, F.col("_offset") + F.col("_local"))
     if total:
         out = out.withColumnRenamed("_total", total)

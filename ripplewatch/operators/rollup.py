@@ -97,11 +97,12 @@ def event_level(*, anomaly: str = "is_anomaly", decoy: str = "tripwire_fired"):
 
 def sector_activity(df: DataFrame, sectors: DataFrame) -> DataFrame:
     """Events and worst severity per touched sector; an event counts once per distinct sector."""
-    names = broadcast_if_small(sectors.select("name", "sector"))
-    src = names.select(F.col("name").alias("source_asset"), F.col("sector").alias("_s"))
-    dst = names.select(F.col("name").alias("destination_asset"), F.col("sector").alias("_d"))
+    src = sectors.select(F.col("name").alias("source_asset"), F.col("sector").alias("_s"))
+    dst = sectors.select(F.col("name").alias("destination_asset"), F.col("sector").alias("_d"))
     rows = df.select("source_asset", "destination_asset", event_level().alias("_level"))
-    rows = rows.join(F.broadcast(src), "source_asset", "left").join(F.broadcast(dst), "destination_asset", "left")
+    rows = rows.join(broadcast_if_small(src), "source_asset", "left").join(
+        broadcast_if_small(dst), "destination_asset", "left"
+    )
     touched = F.explode(F.array_distinct(F.array_compact(F.array("_s", "_d")))).alias("sector")
     rank = ladder(*[(F.col("_level") == k, F.lit(v)) for k, v in _RANK.items()])
     worst = rows.select(touched, rank.alias("_rank")).groupBy("sector").agg(

@@ -17,13 +17,14 @@ BEACON = {"max_interval_sec": 864000.0}
 @query(
     "scaler_statistics",
     " UNION ALL ".join(
-        f"""SELECT '{f}' AS feature, avg({f}) AS mean, CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END AS scale,
+        f"""SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, round(CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END, 6) AS scale,
             stddev_pop({f}) = 0 AS degenerate FROM flows"""
         for f in _FEATURES
     ),
 )
 def scaler_statistics(t):
-    return volumetric.scaler_table(t.flows)
+    table = volumetric.scaler_table(t.flows)
+    return table.withColumns({c: F.round(c, 6) for c in ("mean", "scale")})
 
 
 cte(

@@ -131,9 +131,17 @@ def live_ingest(t):
     return counters.withColumn("stored", F.lit(stored).cast("bigint"))
 
 
-@query("live_drift")
+@query(
+    "live_drift",
+    """WITH pairs AS (SELECT source_ip AS node, destination_ip AS peer, sum(bytes)::DOUBLE AS w, max(epoch_us(ts)) AS seen FROM flows GROUP BY ALL),
+        alive AS (SELECT * FROM pairs WHERE (SELECT max(seen) FROM pairs) - seen <= 259200000000),
+        spread AS (SELECT node, CASE WHEN count(*) <= 1 THEN 0 ELSE sum(-(w / t) * log2(w / t)) / log2(count(*)) END AS h
+          FROM (SELECT node, w, sum(w) OVER (PARTITION BY node) AS t FROM alive WHERE w > 0) GROUP BY node)
+        SELECT 1 AS batch, a.node, count(*) AS degree, 0 AS history_peers, 1.0::DOUBLE AS unseen_peer_ratio, count(*)::DOUBLE AS degree_expansion,
+          1.0::DOUBLE AS neighbor_drift, round(coalesce(max(s.h), 0), 6) AS traffic_entropy_delta FROM alive a LEFT JOIN spread s USING (node) GROUP BY a.node""",
+)
 def live_drift(t):
-    """Drift features of the streamed flows, a micro-batch at a time."""
+    """Drift features of the streamed flows, a micro-batch at a time; one file is one micro-batch."""
     from ripplewatch.sources.sinks import scratch_path
     from ripplewatch.streaming.drift import DriftState
 
@@ -143,7 +151,8 @@ def live_drift(t):
         .foreachBatch(job.process_batch).trigger(availableNow=True).start()
     )
     query_.awaitTermination()
-    return job.features(t.spark)
+    out = job.features(t.spark)
+    return out.withColumn("traffic_entropy_delta", F.round("traffic_entropy_delta", 6))
 
 
 @query("batch_analysis")

@@ -62,7 +62,7 @@ cte(
 )
 
 
-@query("edge_lifetimes", "SELECT bucket, node, peer, live_bytes, live_flows, seen_before FROM live_edges")
+@query("edge_lifetimes", "SELECT bucket, node, peer, live_bytes, live_flows::BIGINT AS live_flows, seen_before FROM live_edges")
 def edge_lifetimes(t):
     return drift.live_edges(drift.edge_buckets(t.flows, bucket_sec=BUCKET), bucket_sec=BUCKET, gap_sec=GAP).select(
         "bucket", "node", "peer", "live_bytes", "live_flows", "seen_before"

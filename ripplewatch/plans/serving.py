@@ -160,7 +160,14 @@ def risk_index(t):
     return serve.risk_index(alerts(t), criticality, full_scale=2000.0)
 
 
-@query("risk_index_by_map")
+@query(
+    "risk_index_by_map",
+    """SELECT CAST(round_even(greatest(0, least(100, 100 * sum(CASE severity WHEN 'critical' THEN 1.0 WHEN 'warning' THEN 0.35 ELSE 0.1 END::DOUBLE * coalesce(c.criticality, 0)) / 5.0)), 0) AS INT) AS risk_index
+       FROM alerts a LEFT JOIN (SELECT asset, max(criticality) AS criticality FROM (
+         SELECT name AS asset, max_by(criticality, position) AS criticality FROM registry GROUP BY name
+         UNION ALL SELECT r.asset, r.criticality FROM resolution r WHERE NOT r.is_known AND r.asset LIKE 'Unresolved!_%' ESCAPE '!') GROUP BY asset) c ON c.asset = a.asset
+       WHERE NOT acknowledged""",
+)
 def risk_index_by_map(t):
     """With the default scale and a criticality map that includes discovered assets."""
     ids = t.flows.select(F.col("source_ip").alias("identifier")).distinct()

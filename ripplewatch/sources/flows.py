@@ -7,7 +7,7 @@ from ripplewatch import settings as S
 from ripplewatch.functions import net
 from ripplewatch.functions.clock import twelve_hour_timestamp
 from ripplewatch.functions.lookup import all_of, hash_order, ladder
-from ripplewatch.functions.partitions import hash_rank
+from ripplewatch.functions.partitions import broadcast_if_small, hash_rank
 from ripplewatch.operators.prepare import finite, flow_direction, label_evidence
 from ripplewatch.operators.resolve import resolve_assets
 
@@ -80,7 +80,7 @@ def per_file_quota(df: DataFrame, *, limit: int, key, file: str = "_file", posit
         return hash_rank(df, order, [file], "_r").filter(F.col("_r") <= quota).drop("_r")
     rows = df.withColumn("_positive", positive)
     totals = rows.groupBy(file).agg(F.count(F.lit(1)).alias("_n"), F.count_if("_positive").alias("_p"))
-    ranked = hash_rank(rows, order, [file, "_positive"], "_r").join(F.broadcast(totals), file)
+    ranked = hash_rank(rows, order, [file, "_positive"], "_r").join(broadcast_if_small(totals), file)
     take_p = F.least(F.col("_p"), F.lit(quota // 2))
     keep = (
         (F.col("_n") <= quota)

@@ -9,6 +9,8 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
+STRICT = False  # compare floats bit for bit
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -28,7 +30,7 @@ def normal(value):
     if isinstance(value, float):
         if math.isnan(value):
             return "nan"
-        return float(f"{value:.9g}") + 0.0
+        return (value if STRICT else float(f"{value:.9g}")) + 0.0
     if hasattr(value, "as_tuple"):
         return float(f"{float(value):.9g}")
     if hasattr(value, "asDict"):
