@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def map_lookup(mapping: dict, key: Column) -> Column:
@@ -67,3 +68,13 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.drop(*columns).select("*", F.inline(F.array(row)))
+
+
+def moment(df: DataFrame, column: str, value) -> Column:
+    """A collected timestamp as a literal of the column's own kind, whatever the session's time zone is."""
+    kind = df.schema[column].dataType
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.TimestampNTZType):
+        return F.lit(value.isoformat(sep=" ")).cast(kind)
+    return F.lit(value)

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
-from ripplewatch.functions.lookup import computed, ladder
+from ripplewatch.functions.lookup import computed, ladder, moment
 from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.operators.chains import MAX_GROUP, accepted_rows, debounce
 from ripplewatch.operators.resolve import in_effect
@@ -223,7 +223,7 @@ def prevention_state(
         "status",
         ladder(
             (F.col("_next") < F.col("expires_at"), F.lit("superseded")),
-            (F.col("expires_at") <= F.lit(now), F.lit("expired")),
+            (F.col("expires_at") <= moment(rows, ts, now), F.lit("expired")),
             default=F.lit("simulated"),
         ),
     ).withColumn(

@@ -5,7 +5,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplewatch.functions.lookup import ladder
+from ripplewatch.functions.lookup import ladder, moment
 from ripplewatch.functions.net import subnet24
 from ripplewatch.functions.partitions import broadcast_if_small
 
@@ -117,7 +117,7 @@ def asset_recency(
     anomaly: str = "is_anomaly", decoy: str = "tripwire_fired",
 ) -> DataFrame:
     """Severity of each touched curated asset from its last tripwire / anomaly within a pulse window of ``now``."""
-    moment = df.agg(F.max(ts)).first()[0] if now is None else now
+    newest = df.agg(F.max(ts)).first()[0] if now is None else now
     t, a = F.col(decoy), F.col(anomaly) & ~F.col(decoy)
     rows = df.select(
         F.explode(F.array("source_asset", "destination_asset")).alias("asset"),
@@ -126,7 +126,7 @@ def asset_recency(
     )
     last = rows.groupBy("asset").agg(F.max("_t").alias("last_tripwire"), F.max("_a").alias("last_anomaly"))
     last = last.join(broadcast_if_small(known.select(F.col("name").alias("asset"))), "asset", "left_semi")
-    since = F.lit(moment) - F.make_dt_interval(secs=F.lit(pulse_sec))
+    since = moment(df, ts, newest) - F.make_dt_interval(secs=F.lit(pulse_sec))
     severity = ladder(
         (F.col("last_tripwire") >= since, F.lit("critical")),
         (F.col("last_anomaly") >= since, F.lit("warning")),
@@ -144,7 +144,7 @@ def alert_trend(alerts: DataFrame, *, buckets: int = 24, ts: str = "ts") -> Data
             F.lit(0).alias("bucket"), *[F.lit(0).alias(c) for c in ("high", "medium", "low")]
         ).limit(0)
     width = max((high - low) // timedelta(microseconds=1), 1)
-    offset = F.timestamp_diff("MICROSECOND", F.lit(low), F.col(ts))
+    offset = F.timestamp_diff("MICROSECOND", moment(alerts, ts, low), F.col(ts))
     at = F.least(F.lit(buckets - 1), F.floor(offset / F.lit(width) * buckets)).cast("int").alias("bucket")
     s = F.col("severity")
     return alerts.groupBy(at).agg(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
-from ripplewatch.functions.lookup import epoch_micros
+from ripplewatch.functions.lookup import epoch_micros, moment
 from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, cut_by_key, range_slices, with_rank
 
 
@@ -96,7 +96,7 @@ def rolling_trend(
 ) -> DataFrame:
     """The last value per time slot over the newest ``keep_sec`` seconds."""
     newest = samples.agg(F.max(ts)).first()[0]
-    recent = samples.filter(F.col(ts) >= F.lit(newest) - F.make_dt_interval(secs=F.lit(keep_sec)))
+    recent = samples.filter(F.col(ts) >= moment(samples, ts, newest) - F.make_dt_interval(secs=F.lit(keep_sec)))
     return recent.groupBy(F.window(ts, slot)["start"].alias("slot")).agg(
         F.max_by(value, F.struct(ts, tie)).alias(value)
     )
@@ -120,13 +120,13 @@ def retention_victims(
         newest = events.select(ts, key).orderBy(F.col(ts).desc(), F.col(key).desc()).limit(max_rows)
         edge = newest.agg(F.min(F.struct(ts, key)).alias("e"), F.count(F.lit(1)).alias("n")).first()
         if edge["n"] == max_rows and max_rows > 0:
-            e = edge["e"]
-            conditions.append((F.col(ts) < F.lit(e[ts])) | ((F.col(ts) == F.lit(e[ts])) & (F.col(key) < F.lit(e[key]))))
+            e, at = edge["e"], moment(events, ts, edge["e"][ts])
+            conditions.append((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < F.lit(e[key]))))
         elif max_rows == 0:
             conditions.append(F.lit(True))
     if max_age_sec is not None:
-        moment = events.agg(F.max(ts)).first()[0] if now is None else now
-        conditions.append(F.col(ts) < F.lit(moment) - F.make_dt_interval(secs=F.lit(max_age_sec)))
+        newest = events.agg(F.max(ts)).first()[0] if now is None else now
+        conditions.append(F.col(ts) < moment(events, ts, newest) - F.make_dt_interval(secs=F.lit(max_age_sec)))
     victim = F.lit(False)
     for c in conditions:
         victim = victim | c

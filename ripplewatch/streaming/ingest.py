@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ripplewatch.functions.lookup import moment
 from ripplewatch.functions.net import subnet24
 from ripplewatch.operators import fusion, policy, rollup, signature, volumetric
 from ripplewatch.operators.resolve import resolve_assets
@@ -96,7 +97,7 @@ class Ingest:
         if stored is not None:
             # Only the time range of this batch can hold its keys; the range prunes row groups. A replayed batch must
             # see its own earlier, possibly partial, output as absent.
-            in_range = F.col("ts").between(F.lit(span["first"]), F.lit(span["last"]))
+            in_range = F.col("ts").between(moment(batch, "ts", span["first"]), moment(batch, "ts", span["last"]))
             stored = stored.filter(in_range & (F.col("batch_id") != batch_id))
         fresh = self.fused(sinks.new_rows(batch, stored)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         fresh.write.mode("overwrite").parquet(self.path(f"batches/batch_id={batch_id}"))
@@ -122,7 +123,7 @@ class Ingest:
         earlier = sinks.existing_table(spark, self.path("alerts"))
         if earlier is None:
             return policy.debounce(candidates, "source_asset", gap_sec=self.debounce_sec)
-        since = F.lit(first) - F.make_dt_interval(secs=F.lit(self.debounce_sec))
+        since = moment(done, "ts", first) - F.make_dt_interval(secs=F.lit(self.debounce_sec))
         recent = earlier.filter((F.col("batch_id") != batch_id) & (F.col("ts") > since))
         last = recent.groupBy("source_asset").agg(
             F.max_by(F.struct("event_id", "ts"), "ts").alias("_l")
