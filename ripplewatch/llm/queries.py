@@ -27,3 +27,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@register("op8_token_files")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.common import shared_folder
+    from ripplewatch.llm.tokenfiles import read_tokens, write_tokens
+
+    tokenizer, folder = public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "tokens")
+    docs = table(spark, sf_dir, "documents")
+    return read_tokens(write_tokens(docs, folder, tokenizer, public_tokenizers.PATTERN, 2), digests=True)
