@@ -64,3 +64,10 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op10_ngram_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.ngramjoin import similar_documents
+
+    return similar_documents(table(spark, sf_dir, "documents"))
