@@ -258,29 +258,31 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, *, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encode`` and ``decode`` in one pass, reduced to digests.
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, *, block_chars: int = BLOCK_CHARS, with_ids: bool = False
+) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): ``encode`` and ``decode`` in one pass, with digests.
 
     The same cases as for ``encode``: an empty or null text has no tokens and the digest of no bytes.
     """
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    )
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    shown = len(names) - (not with_ids)
 
     def run(batches):
         vocabulary = load_ranks(ranks_path)
         for keys, ids, ends in encode_blocks(batches, lambda: vocabulary, pattern, block_chars):
-            counts, coded, decoded, low = [], [], [], 0
-            for high in ends.tolist():
+            rows, low = [], 0
+            for key, high in zip(keys, ends.tolist(), strict=True):
                 own = ids[low:high]
-                counts.append(high - low)
-                coded.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(vocabulary.decode(own.tolist())).hexdigest())
+                coded = hashlib.sha256(own.astype("<u4").tobytes()).hexdigest()
+                decoded = hashlib.sha256(vocabulary.decode(own.tolist())).hexdigest()
+                rows.append((key, high - low, coded, decoded, own))
                 low = high
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(coded), pa.array(decoded)], schema=schema
-            )
+            for start in range(0, len(rows), 256):
+                columns = list(zip(*rows[start : start + 256], strict=True))[:shown]
+                made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays(made, names=names[:shown])
 
-    return documents(docs).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return documents(docs).mapInArrow(run, schema + ", ids array<int>" * with_ids)

@@ -212,6 +212,18 @@ def _match(docs: DataFrame, windows: Windows, keep_spans: bool) -> DataFrame:
     return docs.withColumn("content", content).mapInArrow(arrow, schema)
 
 
+def _blocks_of_windows(docs: DataFrame, benchmark: DataFrame, width: int, block_bytes: int):
+    """The windows of the benchmark, a block of bounded size at a time, with their shingles chosen by ``docs``."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-total // block_bytes))
+    for part in range(parts):
+        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
+        windows = Windows([tuple(r) for r in block.collect()], width)  # at most about block_bytes
+        windows.choose(_counts(docs, windows) if windows.windows else {})
+        yield windows, parts
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BENCHMARK_BYTES
 ) -> DataFrame:
@@ -220,21 +232,36 @@ def contamination(
     Null or empty texts have no words and no hits; an empty benchmark hits nothing; repeated documents and items are
     each judged alone (equal item ids count once, a null item id is the empty string). Other columns are ignored.
     """
-    docs = documents(docs)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // block_bytes))
-    found = []
-    for part in range(parts):
-        block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part) if parts > 1 else items
-        windows = Windows([tuple(r) for r in block.collect()], width)  # at most about block_bytes
-        windows.choose(_counts(docs, windows) if windows.windows else {})
+    docs, found = documents(docs), []
+    for windows, parts in _blocks_of_windows(docs, benchmark, width, block_bytes):
         if parts == 1:
             return _match(docs, windows, False).drop("spans", "content")
         found.append(stored(_match(docs, windows, True), "windows"))
     return _union_of_blocks(found)
 
 
+def uncontaminated(
+    docs: DataFrame, benchmark: DataFrame, *, width: int = WIDTH, block_bytes: int = BENCHMARK_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, all their columns, in which no window of the benchmark occurs."""
+    at, out = docs.columns.index("text"), docs
+    for windows, _ in _blocks_of_windows(documents(docs), benchmark, width, block_bytes):
+        packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(windows))  # a block of bounded size
+
+        def run(batches, packed=packed):
+            own, lower, inside = pickle.loads(packed.value), lower_table(), word_table()
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for row, data, offsets in blocks(batch, at):
+                    words = Words(data, offsets, inside, lower)
+                    start, _ = hits(words, own)
+                    clean[row + np.searchsorted(words.bounds, start, side="right") - 1] = False
+                yield batch.filter(pa.array(clean))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
+
+
 def _union_of_blocks(found: list[DataFrame]) -> DataFrame:
     """Add up what several blocks of the benchmark found in the same documents.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch.llm.bytetext import blocks, gather, mix, powers, running
-from ripplewatch.llm.common import documents, stored, texts_of
+from ripplewatch.llm.common import documents, stored
 
 LENGTH = 200
 KEY = 32
@@ -244,14 +244,18 @@ def _spans(raw: list) -> np.ndarray:
 
 def fetch(docs: DataFrame, spans: DataFrame, length: int, buckets: int) -> DataFrame:
     """The bytes of the zones to look into, packed by bucket of their key's hash."""
-    asked = spans.filter("kind = 1").groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    asked = spans.filter("kind = 1").groupBy("doc").agg(F.collect_list("spans").alias("_spans"))
+    asked = asked.withColumnRenamed("doc", "_doc")
     names = ["bucket", "heads", "bytes"]
+    columns = [*docs.columns, "_spans"]
+    row_at, text_at = columns.index("_row"), columns.index("text")
 
     def run(batches):
         for batch in batches:
             heads, parts, keys = [], [], []
-            for doc, text, raw in zip(batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_pylist(), strict=True):
-                data, zones = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), _spans(raw)
+            read = (batch.column(k).to_pylist() for k in (row_at, text_at, len(columns) - 1))
+            for doc, text, raw in zip(*read, strict=True):
+                data, zones = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), _spans(raw)
                 place = zones["start"].astype(np.int64) + zones["before"]
                 size = zones["before"].astype(np.int64) + zones["after"] + KEY
                 sums = running(data)
@@ -282,7 +286,7 @@ def fetch(docs: DataFrame, spans: DataFrame, length: int, buckets: int) -> DataF
             )
 
     # The same columns as in the last join, so that both read one exchange of the texts.
-    joined = docs.join(asked, docs["_row"] == asked["doc"]).select("_row", "text", "spans", "doc_id")
+    joined = docs.join(asked, docs["_row"] == asked["_doc"]).select(*columns)
     return joined.mapInArrow(run, "bucket int, heads binary, bytes binary")
 
 
@@ -364,47 +368,72 @@ def _covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
-    """``_row`` and the packed spans that repeat, of every row of ``docs`` (``_row``, ``text``) that has any."""
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = stored(scan(index(docs, length, buckets)), "zones")
-    partial = partial_matches(fetch(docs, spans, length, buckets), length)
+def repeats(rows: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+    """``_doc`` (a ``_row``) and ``_spans``: the packed spans that repeat, of every row of ``rows`` that has any."""
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spans = stored(scan(index(rows, length, buckets)), "zones")
+    partial = partial_matches(fetch(rows, spans, length, buckets), length)
     found = spans.filter("kind = 0").unionByName(partial)
-    return found.groupBy("doc").agg(F.collect_list("spans").alias("spans"))
+    return found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("spans").alias("_spans"))
 
 
-def with_rows(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_row``: rows that share it are equal in id and text, and so in what repeats."""
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+def _marked(docs: DataFrame, length: int, buckets: int | None) -> DataFrame:
+    """``docs`` with ``_row`` (rows that share it are equal in id and text, and so in what repeats) and ``_spans``."""
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    marked = repeats(rows, length, buckets)
+    return rows.join(marked, rows["_row"] == marked["_doc"], "left").select(*rows.columns, "_spans")
+
+
+def _cut(text: str | None, raw: list | None) -> tuple[bytes, int, int, bytes]:
+    """The text's bytes, how many of them go, in how many runs, and the bytes left."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    if not raw:
+        return data, 0, 0, data
+    gone = _covered(_spans(raw), len(data))
+    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+    return data, int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of every row.
 
     Each byte covered by a ``length``-byte string that also starts elsewhere, in this or another document, is removed;
-    all copies go. A null text is empty and keeps nothing; texts shorter than ``length`` stay whole.
+    all copies go, those of repeated rows included. A null text is empty and keeps nothing; texts shorter than
+    ``length`` stay whole; an empty table gives an empty result. Other columns are ignored.
     """
-    rows = with_rows(documents(docs))
-    marked = repeats(rows, length, buckets)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
     def run(batches):
         for batch in batches:
-            made = []
-            for key, text, raw in zip(*(batch.column(k).to_pylist() for k in (3, 1, 2)), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                if not raw:
-                    made.append((key, len(data), 0, 0, data))
-                    continue
-                gone = _covered(_spans(raw), len(data))
-                runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-                made.append((key, len(data), int(gone.sum()), runs, kept))
-            columns = list(zip(*made, strict=True)) or [()] * 5
+            keys, texts, _, spans = (c.to_pylist() for c in batch.columns)
+            made = [_cut(text, raw) for text, raw in zip(texts, spans, strict=True)]
+            columns = [keys, [len(m[0]) for m in made], *([m[k] for m in made] for k in (1, 2, 3))]
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    joined = rows.join(marked, rows["_row"] == marked["doc"], "left").select("_row", "text", "spans", "doc_id")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    marked = _marked(documents(docs), length, buckets)
+    return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+
 
+def without_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+    """``docs``, all rows and columns, with texts that have lost their repeated bytes.
+
+    Bytes of a character that is cut in two are left out as well; ``n_chars``, where there is such a column, is counted
+    anew. A null text stays null. Columns named ``_row``, ``_doc`` or ``_spans`` may not be given.
+    """
+    at = docs.columns.index("text")
+    names, width = docs.columns, len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns[:width])
+            texts, spans = columns[at].to_pylist(), batch.column(width + 1).to_pylist()
+            kept = [t if not raw else _cut(t, raw)[3].decode("utf-8", "ignore") for t, raw in zip(texts, spans, strict=True)]
+            columns[at] = pa.array(kept, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    out = _marked(docs, length, buckets).mapInArrow(run, docs.schema)
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.char_length("text").cast(kind)).select(*names)
+    return out
