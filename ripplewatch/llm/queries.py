@@ -71,3 +71,24 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplewatch.llm.ngramjoin import similar_documents
 
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op7_warc",
+    """
+    SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest,
+      CASE WHEN page_id > least_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id > least_id THEN least_id END AS refers_to
+    FROM (SELECT *, CASE WHEN strlen(html) >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS least_id FROM pages)
+    """,
+)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages")).select(
+        F.col("metadata.page_id").alias("page_id"),
+        "response.payload_bytes",
+        "response.payload_digest",
+        F.col("response.type").alias("record_type"),
+        "refers_to",
+    )
