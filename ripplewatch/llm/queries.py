@@ -92,3 +92,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.type").alias("record_type"),
         "refers_to",
     )
+
+
+@register(
+    "op4_chat",
+    r"""
+    WITH turns AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    shown AS (
+      SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS loss,
+        len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>'))
+          + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]|<</?SYS>>')) AS escapes FROM turns)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+      CAST(sum(length(loss)) AS BIGINT) AS loss_chars, sha256(string_agg(loss, '' ORDER BY turn)) AS loss_sha256,
+      CAST(sum(9 + 8 + 8 + length(role) + length(text) + escapes) AS BIGINT) AS formatted_chars
+    FROM shown GROUP BY conv_id
+    """,
+)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.chat import digests, format_chat, records_of_turns
+
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_chat(records_of_turns(rows)))
