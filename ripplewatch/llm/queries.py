@@ -117,3 +117,10 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(format_chat(records_of_turns(rows)))
+
+
+@register("op3_lz_fingerprint")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.lzprint import compare_neighbours
+
+    return compare_neighbours(table(spark, sf_dir, "documents"))
