@@ -124,3 +124,10 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplewatch.llm.lzprint import compare_neighbours
 
     return compare_neighbours(table(spark, sf_dir, "documents"))
+
+
+@register("op6_html_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
