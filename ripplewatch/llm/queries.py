@@ -37,7 +37,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     tokenizer, folder = public_tokenizers.path("byte_bpe_50k.json"), shared_folder(spark, "tokens")
     docs = table(spark, sf_dir, "documents")
-    return read_tokens(write_tokens(docs, folder, tokenizer, public_tokenizers.PATTERN, 2), digests=True)
+    return read_tokens(write_tokens(docs, folder, tokenizer, 2), digests=True)
 
 
 @register("op9_decontamination")

@@ -17,11 +17,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplewatch.llm.bytetext import gather
 from ripplewatch.llm.common import ROWS_PER_BUCKET, documents, ordered_buckets, texts_of
 
 NULL_ID = -(2**63)
@@ -30,39 +30,88 @@ _tokenizers: dict = {}
 
 
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct pre-token once.
+    """Encodes texts with the tokenizers library, each distinct piece between spaces once.
 
-    The library's byte-level tokenizer splits a text by the same pattern before it merges, so the ids of a text are
-    those of its pre-tokens in order. What is known is only a cache: it is emptied when it is full.
+    Byte-level pre-tokenizers never join characters across a space that follows a visible character: the space opens
+    the next pre-token. So the ids of a text are those of its pieces, each with its space in front, in order. A text in
+    which white space meets white space is given to the library whole. What is known is only a cache, emptied when
+    it is full.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
-        self.words_of = regex.compile(pattern).findall
-        self.known: dict[str, np.ndarray] = {}
+        self.lengths = np.zeros(self.size, np.int64)  # in bytes; the byte-level alphabet has a character for each
+        for token, at in self.tokenizer.get_vocab().items():
+            self.lengths[at] = len(token)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.first: dict[str, int] = {}  # pieces that open a text, without a space
+        self.later: dict[str, int] = {}
+        self.odd = np.zeros(0, bool)
+        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, pieces: list[str], odd: list[bool]) -> None:
+        ids, counts = [self.flat], []
+        for low in range(0, len(pieces), 1000):
+            some = pieces[low : low + 1000]
+            made = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
+            ids.append(np.array(made.ids, np.uint32))
+            # Tokens spell the bytes of the pieces without gaps, so their lengths tell where each piece ends.
+            ends = np.cumsum([len(p.encode("utf-8")) for p in some])
+            upto = np.searchsorted(np.cumsum(self.lengths[ids[-1]]), ends, side="right")
+            counts.append(np.diff(upto, prepend=0))
+        self.flat = np.concatenate(ids)
+        self.offsets = np.r_[self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(counts))]
+        self.odd = np.r_[self.odd, np.array(odd, bool)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        rows = [self.words_of(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {}
-        fresh = list({w: None for row in rows for w in row if w not in self.known})
-        for start in range(0, len(fresh), 20_000):
-            some = fresh[start : start + 20_000]
-            made = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((w, m.ids) for w, m in zip(some, made, strict=True))
-        get = self.known.__getitem__
-        return [np.array([i for w in row for i in get(w)], np.uint32) for row in rows]
-
-
-def _encoder(path: str, pattern: str) -> WordEncoder:
-    if (path, pattern) not in _tokenizers:
-        _tokenizers[path, pattern] = WordEncoder(path, pattern)
-    return _tokenizers[path, pattern]
+        if len(self.odd) > KNOWN_WORDS:
+            self._forget()
+        n, rows = len(self.odd), []
+        first, later, fresh = self.first, self.later, []
+        for text in texts:
+            pieces = text.split(" ")
+            head = first.get(pieces[0])
+            if head is None:
+                head = first[pieces[0]] = n + len(fresh)
+                fresh.append(pieces[0])
+            row = [head]
+            for piece in pieces[1:]:
+                at = later.get(piece)
+                if at is None:
+                    at = later[piece] = n + len(fresh)
+                    fresh.append(" " + piece)
+                row.append(at)
+            rows.append(np.array(row, np.int64))
+        if fresh:
+            self._learn(fresh, [_meets_blank(p) for p in fresh])
+        out = []
+        for text, row in zip(texts, rows, strict=True):
+            if self.odd[row].any():
+                made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+                out.append(np.array(made.ids, np.uint32))
+            else:
+                low = self.offsets[row]
+                out.append(gather(self.flat, low, self.offsets[row + 1] - low))
+        return out
+
+
+def _meets_blank(piece: str) -> bool:
+    """Whether the piece brings white space next to the space before or after it."""
+    body = piece[1:] if piece.startswith(" ") else piece
+    return not body or body[0].isspace() or body[-1].isspace()
+
+
+def _encoder(path: str) -> WordEncoder:
+    if path not in _tokenizers:
+        _tokenizers[path] = WordEncoder(path)
+    return _tokenizers[path]
 
 
 class _RangeFile:
@@ -93,7 +142,7 @@ class _RangeFile:
 
 
 def write_tokens(
-    docs: DataFrame, folder: str, tokenizer_path: str, pattern: str, end_id: int, *, rows_per_file: int = ROWS_PER_BUCKET
+    docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, *, rows_per_file: int = ROWS_PER_BUCKET
 ) -> DataFrame:
     """Write the files and return the manifest (bucket, uri, dtype, n_docs, n_tokens, base), stored beside them.
 
@@ -108,7 +157,7 @@ def write_tokens(
     def write(batches):
         out, done = None, []
         for batch in batches:
-            encoder = _encoder(tokenizer_path, pattern)
+            encoder = _encoder(tokenizer_path)
             dtype = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
             keys, texts, buckets = batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_numpy()
             start = 0
