@@ -24,6 +24,7 @@ TRAIN_ROWS = 20_000
 LEXICON_SIZE = 5_000
 THRESHOLD = 0.7
 STEM_LENGTHS = range(4, 13)
+WORDS_OF_STEM = 5
 WORD = re.compile(r"\w+")
 #: Opening and closing quotation marks.
 QUOTES = {'"': '"', "“": "”", "„": "“", "«": "»", "‹": "›", "‘": "’"}
@@ -218,7 +219,7 @@ def _term_counts(rows: DataFrame, among: frozenset | None) -> DataFrame:
 
 
 def _contexts(rows: DataFrame, terms: frozenset) -> dict[str, int]:
-    """Behind how many different words each term stands: a word of many copies of one text stands behind one."""
+    """Behind how many different words each word stands, and under each stem: in copies of one text it is few."""
 
     def pairs(batches):
         found = set()
@@ -226,8 +227,10 @@ def _contexts(rows: DataFrame, terms: frozenset) -> dict[str, int]:
             for text in texts_of(batch):
                 before = ""
                 for word in WORD.findall(text.lower()):
-                    named = [word + " ", *(word[:n] for n in STEM_LENGTHS if n < len(word))]
-                    found.update((t, zlib.crc32(before.encode()) % 1024) for t in named if t in terms)
+                    if word + " " in terms:
+                        found.add((word + " ", zlib.crc32(before.encode()) % 1024))
+                    stems = (word[:n] for n in STEM_LENGTHS if n < len(word))
+                    found.update((t, zlib.crc32(word.encode()) % 1024) for t in stems if t in terms)
                     before = word
         terms_found, behind = zip(*found, strict=True) if found else ((), ())
         yield pa.RecordBatch.from_arrays(
@@ -238,24 +241,29 @@ def _contexts(rows: DataFrame, terms: frozenset) -> dict[str, int]:
     return {r["term"]: r["count"] for r in spread.groupBy("term").count().collect()}
 
 
-def _lexicon(toxic: dict[str, int], clean: dict[str, int]) -> tuple[list[str], list[str]]:
-    """Words and stems that are toxic beyond chance; stems only where many different words stand under them."""
+def _lexicon(toxic: dict[str, int], clean: dict[str, int], spread: dict[str, int]) -> tuple[list[str], list[str]]:
+    """Words and stems that are toxic beyond chance; stems only where several different words stand under them."""
     good = _beyond(toxic, clean)
     words = [t[:-1] for t in good if t.endswith(" ")]
-    below: dict[str, int] = {}
-    for t in toxic:
+    commonest: dict[str, int] = {}  # of the words under each stem
+    for t, n in toxic.items():
         if t.endswith(" "):
-            for n in STEM_LENGTHS:
-                if n < len(t) - 1:
-                    below[t[:n]] = below.get(t[:n], 0) + 1
+            for size in STEM_LENGTHS:
+                if size < len(t) - 1:
+                    commonest[t[:size]] = max(commonest.get(t[:size], 0), n)
+    open_stems = {
+        t
+        for t in good
+        if not t.endswith(" ") and spread.get(t, 0) >= WORDS_OF_STEM and 1.5 * commonest.get(t, 0) <= toxic[t]
+    }
     stems = []
-    for t in sorted((t for t in good if not t.endswith(" ") and below.get(t, 0) >= 5), key=len):
+    for t in sorted(open_stems, key=lambda t: (len(t), t)):
         if any(t.startswith(s) for s in stems):
             continue
         while True:  # the longest stem that still stands in nearly all documents of this one
-            longer = [u for u in good if len(u) == len(t) + 1 and u.startswith(t) and not u.endswith(" ")]
+            longer = [u for u in open_stems if len(u) == len(t) + 1 and u.startswith(t)]
             best = max(longer, key=lambda u: (toxic[u], u), default=None)
-            if best is None or toxic[best] < 0.95 * toxic[t] or below.get(best, 0) < 5:
+            if best is None or toxic[best] < 0.95 * toxic[t]:
                 break
             t = best
         stems.append(t)
@@ -311,7 +319,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, s
     in_clean = {r["term"]: r["n"] for r in _term_counts(clean, frozenset(in_toxic)).collect()}
     spread = _contexts(toxic, frozenset(_beyond(in_toxic, in_clean)))
     in_toxic = {t: n for t, n in in_toxic.items() if spread.get(t, 0) >= max(3, least // 2)}
-    words, stems = _lexicon(in_toxic, in_clean)
+    words, stems = _lexicon(in_toxic, in_clean, spread)
     ranked = sorted(words, key=lambda w: (-in_toxic[w + " "], w))[:size]
     scorer = Scorer(ranked, stems[:size])
     rows = _features(sample, scorer).collect()  # a few numbers for each row of the bounded sample
