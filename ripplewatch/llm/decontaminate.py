@@ -199,13 +199,14 @@ def _match(docs: DataFrame, windows: Windows, keep_spans: bool) -> DataFrame:
                     (keys[row + d], int(n_words[d]), int(n_hit[d]), sorted(items.get(d, ())), spans.get(d, []), content[row + d])
                     for d in range(len(n_words))
                 ]
-            yield pd.DataFrame(rows, columns=names)
+            yield rows
 
     def arrow(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int64())), pa.string()]
-        for frame in match(batches):
-            columns = [pa.array(frame[c].tolist(), kind) for c, kind in zip(names, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+        for rows in match(batches):
+            columns = zip(*rows, strict=True) if rows else [()] * len(names)
+            made = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(made, names=names)
 
     schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<long>>, content string"
     content = F.md5("text") if keep_spans else F.lit(None).cast("string")
