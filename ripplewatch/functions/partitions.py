@@ -11,6 +11,7 @@ checkpointed (reliably, in the folder the cluster names) before anything reads t
 """
 
 import tempfile
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,10 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it stays within ``max_rows``; otherwise let it shuffle."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    """Broadcast ``df`` only after counting that it stays within ``max_rows``; otherwise let it shuffle.
+
+    The count is one number from each task; a limit before it would send rows through a single one.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df
 
 
 def largest_group(df: DataFrame, keys) -> int:
@@ -89,11 +91,13 @@ def with_rank(df: DataFrame, order, name: str = "rank", total: str | None = None
 def hash_rank(df: DataFrame, key: Column, within=(), name: str = "rank", total: str | None = None) -> DataFrame:
     """1-based rank by an md5 sort key, optionally within a few classes.
 
-    Hash prefixes split the rows evenly without sampling, so no checkpoint is needed: rows are numbered inside
-    one of 4096 prefix cells and the cell offsets are a table of at most 4096 rows per class.
+    Hash prefixes split the rows evenly without sampling, so no checkpoint is needed: rows are numbered inside a
+    prefix cell, of which there are as many as keep about 65,536 rows or fewer in each, and the cell offsets are
+    a small table.
     """
     within = list(within)
-    rows = df.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
+    digits = max(3, ceil(log(max(df.count() / 65_536, 1), 16)))
+    rows = df.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, digits))
     cells = rows.groupBy(*within, "_cell").agg(F.count(F.lit(1)).alias("_n"))
     scope = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     before = scope.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,8 +108,7 @@ def hash_rank(df: DataFrame, key: Column, within=(), name: str = "rank", total:
         F.sum("_n").over(scope).alias("_total"),
     )
     local = F.row_number().over(Window.partitionBy(*within, "_cell").orderBy("_key"))
-    # Without classes there are at most 4096 cells; with classes their number is checked.
-    cells = broadcast_if_small(cells) if within else F.broadcast(cells)
+    cells = broadcast_if_small(cells)
     out = rows.withColumn("_local", local).join(cells, [*within, "_cell"])
     out = out.withColumn(name, F.col("_offset") + F.col("_local"))
     if total:
@@ -113,6 +116,21 @@ def hash_rank(df: DataFrame, key: Column, within=(), name: str = "rank", total:
     return out.drop("_key", "_cell", "_local", "_offset", "_total")
 
 
+def lowest_by_hash(df: DataFrame, limit: int, order: str, rows: int) -> DataFrame:
+    """The ``limit`` rows of least ``order``, an evenly spread hexadecimal hash, of a table of ``rows`` rows.
+
+    A threshold on the hash leaves little more than ``limit`` rows before they are sorted, so partitions do not each
+    send ``limit`` rows to the task that picks; it is doubled in the rare case that it leaves too few.
+    """
+    share = 1.2 * (limit + 100) / max(rows, 1)
+    while share < 0.5:
+        near = df.filter(F.substring(order, 1, 8) < f"{int(share * 16**8):08x}")
+        if near.count() >= limit:
+            return near.orderBy(order).limit(limit)
+        share *= 2
+    return df.orderBy(order).limit(limit)
+
+
 def cut_by_key(df: DataFrame, keys, order, max_rows: int) -> tuple[DataFrame, bool]:
     """``key_slices`` and whether any key had to be cut."""
     if largest_group(df, keys) <= max_rows:

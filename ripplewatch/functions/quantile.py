@@ -57,3 +57,59 @@ def _one(values: DataFrame, n: int, point: float, small: int) -> float:
     marks = [(low_rank - below) / span, (high_rank - below) / span]
     a, b = rows.agg(F.percentile("v", F.array(*[F.lit(m) for m in marks]))).first()[0]
     return float(a) if weight == 0 else float(a) + (float(b) - float(a)) * weight
+
+
+def exact_medians(df: DataFrame, columns: dict, *, small: int = SMALL) -> dict[str, float | None]:
+    """Medians of several numeric expressions; one pass over a table that fits one task, else bracketed one by one."""
+    if df.count() <= small:
+        row = df.agg(*[F.percentile(c.cast("double"), F.lit(0.5)).alias(n) for n, c in columns.items()]).first()
+        return {n: None if row[n] is None else float(row[n]) for n in columns}
+    return {n: exact_quantiles(df.select(c.alias("x")), "x", [0.5], small=small)[0] for n, c in columns.items()}
+
+
+CELLS = 4096
+FINE = 10_000
+
+
+def _cell_of_rank(values: DataFrame, rank: int) -> tuple[int, int, int]:
+    """(low, high, rank inside): a range of the whole number ``v`` that holds the row at ``rank``, and few others.
+
+    Each round is one map-side combined count over at most ``CELLS`` cells.
+    """
+    span = values.agg(F.min("v"), F.max("v")).first()
+    low, high = span[0], span[1]
+    while True:
+        width = max(1, -(-(high - low + 1) // CELLS))
+        inside = values.filter(F.col("v").between(low, high))
+        cells = inside.groupBy(F.floor((F.col("v") - low) / width).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        for cell, n in sorted(tuple(r) for r in cells.collect()):
+            if rank <= n:
+                break
+            rank -= n
+        low, high = low + cell * width, min(high, low + (cell + 1) * width - 1)
+        if width == 1 or n <= FINE:
+            return low, high, rank
+
+
+def boundary_row(df: DataFrame, ts: str, tie: str, rank: int):
+    """(microseconds, tie) of the row at 1-based ``rank`` in the order of (ts, tie), without sorting the table.
+
+    Timestamps are narrowed to one that holds the rank, then the whole-number ``tie`` among its rows. Rows with a null
+    time or tie are not counted. At most ``FINE`` rows meet in the final, exact step.
+    """
+    rows = df.select(F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.col(tie).cast("bigint").alias("tie")).dropna()
+    low, high, rank = _cell_of_rank(rows.select(F.col("us").alias("v")), rank)
+    rows = rows.filter(F.col("us").between(low, high))
+    if low == high:
+        a, b, rank = _cell_of_rank(rows.select(F.col("tie").alias("v")), rank)
+        rows = rows.filter(F.col("tie").between(a, b))
+        if a == b:
+            return low, a
+    edge = rows.orderBy("us", "tie").limit(rank).agg(F.max(F.struct("us", "tie")).alias("e")).first()["e"]
+    return edge["us"], edge["tie"]
+
+
+def not_after(ts: str, tie: str, edge):
+    """Whether a row stands at or before ``edge`` in the order of (ts, tie)."""
+    us, key = F.unix_micros(F.col(ts).cast("timestamp")), F.col(tie).cast("bigint")
+    return (us < edge[0]) | ((us == edge[0]) & (key <= edge[1]))

@@ -66,71 +66,71 @@ FINANCIAL_TYPES = (
     "Social Safety Net",
 )
 
-# --- fixed values: dependency edges (src, tgt, edge type, probability) ---
+# --- fixed values: dependency edges (src, tgt, edge type, probability, confidence in the edge) ---
 EDGES = [
-    ("Traffic_Cam_1", "Traffic_Controller", "communicates_with", 0.9),
-    ("Traffic_Cam_2", "Traffic_Controller", "communicates_with", 0.9),
-    ("Traffic_Controller", "Power_Substation", "depends_on", 0.95),
-    ("Traffic_Controller", "Emergency_Route_System", "controls", 0.5),
-    ("Power_Substation", "City_Grid", "depends_on", 0.95),
-    ("SCADA_Historian", "Traffic_Controller", "communicates_with", 0.2),
-    ("SCADA_Historian", "Traffic_Cam_1", "communicates_with", 0.2),
-    ("SCADA_Historian", "Traffic_Cam_2", "communicates_with", 0.2),
-    ("Citizen_Portal", "City_Payment_Gateway", "pays_through", 0.9),
-    ("City_Payment_Gateway", "Bank_Partner_API", "pays_through", 0.95),
-    ("City_Payment_Gateway", "Social_Welfare_System", "pays_through", 0.85),
-    ("Municipal_Bond_Platform", "Bank_Partner_API", "communicates_with", 0.7),
-    ("Traffic_Controller", "City_Payment_Gateway", "communicates_with", 0.5),
-    ("Power_Substation", "City_Payment_Gateway", "depends_on", 0.4),
-    ("City_Operations_Center", "Grid_SCADA", "controls", 0.6),
-    ("City_Operations_Center", "Water_Pump_Station", "controls", 0.55),
-    ("City_Operations_Center", "Metro_Signalling_System", "controls", 0.6),
-    ("City_Operations_Center", "Fire_Dispatch_System", "controls", 0.5),
-    ("City_Operations_Center", "Hospital_Network", "communicates_with", 0.4),
-    ("City_Operations_Center", "City_Data_Center", "controls", 0.65),
-    ("City_Operations_Center", "Identity_Provider", "controls", 0.7),
-    ("City_Operations_Center", "Log_Aggregator", "communicates_with", 0.5),
-    ("City_Operations_Center", "Waste_Management_System", "controls", 0.3),
-    ("City_Operations_Center", "Voting_Infrastructure", "controls", 0.3),
-    ("SCADA_Historian", "City_Operations_Center", "communicates_with", 0.15),
-    ("Grid_SCADA", "City_Operations_Center", "communicates_with", 0.2),
-    ("Metro_Signalling_System", "City_Operations_Center", "communicates_with", 0.15),
-    ("Log_Aggregator", "City_Operations_Center", "communicates_with", 0.2),
-    ("Solar_Array_West", "Power_Substation_Beta", "depends_on", 0.4),
-    ("Battery_Storage_Facility", "Power_Substation_Beta", "depends_on", 0.6),
-    ("Grid_SCADA", "Power_Substation_Beta", "controls", 0.7),
-    ("Power_Substation_Beta", "City_Grid", "depends_on", 0.9),
-    ("Water_Quality_Sensors", "Water_Treatment_Plant", "communicates_with", 0.5),
-    ("Water_Pump_Station", "Water_Treatment_Plant", "depends_on", 0.7),
-    ("Water_Treatment_Plant", "Wastewater_Facility", "communicates_with", 0.3),
-    ("Power_Substation", "Water_Treatment_Plant", "depends_on", 0.4),
-    ("Bridge_Sensors", "Metro_Signalling_System", "communicates_with", 0.3),
-    ("Traffic_Controller", "Metro_Signalling_System", "controls", 0.3),
-    ("EV_Charging_Network", "Power_Substation_Beta", "depends_on", 0.45),
-    ("Siren_Network", "Fire_Dispatch_System", "communicates_with", 0.4),
-    ("Fire_Dispatch_System", "EMS_Dispatch", "communicates_with", 0.5),
-    ("Police_CAD_System", "EMS_Dispatch", "communicates_with", 0.45),
-    ("Emergency_Route_System", "Police_CAD_System", "communicates_with", 0.3),
-    ("Ambulance_Telemetry", "Hospital_Network", "communicates_with", 0.4),
-    ("Hospital_Network", "Health_Registry", "communicates_with", 0.5),
-    ("EMS_Dispatch", "Hospital_Network", "communicates_with", 0.35),
-    ("Fiber_Backbone", "Municipal_DNS", "depends_on", 0.7),
-    ("Municipal_DNS", "City_Data_Center", "depends_on", 0.6),
-    ("City_Data_Center", "Backup_Vault", "depends_on", 0.5),
-    ("Identity_Provider", "City_Data_Center", "controls", 0.75),
-    ("Fiber_Backbone", "SCADA_Historian", "communicates_with", 0.2),
-    ("City_Payment_Gateway", "Tax_Collection_System", "pays_through", 0.5),
-    ("Bank_Partner_API", "Payroll_System", "pays_through", 0.4),
-    ("Tax_Collection_System", "Payroll_System", "communicates_with", 0.25),
-    ("Identity_Provider", "Tax_Collection_System", "controls", 0.5),
-    ("Citizen_Portal", "Permits_System", "pays_through", 0.5),
-    ("Permits_System", "Records_Archive", "communicates_with", 0.35),
-    ("Voting_Infrastructure", "Identity_Provider", "depends_on", 0.5),
-    ("City_Data_Center", "Voting_Infrastructure", "depends_on", 0.6),
-    ("Air_Quality_Sensors", "Waste_Management_System", "communicates_with", 0.2),
-    ("Flood_Sensors", "Waste_Management_System", "communicates_with", 0.25),
-    ("Log_Aggregator", "SCADA_Historian", "communicates_with", 0.2),
-    ("Threat_Intel_Feed", "Log_Aggregator", "communicates_with", 0.15),
+    ("Traffic_Cam_1", "Traffic_Controller", "communicates_with", 0.9, 0.95),
+    ("Traffic_Cam_2", "Traffic_Controller", "communicates_with", 0.9, 0.95),
+    ("Traffic_Controller", "Power_Substation", "depends_on", 0.95, 0.9),
+    ("Traffic_Controller", "Emergency_Route_System", "controls", 0.5, 0.85),
+    ("Power_Substation", "City_Grid", "depends_on", 0.95, 0.95),
+    ("SCADA_Historian", "Traffic_Controller", "communicates_with", 0.2, 0.8),
+    ("SCADA_Historian", "Traffic_Cam_1", "communicates_with", 0.2, 0.8),
+    ("SCADA_Historian", "Traffic_Cam_2", "communicates_with", 0.2, 0.8),
+    ("Citizen_Portal", "City_Payment_Gateway", "pays_through", 0.9, 0.95),
+    ("City_Payment_Gateway", "Bank_Partner_API", "pays_through", 0.95, 0.95),
+    ("City_Payment_Gateway", "Social_Welfare_System", "pays_through", 0.85, 0.9),
+    ("Municipal_Bond_Platform", "Bank_Partner_API", "communicates_with", 0.7, 0.8),
+    ("Traffic_Controller", "City_Payment_Gateway", "communicates_with", 0.5, 0.75),
+    ("Power_Substation", "City_Payment_Gateway", "depends_on", 0.4, 0.7),
+    ("City_Operations_Center", "Grid_SCADA", "controls", 0.6, 0.85),
+    ("City_Operations_Center", "Water_Pump_Station", "controls", 0.55, 0.8),
+    ("City_Operations_Center", "Metro_Signalling_System", "controls", 0.6, 0.8),
+    ("City_Operations_Center", "Fire_Dispatch_System", "controls", 0.5, 0.75),
+    ("City_Operations_Center", "Hospital_Network", "communicates_with", 0.4, 0.7),
+    ("City_Operations_Center", "City_Data_Center", "controls", 0.65, 0.85),
+    ("City_Operations_Center", "Identity_Provider", "controls", 0.7, 0.85),
+    ("City_Operations_Center", "Log_Aggregator", "communicates_with", 0.5, 0.8),
+    ("City_Operations_Center", "Waste_Management_System", "controls", 0.3, 0.7),
+    ("City_Operations_Center", "Voting_Infrastructure", "controls", 0.3, 0.7),
+    ("SCADA_Historian", "City_Operations_Center", "communicates_with", 0.15, 0.8),
+    ("Grid_SCADA", "City_Operations_Center", "communicates_with", 0.2, 0.75),
+    ("Metro_Signalling_System", "City_Operations_Center", "communicates_with", 0.15, 0.75),
+    ("Log_Aggregator", "City_Operations_Center", "communicates_with", 0.2, 0.75),
+    ("Solar_Array_West", "Power_Substation_Beta", "depends_on", 0.4, 0.7),
+    ("Battery_Storage_Facility", "Power_Substation_Beta", "depends_on", 0.6, 0.8),
+    ("Grid_SCADA", "Power_Substation_Beta", "controls", 0.7, 0.85),
+    ("Power_Substation_Beta", "City_Grid", "depends_on", 0.9, 0.9),
+    ("Water_Quality_Sensors", "Water_Treatment_Plant", "communicates_with", 0.5, 0.85),
+    ("Water_Pump_Station", "Water_Treatment_Plant", "depends_on", 0.7, 0.85),
+    ("Water_Treatment_Plant", "Wastewater_Facility", "communicates_with", 0.3, 0.7),
+    ("Power_Substation", "Water_Treatment_Plant", "depends_on", 0.4, 0.7),
+    ("Bridge_Sensors", "Metro_Signalling_System", "communicates_with", 0.3, 0.7),
+    ("Traffic_Controller", "Metro_Signalling_System", "controls", 0.3, 0.7),
+    ("EV_Charging_Network", "Power_Substation_Beta", "depends_on", 0.45, 0.7),
+    ("Siren_Network", "Fire_Dispatch_System", "communicates_with", 0.4, 0.75),
+    ("Fire_Dispatch_System", "EMS_Dispatch", "communicates_with", 0.5, 0.8),
+    ("Police_CAD_System", "EMS_Dispatch", "communicates_with", 0.45, 0.8),
+    ("Emergency_Route_System", "Police_CAD_System", "communicates_with", 0.3, 0.75),
+    ("Ambulance_Telemetry", "Hospital_Network", "communicates_with", 0.4, 0.75),
+    ("Hospital_Network", "Health_Registry", "communicates_with", 0.5, 0.8),
+    ("EMS_Dispatch", "Hospital_Network", "communicates_with", 0.35, 0.75),
+    ("Fiber_Backbone", "Municipal_DNS", "depends_on", 0.7, 0.85),
+    ("Municipal_DNS", "City_Data_Center", "depends_on", 0.6, 0.8),
+    ("City_Data_Center", "Backup_Vault", "depends_on", 0.5, 0.8),
+    ("Identity_Provider", "City_Data_Center", "controls", 0.75, 0.85),
+    ("Fiber_Backbone", "SCADA_Historian", "communicates_with", 0.2, 0.75),
+    ("City_Payment_Gateway", "Tax_Collection_System", "pays_through", 0.5, 0.8),
+    ("Bank_Partner_API", "Payroll_System", "pays_through", 0.4, 0.75),
+    ("Tax_Collection_System", "Payroll_System", "communicates_with", 0.25, 0.7),
+    ("Identity_Provider", "Tax_Collection_System", "controls", 0.5, 0.75),
+    ("Citizen_Portal", "Permits_System", "pays_through", 0.5, 0.8),
+    ("Permits_System", "Records_Archive", "communicates_with", 0.35, 0.75),
+    ("Voting_Infrastructure", "Identity_Provider", "depends_on", 0.5, 0.75),
+    ("City_Data_Center", "Voting_Infrastructure", "depends_on", 0.6, 0.8),
+    ("Air_Quality_Sensors", "Waste_Management_System", "communicates_with", 0.2, 0.65),
+    ("Flood_Sensors", "Waste_Management_System", "communicates_with", 0.25, 0.65),
+    ("Log_Aggregator", "SCADA_Historian", "communicates_with", 0.2, 0.75),
+    ("Threat_Intel_Feed", "Log_Aggregator", "communicates_with", 0.15, 0.6),
 ]
 
 # --- fixed values: decoy credentials (zone, credential id, user name, emulated protocol); no secrets kept ---
@@ -234,7 +234,7 @@ def inline_table(spark: SparkSession, rows, columns) -> DataFrame:
 
 ASSET_COLUMNS = ("ip", "name", "type", "criticality", "purdue_level", "sector")
 REGISTRY_COLUMNS = ("identifier", "name", "criticality", "position")
-EDGE_COLUMNS = ("position", "src", "tgt", "edge_type", "prob")
+EDGE_COLUMNS = ("position", "src", "tgt", "edge_type", "prob", "confidence")
 
 
 def registry_rows():

@@ -62,7 +62,7 @@ def beaconing_verdicts(
     summary = F.when(
         fired,
         F.format_string(
-            "Periodic connection detected to %s:%d (mean interval %.2fs, jitter/CV %.2f over %d intervals).",
+            "Calls %s port %d about every %.2fs; relative spread %.2f in %d gaps.",
             F.col("destination_ip"), F.col("destination_port"), F.col("mean_interval_sec"), F.col("beacon_cv"),
             F.col("usable_intervals"),
         ),

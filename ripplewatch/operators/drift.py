@@ -359,20 +359,19 @@ def drift_summary() -> Column:
         (
             F.col("history_peers") == 0,
             F.format_string(
-                "Cold-start host %s initiated %d novel external connection(s) to destinations unseen anywhere in the "
-                "baseline (no prior history for this host).", host, novel,
+                # Fixed value: the opening words.
+                "Cold-start host %s has no past of its own; %d of its peers were never contacted by any host before.",
+                host, novel,
             ),
         ),
         (
             novel > 0,
             F.format_string(
-                "Host %s contacted %d novel peer(s) (%.0f%% of this window's peers unseen in its own history); "
-                "fan-out %.1fx its baseline.", host, novel, 100 * F.col("unseen_peer_ratio"), F.col("degree_expansion"),
+                "%s reached %d peer(s) for the first time, %.0f%% of those in this window, at %.1f times its usual number.", host, novel, 100 * F.col("unseen_peer_ratio"), F.col("degree_expansion"),
             ),
         ),
         default=F.format_string(
-            "Host %s contacted no new peers, but its structural profile is an outlier against its own history "
-            "(fan-out %.1fx baseline, peer-set drift %.2f).", host, F.col("degree_expansion"), F.col("neighbor_drift"),
+            "%s kept to known peers but not to its habits: %.1f times its usual number of them, set distance %.2f.", host, F.col("degree_expansion"), F.col("neighbor_drift"),
         ),
     )
     return F.when(F.col("drift_fired"), text)

@@ -1,5 +1,8 @@
 """Asset dependency graph: gateway rewrite, node table, topology roll-up, breadth-first distances."""
 
+import warnings
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,11 +110,12 @@ def collapse_sectors(
     return folded, links
 
 
-def hop_distances(graph: DataFrame, origins: DataFrame, *, max_depth: int = 64) -> DataFrame:
+def hop_distances(graph: DataFrame, origins: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(origin, node, hop, parent) by undirected breadth-first search from every origin.
 
     One join per level; each level is checkpointed, so lineage stays flat. Among several possible parents the
-    smallest name is kept. The loop ends with the first empty level.
+    smallest name is kept. The loop ends with the first empty level. ``max_depth`` leaves out nodes further away and
+    warns if there are any.
     """
     both = graph.select("src", "tgt").unionByName(graph.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")))
     links = broadcast_if_small(cut_lineage(both.filter(F.col("src") != F.col("tgt")).distinct()))
@@ -121,27 +125,28 @@ def hop_distances(graph: DataFrame, origins: DataFrame, *, max_depth: int = 64)
         )
     )
     seen = level
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = level.join(links, level["node"] == links["src"]).groupBy("origin", F.col("tgt").alias("node")).agg(
             F.lit(depth).alias("hop"), F.min(level["node"]).alias("parent")
         )
         level = cut_lineage(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"))
         if level.isEmpty():
-            break
+            return seen
+        if max_depth is not None and depth > max_depth:
+            warnings.warn(f"nodes more than {max_depth} hops away are left out", stacklevel=2)
+            return seen
         seen = seen.unionByName(level)
-    return seen
 
 
-def path_edges(distances: DataFrame, impacted: DataFrame, *, max_depth: int = 64) -> DataFrame:
+def path_edges(distances: DataFrame, impacted: DataFrame) -> DataFrame:
     """(origin, node, parent) edges on the tree paths from each origin to its impacted nodes."""
     tree = distances.filter(F.col("parent").isNotNull()).select("origin", "node", "parent", "hop")
     level = cut_lineage(tree.join(impacted.select("origin", "node").distinct(), ["origin", "node"], "left_semi"))
     found = level
-    for _ in range(max_depth):
+    while True:
         up = level.select("origin", F.col("parent").alias("node")).distinct()
         fresh = tree.join(up, ["origin", "node"], "left_semi").join(found, ["origin", "node"], "left_anti")
         level = cut_lineage(fresh)
         if level.isEmpty():
-            break
+            return found.select("origin", "node", "parent")
         found = found.unionByName(level)
-    return found.select("origin", "node", "parent")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import hash_order
-from ripplewatch.functions.partitions import cut_lineage
+from ripplewatch.functions.partitions import cut_lineage, lowest_by_hash
 from ripplewatch.functions.quantile import exact_quantiles
 
 _NODE = "tree int, node int, feature int, cut double, low int, high int, depth double"
@@ -85,7 +85,7 @@ def fit_iforest(
     features = tuple(features)
     columns = [F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)]
     order = hash_order(seed, F.col(key))
-    pool = df.select(order.alias("_o"), *columns).orderBy("_o").limit(trees * sample)
+    pool = lowest_by_hash(df.select(order.alias("_o"), *columns), trees * sample, "_o", df.count())
     # The pool is bounded by trees * sample rows, so numbering it in one task is safe.
     numbered = pool.withColumn("_p", F.row_number().over(Window.orderBy("_o")) - 1).withColumn(
         "_n", F.count(F.lit(1)).over(Window.partitionBy())

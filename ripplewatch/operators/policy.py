@@ -62,20 +62,20 @@ def alert_content(df: DataFrame, *, asset: str = "source_asset") -> DataFrame:
         (
             kind == "tripwire",
             F.format_string(
-                "A honeytoken credential was used in traffic involving %s. Honeytokens have no legitimate use anywhere "
-                "in the system, so this is unambiguous compromise, not a statistical inference.", name,
+                "%s took part in traffic that presented a planted credential. Nobody is ever given that credential, so "
+                "its use proves an intrusion.", name,
             ),
         ),
         (
             kind == "volumetric",
             F.concat(
-                F.format_string("Volumetric anomaly on %s (calibrated score %.3f", name, F.col("volumetric_score")),
-                F.coalesce(F.concat(F.lit(", driven by "), driver), F.lit("")),
-                F.lit("). Unsupervised channel."),
+                F.format_string("Traffic volume of %s is unusual: score %.3f", name, F.col("volumetric_score")),
+                F.coalesce(F.concat(F.lit(", mostly from "), driver), F.lit("")),
+                F.lit(". Learned without labels."),
             ),
         ),
         default=F.format_string(
-            "Hybrid fusion escalated %s to band %s (threat_score %.3f) on evidence from: %s. %s", name, F.col("band"),
+            "Combined evidence puts %s in band %s at threat score %.3f. Channels: %s. %s", name, F.col("band"),
             F.col("threat_score"), F.concat_ws(", ", "fired_detectors"), F.col("rationale"),
         ),
     )
@@ -150,37 +150,34 @@ def prevention_decisions(
     out = computed(computed(df, corroborated=corroborated), prevention=action)
     a, band = F.col("prevention"), F.col("band")
     reason = ladder(
-        (low, F.format_string("band %s below the alert threshold; no prevention warranted", band)),
+        (low, F.format_string("nothing to prevent: band %s does not reach the alert level", band)),
         (
             ~F.col("corroborated"),
             F.format_string(
-                "band %s clears the alert threshold, but only %d detector(s) fired (need %d or a confirmed signal); "
-                "prevention withheld pending corroboration", band, F.col("n_fired"), F.lit(min_detectors),
+                "alert only: in band %s, but %d channel(s) agree where %d, or one confirmed signal, are asked for", band, F.col("n_fired"), F.lit(min_detectors),
             ),
         ),
         (
             a == "quarantine",
             F.format_string(
-                "corroborated signal (band %s) against a critical asset (criticality %.2f) with a real projected blast "
-                "radius (CII median %.3f): isolate", band, crit, impact,
+                "cut off: confirmed in band %s, target criticality %.2f, median impact of a cascade %.3f", band, crit, impact,
             ),
         ),
         (
             a == "block",
             F.format_string(
-                "corroborated signal (band %s, threat_score %.3f) against an asset of sufficient criticality (%.2f): block",
+                "block: confirmed in band %s at threat score %.3f, target criticality %.2f",
                 band, s, crit,
             ),
         ),
         (
             a == "rate_limit",
             F.format_string(
-                "corroborated signal (band %s, %d detectors fired) below the block threshold or target asset criticality: "
-                "rate-limit pending further evidence", band, F.col("n_fired"),
+                "slow down: confirmed in band %s by %d channel(s), but score or target stay under what blocking asks for", band, F.col("n_fired"),
             ),
         ),
         default=F.format_string(
-            "corroborated (band %s) but threat_score %.3f below every active-prevention threshold", band, s
+            "alert only: confirmed in band %s, but threat score %.3f is under every threshold for acting", band, s
         ),
     )
     seconds = ladder(*[(a == k, F.lit(v)) for k, v in zip(("rate_limit", "block", "quarantine"), ttl)])

@@ -130,9 +130,11 @@ def to_ml_features(df: DataFrame) -> DataFrame:
 
 
 def default_features(df: DataFrame) -> DataFrame:
-    """Fill in whichever feature columns the input lacks."""
+    """Fill in whichever feature columns the input lacks; without any size there is nothing to analyse."""
+    if not {"bytes", "payload_size"} & set(df.columns):
+        raise ValueError("flows need a 'bytes' or 'payload_size' column")
     fallback = {
-        "bytes": F.col("payload_size") if "payload_size" in df.columns else F.lit(500.0),
+        "bytes": F.col("payload_size") if "payload_size" in df.columns else F.col("bytes"),
         "duration_sec": F.lit(1.0),
         "packets": F.lit(1),
     }

@@ -44,7 +44,7 @@ def anomalous_endpoints(df: DataFrame, *, flag: str = "is_anomaly") -> DataFrame
 def asset_status(df: DataFrame, assets: DataFrame, *, flag: str = "is_anomaly") -> DataFrame:
     """Every asset with its status: highlighted when it is an endpoint of any flagged row."""
     hit = anomalous_endpoints(df, flag=flag).select(F.col("asset").alias("name"), F.lit(True).alias("_hit"))
-    status = F.when(F.col("_hit"), "Threat Highlighted").otherwise("Normal")
+    status = F.when(F.col("_hit"), "Threat Highlighted").otherwise("Secure")
     return assets.join(hit, "name", "left").withColumn("status", status).drop("_hit")
 
 

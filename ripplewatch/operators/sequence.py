@@ -1,11 +1,15 @@
 """Ordered operators: tie spreading, splits, segments, rolling trends, retention."""
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import epoch_micros, moment
 from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, cut_by_key, range_slices, with_rank
+from ripplewatch.functions.quantile import boundary_row, not_after
 
 
 def spread_ties(df: DataFrame, *, ts: str = "ts", tie: str = "event_id") -> DataFrame:
@@ -33,9 +37,12 @@ def temporal_split(df: DataFrame, *, fraction: float = S.SPLIT_FRACTION, ts: str
     """Add ``part``: the first floor(n * fraction) rows in time are ``train``, the rest ``test``."""
     if not 0.0 < fraction < 1.0:
         raise ValueError("fraction must lie strictly between 0 and 1")
-    ranked = with_rank(df, [ts, tie], "_rank", "_total_rows")
-    part = F.when(F.col("_rank") <= F.floor(F.col("_total_rows") * fraction), "train").otherwise("test")
-    return ranked.withColumn("part", part).drop("_rank", "_total_rows")
+    first = floor(df.count() * fraction)
+    if isinstance(df.schema[tie].dataType, IntegralType):  # one boundary row, then a filter
+        train = not_after(ts, tie, boundary_row(df, ts, tie, first)) if first else F.lit(False)
+        return df.withColumn("part", F.when(train, "train").otherwise("test"))
+    ranked = with_rank(df, [ts, tie], "_rank")
+    return ranked.withColumn("part", F.when(F.col("_rank") <= first, "train").otherwise("test")).drop("_rank")
 
 
 def segments(
@@ -111,29 +118,39 @@ def retention_victims(
     ts: str = "ts",
     key: str = "event_id",
 ) -> DataFrame:
-    """Rows to prune: beyond the newest ``max_rows``, or older than ``max_age_sec`` before ``now``.
+    """Rows to prune: beyond the newest ``max_rows``, or older than ``max_age_sec`` before ``now``."""
+    return events.filter(is_victim(events, max_rows=max_rows, max_age_sec=max_age_sec, now=now, ts=ts, key=key))
 
-    The cap is turned into one boundary row (found by a top-k no larger than the cap), so pruning is a filter.
-    """
-    conditions: list[Column] = []
+
+def is_victim(
+    events: DataFrame,
+    *,
+    max_rows: int | None = S.RETENTION_ROWS,
+    max_age_sec: int | None = None,
+    now=None,
+    ts: str = "ts",
+    key: str = "event_id",
+) -> Column:
+    """Whether a row is pruned. The cap is one boundary row, narrowed by counts, so that pruning is a filter. ``key`` is a whole number."""
+    victim = F.lit(False)
     if max_rows is not None:
-        newest = events.select(ts, key).orderBy(F.col(ts).desc(), F.col(key).desc()).limit(max_rows)
-        edge = newest.agg(F.min(F.struct(ts, key)).alias("e"), F.count(F.lit(1)).alias("n")).first()
-        if edge["n"] == max_rows and max_rows > 0:
-            e, at = edge["e"], moment(events, ts, edge["e"][ts])
-            conditions.append((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(key) < F.lit(e[key]))))
-        elif max_rows == 0:
-            conditions.append(F.lit(True))
+        over = events.count() - max_rows
+        if over > 0:
+            victim = victim | not_after(ts, key, boundary_row(events, ts, key, over))
     if max_age_sec is not None:
         newest = events.agg(F.max(ts)).first()[0] if now is None else now
-        conditions.append(F.col(ts) < moment(events, ts, newest) - F.make_dt_interval(secs=F.lit(max_age_sec)))
-    victim = F.lit(False)
-    for c in conditions:
-        victim = victim | c
-    return events.filter(victim)
+        victim = victim | (F.col(ts) < moment(events, ts, newest) - F.make_dt_interval(secs=F.lit(max_age_sec)))
+    return F.coalesce(victim, F.lit(False))
 
 
-def retain(events: DataFrame, **limits) -> DataFrame:
+def retain(
+    events: DataFrame,
+    *,
+    max_rows: int | None = S.RETENTION_ROWS,
+    max_age_sec: int | None = None,
+    now=None,
+    ts: str = "ts",
+    key: str = "event_id",
+) -> DataFrame:
     """The rows that survive; see ``retention_victims``."""
-    key = limits.get("key", "event_id")
-    return events.join(retention_victims(events, **limits).select(key), key, "left_anti")
+    return events.filter(~is_victim(events, max_rows=max_rows, max_age_sec=max_age_sec, now=now, ts=ts, key=key))

@@ -38,11 +38,11 @@ def default_rules(*, small_payload: int = S.SMALL_PAYLOAD_BYTES, watch_list=inv.
         & net.is_external(dst)
     )
     return [
-        Rule("SIG-001", "Known-bad external address", 0.90, src.isin(*watch_list) | dst.isin(*watch_list)),
-        Rule("SIG-002", "Small-payload flow to a high port (C2-shaped)", 0.50, outbound_small),
-        Rule("SIG-004", "High-risk administrative/legacy service port", 0.40,
+        Rule("SIG-001", "Listed hostile address", 0.90, src.isin(*watch_list) | dst.isin(*watch_list)),
+        Rule("SIG-002", "Few bytes between high ports, outward", 0.50, outbound_small),
+        Rule("SIG-004", "Port of a remote administration service", 0.40,
              F.col("destination_port").isin(*inv.ADMIN_PORTS)),
-        Rule("SIG-005", "External address reaching a database/backend port", 0.65,
+        Rule("SIG-005", "Database port reached from outside", 0.65,
              net.is_external(src) & F.col("destination_port").isin(*inv.DATABASE_PORTS)),
     ]
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
-from ripplewatch.functions.quantile import exact_quantiles
+from ripplewatch.functions.quantile import exact_medians
 
 
 @dataclass(frozen=True)
@@ -45,13 +45,9 @@ def fit_scaler(df: DataFrame, features=S.FEATURES) -> list[FeatureStats]:
 
 def fit_mad(df: DataFrame, features=S.FEATURES) -> list[FeatureStats]:
     """Median and median absolute deviation per feature (1 when the deviation is 0)."""
-    out = []
-    for f in features:
-        (median,) = exact_quantiles(df, f, [0.5])
-        deviations = df.select(F.abs(F.col(f).cast("double") - F.lit(median)).alias("d"))
-        (mad,) = exact_quantiles(deviations, "d", [0.5])
-        out.append(FeatureStats(f, median, mad or 1.0, mad == 0))
-    return out
+    medians = exact_medians(df, {f: F.col(f) for f in features})
+    deviations = exact_medians(df, {f: F.abs(F.col(f).cast("double") - F.lit(m)) for f, m in medians.items()})
+    return [FeatureStats(f, m, deviations[f] or 1.0, deviations[f] == 0) for f, m in medians.items()]
 
 
 def standardised(stats: FeatureStats) -> Column:
@@ -106,11 +102,11 @@ def explain(df: DataFrame, model: list[FeatureStats]) -> DataFrame:
     summary = F.when(
         top["z"].isNull(),
         F.concat(
-            top["name"], F.lit(" "), F.format_number(top["value"], 0), F.lit(" vs constant warmup baseline "),
-            F.format_number(top["baseline_mean"], 0), F.lit(" (no variance in warmup, sigma undefined)"),
+            top["name"], F.lit(" "), F.format_number(top["value"], 0), F.lit(" where training only ever saw "),
+            F.format_number(top["baseline_mean"], 0),
         ),
     ).otherwise(
-        F.concat(top["name"], F.format_string(" %.1f sigma ", F.abs(top["z"])), top["direction"], F.lit(" baseline"))
+        F.concat(top["name"], F.format_string(": %.1f deviations ", F.abs(top["z"])), top["direction"], F.lit(" its mean"))
     )
     features = F.transform("_ranked", lambda e: e.dropFields("degenerate_rank", "order_key", "position"))
     return out.withColumns({"features": features, "top_feature": top["name"], "summary": summary}).drop("_ranked", "_top")

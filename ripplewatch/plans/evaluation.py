@@ -98,15 +98,17 @@ def file_quota_sample(t):
 
 @query(
     "rare_positive_top_up",
-    """SELECT event_id FROM (SELECT event_id, is_honeytoken_use, row_number() OVER (ORDER BY ts, event_id) AS r FROM flows)
-       WHERE CASE WHEN (SELECT count(*) FROM (SELECT is_honeytoken_use FROM flows ORDER BY ts, event_id LIMIT 2000) WHERE is_honeytoken_use) >= 50
-       THEN r <= 2000 ELSE r <= 1500 OR (is_honeytoken_use AND r BETWEEN 3000 AND 5999) END""",
+    """WITH ranked AS (SELECT event_id, is_honeytoken_use AS p, row_number() OVER (ORDER BY ts, event_id) AS r FROM flows),
+       head AS (SELECT count(*) FILTER (p AND r <= 2000) < 50 AS few FROM ranked),
+       later AS (SELECT event_id FROM ranked WHERE p AND r > 2000 ORDER BY r LIMIT 500)
+       SELECT event_id FROM ranked, head WHERE r <= CASE WHEN few THEN 2000 - (SELECT count(*) FROM later) ELSE 2000 END
+       UNION ALL SELECT l.event_id FROM later l, head WHERE few""",
 )
 def rare_positive_top_up(t):
     from ripplewatch.sources.payments import top_up_rare
 
     rows = t.flows.select("event_id", "ts", "is_honeytoken_use")
-    out = top_up_rare(rows, limit=2000, positive=F.col("is_honeytoken_use"), order=["ts", "event_id"], skip=3000)
+    out = top_up_rare(rows, limit=2000, positive=F.col("is_honeytoken_use"), order=["ts", "event_id"])
     return out.select("event_id")
 
 
@@ -161,10 +163,10 @@ def detector_benchmark_segments(t):
 def supervised_scores(t):
     """Class-balanced random forest fitted and scored on every flow."""
     rows = t.flows.drop("supervised_score")
-    model = supervised.fit_supervised(rows, trees=20, depth=6)
+    model = supervised.fit_supervised(rows)
     return supervised.score_supervised(rows, model).select("event_id", "supervised_score", "supervised_fired")
 
 
 @query("supervised_temporal_evaluation")
 def supervised_temporal_evaluation(t):
-    return supervised.temporal_split_evaluate(t.flows.drop("supervised_score"), trees=20, depth=6)
+    return supervised.temporal_split_evaluate(t.flows.drop("supervised_score"))

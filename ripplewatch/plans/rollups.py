@@ -79,7 +79,7 @@ def network_risk(t):
 @query(
     "asset_status",
     """SELECT name, CASE WHEN name IN (SELECT source_asset FROM resolved WHERE is_honeytoken_use UNION SELECT destination_asset FROM resolved WHERE is_honeytoken_use)
-       THEN 'Threat Highlighted' ELSE 'Normal' END AS status FROM assets""",
+       THEN 'Threat Highlighted' ELSE 'Secure' END AS status FROM assets""",
 )
 def asset_status(t):
     return rollup.asset_status(t.resolved, t.assets, flag="is_honeytoken_use").select("name", "status")

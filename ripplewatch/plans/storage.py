@@ -24,11 +24,13 @@ def keyed(t):
     """SELECT date_trunc('day', ts)::DATE AS event_date, count(*) AS n FROM flows GROUP BY ALL""",
 )
 def idempotent_write(t):
-    """Two overlapping deliveries into one table leave every event exactly once."""
+    """Overlapping deliveries into one table, one of them with corrected dates, leave every event exactly once."""
     path = sinks.scratch_path(t.spark, "events")
     rows = keyed(t)
     sinks.write_events(rows.filter("k < 60"), path)
     sinks.write_events(rows.filter("k >= 30").union(rows.filter("k >= 90")), path)
+    later = F.col("ts") + F.make_dt_interval(days=F.lit(40))
+    sinks.write_events(rows.filter("k between 10 and 40").withColumn("ts", later), path)
     return t.spark.read.parquet(path).groupBy("event_date").agg(F.count(F.lit(1)).alias("n"))
 
 

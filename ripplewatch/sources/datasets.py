@@ -31,19 +31,21 @@ def _payments(spark, path, registry, limit, *, fraud_only=False, **_):
     return read_payments(spark, path, registry, fraud_only=fraud_only, limit=limit)
 
 
+def _earliest(rows: DataFrame, limit: int | None) -> DataFrame:
+    """The first ``limit`` rows in time; ties are broken by a hash of the row."""
+    return rows.orderBy("timestamp", F.xxhash64(*rows.columns)).limit(limit) if limit else rows
+
+
 def _sensors(spark, path, registry, limit, **_):
-    rows = read_sensor_wide(spark, path)
-    return rows.limit(limit) if limit else rows
+    return _earliest(read_sensor_wide(spark, path), limit)
 
 
 def _edges(spark, path, registry, limit, **_):
-    rows = edges_to_canonical(spark.read.parquet(path), registry)
-    return rows.limit(limit) if limit else rows
+    return _earliest(edges_to_canonical(spark.read.parquet(path), registry), limit)
 
 
 def _deception(spark, path, registry, limit, *, zone=None, **_):
-    rows = honeytoken_events(spark.read.parquet(path), inv.decoys(spark), zone=zone)
-    return rows.limit(limit) if limit else rows
+    return _earliest(honeytoken_events(spark.read.parquet(path), inv.decoys(spark), zone=zone), limit)
 
 
 READERS: dict[str, Callable[..., DataFrame]] = {

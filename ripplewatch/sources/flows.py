@@ -1,13 +1,15 @@
 """Flow logs: the two labelled CSV layouts and generic connection tables."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions import net
 from ripplewatch.functions.clock import twelve_hour_timestamp
 from ripplewatch.functions.lookup import all_of, hash_order, ladder
-from ripplewatch.functions.partitions import broadcast_if_small, hash_rank
+from ripplewatch.functions.partitions import broadcast_if_small, hash_rank, lowest_by_hash
 from ripplewatch.operators.prepare import finite, flow_direction, label_evidence
 from ripplewatch.operators.resolve import resolve_assets
 
@@ -60,8 +62,8 @@ def stratified_sample(df: DataFrame, *, positive: Column, limit: int, key, seed:
     quota = min(p, limit // 2)
     order = hash_order(seed, *[F.col(k) for k in key])
     rows = df.withColumn("_order", order)
-    chosen = rows.filter(positive).orderBy("_order").limit(quota).unionByName(
-        rows.filter(~positive).orderBy("_order").limit(limit - quota)
+    chosen = lowest_by_hash(rows.filter(positive), quota, "_order", p).unionByName(
+        lowest_by_hash(rows.filter(~positive), limit - quota, "_order", n - p)
     )
     return chosen.drop("_order")
 
@@ -130,10 +132,11 @@ def flows_79_to_canonical(raw: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
-    """Text lines with file and line order, and the trimmed header of the first file.
+def _lines(spark: SparkSession, path: str) -> list[tuple[DataFrame, list[str]]]:
+    """Text lines with file and line order, and the trimmed header they go by: one pair for each distinct header.
 
-    Reading lines keeps ragged rows visible; every file must carry the same header.
+    Reading lines keeps ragged rows visible. A file's header is its first line that is not blank; files may order
+    their columns differently, and each must hold the required ones.
     """
     # The text source hands over raw bytes; decode them as what they are.
     text = spark.read.text(path).select(
@@ -141,19 +144,30 @@ def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
         F.input_file_name().alias("_file"),
         F.monotonically_increasing_id().alias("_line"),
     )
-    first = text.filter(F.length(F.trim("line")) > 0).limit(1).first()
-    if first is None:
+    heads = text.filter(F.length(F.trim("line")) > 0).groupBy("_file").agg(F.min_by("line", "_line").alias("line"))
+    layouts: dict[tuple, list[str]] = {}
+    for file, line in heads.collect():  # one row for each file
+        header = tuple(h.strip() for h in line.lstrip("﻿").split(","))
+        missing = sorted(set(REQUIRED_85) - set(header))
+        if missing:
+            raise ValueError(f"missing required columns in {file}: {missing}")
+        layouts.setdefault(header, []).append(file)
+    if not layouts:
         raise ValueError(f"no rows in {path}")
-    header = [h.strip() for h in first["line"].lstrip("﻿").split(",")]
-    missing = sorted(set(REQUIRED_85) - set(header))
-    if missing:
-        raise ValueError(f"missing required columns: {missing}")
-    return text, header
+    if len(layouts) == 1:
+        return [(text, list(header)) for header in layouts]
+    files = [(file, n) for n, own in enumerate(layouts.values()) for file in own]
+    of_layout = text.join(F.broadcast(spark.createDataFrame(files, "_file string, _layout int")), "_file")
+    return [(of_layout.filter(F.col("_layout") == n).drop("_layout"), list(h)) for n, h in enumerate(layouts)]
 
 
 def _parsed_85(spark: SparkSession, path: str) -> DataFrame:
     """One row per line with the parsed flow, or the first reason it was refused."""
-    text, header = _lines(spark, path)
+    parsed = [_parsed_lines(text, header) for text, header in _lines(spark, path)]
+    return reduce(DataFrame.unionByName, parsed)
+
+
+def _parsed_lines(text: DataFrame, header: list[str]) -> DataFrame:
     rows = text.withColumn("_f", F.split("line", ",", -1))
     at = {name: F.get(F.col("_f"), F.lit(i)) for i, name in reversed(list(enumerate(header)))}
     is_header = (F.trim(at["Label"]) == "Label") | (F.trim(at["Source IP"]) == "Source IP")
@@ -171,7 +185,7 @@ def _parsed_85(spark: SparkSession, path: str) -> DataFrame:
     }
     parsed = rows.withColumn("_stamp", stamp).select(
         "_file",
-        "_line",
+        F.md5(F.col("line").cast("binary")).alias("_content"),
         F.size("_f").alias("_width"),
         is_header.alias("_is_header"),
         F.col("_stamp.ts").alias("ts"),
@@ -207,14 +221,17 @@ def read_flow_csv_85(spark: SparkSession, path: str) -> DataFrame:
     """Labelled flows with addresses and timestamps, in the FLOW contract; refused rows are left out."""
     good = _parsed_85(spark, path).filter(F.col("skip_reason").isNull())
     name = F.element_at(F.split("_file", "/"), -1)
+    # An id from the row's own content is the same however the files are listed or split; equal lines are numbered.
+    same = F.row_number().over(Window.partitionBy("_file", "_content").orderBy(F.lit(0)))
+    good = good.withColumn("_same", same)
     return good.withColumns(
         {
             "is_attack": F.upper("label") != "BENIGN",
-            "source_row_id": F.concat(name, F.lit(":"), F.col("_line").cast("string")),
+            "source_row_id": F.concat_ws(":", name, "_content", "_same"),
             "is_honeytoken_use": F.lit(False),
             "source_dataset": F.lit("CIC-IDS2017"),
         }
-    ).drop("_file", "_line", "_width", "_is_header", "_has_duration", "skip_reason")
+    ).drop("_file", "_content", "_same", "_width", "_is_header", "_has_duration", "skip_reason")
 
 
 def read_skip_stats(spark: SparkSession, path: str) -> DataFrame:

@@ -50,11 +50,12 @@ def only_fraud(payments: DataFrame, *, limit: int | None = None) -> DataFrame:
 
 
 def top_up_rare(
-    rows: DataFrame, *, limit: int, positive, order, enough: int = 50, skip: int = 500_000
+    rows: DataFrame, *, limit: int, positive, order, enough: int = 50
 ) -> DataFrame:
     """The first ``limit`` rows, or a shorter head plus positives from later rows when positives are too rare.
 
-    ``order`` is the file order. Positives are looked for among the ``skip`` rows after the first ``skip`` - 1.
+    ``order`` is the file order. The earliest positives of all later rows are taken, as many as a twentieth of ``limit``
+    (500 at least), and the head gives up only as many rows as were found.
     """
     from ripplewatch.functions.partitions import with_rank
 
@@ -63,8 +64,9 @@ def top_up_rare(
     if head.filter(positive).count() >= enough:
         return head.drop("_row")
     extra = max(500, limit // 20)
-    later = ranked.filter(F.col("_row").between(skip, 2 * skip - 1) & positive).orderBy("_row").limit(extra)
-    return ranked.filter(F.col("_row") <= (limit - extra or limit)).unionByName(later).drop("_row")
+    later = ranked.filter((F.col("_row") > limit) & positive).orderBy("_row").limit(extra)
+    found = min(later.count(), limit)
+    return ranked.filter(F.col("_row") <= limit - found).unionByName(later.limit(found)).drop("_row")
 
 
 def read_payments(

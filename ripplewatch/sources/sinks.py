@@ -28,6 +28,27 @@ def existing_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _file_system(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target, jvm.org.apache.hadoop.fs.Path
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a table or partition folder."""
+    fs, target, _ = _file_system(spark, path)
+    fs.delete(target, True)
+
+
+def swap_folder(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path``."""
+    fs, target, as_path = _file_system(spark, path)
+    fs.delete(target, True)
+    if not fs.rename(as_path(fresh), target):
+        raise OSError(f"cannot move {fresh} to {path}")
+    spark.catalog.refreshByPath(path)
+
+
 def new_rows(batch: DataFrame, stored: DataFrame | None, keys=EVENT_KEY) -> DataFrame:
     """Batch rows whose key is neither repeated in the batch nor stored already."""
     unique = batch.dropDuplicates(list(keys))
@@ -37,21 +58,17 @@ def new_rows(batch: DataFrame, stored: DataFrame | None, keys=EVENT_KEY) -> Data
 def write_events(batch: DataFrame, path: str, *, keys=EVENT_KEY, ts: str = "ts") -> dict[str, int]:
     """Append new events, partitioned by day; returns received, inserted and deduplicated counts.
 
-    A key always carries the same timestamp, so only the stored days the batch touches are compared. Counting
-    happens inside the write.
+    A key counts as stored whatever the timestamp it came with, so a corrected date does not insert it again: the
+    keys of all stored rows are compared, two columns of the table. Inserted rows are counted inside the write.
     """
-    spark = batch.sparkSession
+    seen, received = Observation(), batch.count()
     dated = batch.withColumn(DAY, F.to_date(ts))
-    span = dated.agg(F.min(DAY).alias("a"), F.max(DAY).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    stored = existing_table(spark, path)
-    if stored is not None:
-        stored = stored.filter(F.col(DAY).between(F.lit(span["a"]), F.lit(span["b"])))
-    seen = Observation()
+    stored = existing_table(batch.sparkSession, path)
     fresh = new_rows(dated, stored, keys).observe(seen, F.count(F.lit(1)).alias("inserted"))
     # One file per day where days are small; AQE splits a day that holds much of the batch.
     fresh.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(path)
     inserted = seen.get["inserted"]
-    return {"received": span["n"], "inserted": inserted, "deduplicated": span["n"] - inserted}
+    return {"received": received, "inserted": inserted, "deduplicated": received - inserted}
 
 
 def append_table(df: DataFrame, path: str, *, partition_by=()) -> None:

@@ -34,6 +34,8 @@ class DriftState:
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = existing_table(spark, self._version(batch_id - 1)) if batch_id else None
+        if batch_id and stored is None:
+            raise RuntimeError(f"the pair table of batch {batch_id - 1} is missing; learning cannot go on without it")
         state = spark.createDataFrame([], _STATE) if stored is None else stored
         new = (
             batch.select(

@@ -9,9 +9,10 @@ from pyspark.sql import types as T
 
 from ripplewatch.functions.lookup import moment
 from ripplewatch.functions.net import subnet24
+from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.operators import fusion, policy, rollup, signature, volumetric
 from ripplewatch.operators.resolve import resolve_assets
-from ripplewatch.operators.sequence import retain
+from ripplewatch.operators.sequence import is_victim
 from ripplewatch.sources import sinks
 from ripplewatch.streaming.state import WATERMARK
 
@@ -90,15 +91,14 @@ class Ingest:
 
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        span = batch.agg(F.min("ts").alias("first"), F.max("ts").alias("last")).first()
+        span = batch.agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("n")).first()
         if span["first"] is None:
             return
         stored = sinks.existing_table(spark, self.path("events"))
         if stored is not None:
-            # Only the time range of this batch can hold its keys; the range prunes row groups. A replayed batch must
-            # see its own earlier, possibly partial, output as absent.
-            in_range = F.col("ts").between(moment(batch, "ts", span["first"]), moment(batch, "ts", span["last"]))
-            stored = stored.filter(in_range & (F.col("batch_id") != batch_id))
+            # A key counts whatever its timestamp was. A replayed batch must see its own earlier, possibly partial,
+            # output as absent.
+            stored = stored.filter(F.col("batch_id") != batch_id)
         fresh = self.fused(sinks.new_rows(batch, stored)).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
         fresh.write.mode("overwrite").parquet(self.path(f"batches/batch_id={batch_id}"))
         done = spark.read.parquet(self.path(f"batches/batch_id={batch_id}")).withColumn(
@@ -107,10 +107,36 @@ class Ingest:
         self._replace(done.drop("verdicts", "matched_rules"), "events", batch_id)
         self._replace(fusion.score_rows(done), "scores", batch_id)
         self._replace(self._alerts(spark, done, batch_id, span["first"]), "alerts", batch_id)
-        self._replace(rollup.batch_counters(done), "counters", batch_id)
+        counters = rollup.batch_counters(done).withColumnRenamed("received", "inserted")
+        counters = counters.withColumn("received", F.lit(span["n"]).cast("bigint"))
+        counters = counters.withColumn("deduplicated", F.col("received") - F.col("inserted"))
+        self._replace(counters, "counters", batch_id)
         if self.retention_every and batch_id and batch_id % self.retention_every == 0:
-            events = spark.read.parquet(self.path("events"))
-            retain(events, **self.retention).write.mode("overwrite").parquet(self.path(f"retained/at={batch_id}"))
+            self.prune(spark)
+
+    def prune(self, spark: SparkSession) -> dict[str, int]:
+        """Delete what retention gives up from the stored events and their scores; returns rows kept and pruned.
+
+        Partitions of micro-batches without survivors are dropped; those that lose some rows are rewritten beside and
+        swapped in, so a failure leaves either form of a partition. Readers see pruned rows no more.
+        """
+        events = spark.read.parquet(self.path("events"))
+        marked = events.withColumn("_pruned", is_victim(events, **self.retention))
+        sizes = marked.groupBy("batch_id").agg(F.count_if("_pruned").alias("gone"), F.count_if(~F.col("_pruned")).alias("left"))
+        touched = [(r["batch_id"], r["left"]) for r in sizes.filter("gone > 0").collect()]  # one row for each micro-batch
+        total = sizes.agg(F.sum("left").alias("kept"), F.sum("gone").alias("pruned")).first().asDict()
+        for batch_id, left in touched:
+            kept = marked.filter((F.col("batch_id") == batch_id) & ~F.col("_pruned")).select("event_id")
+            kept = cut_lineage(kept) if left else kept
+            for table in ("scores", "events"):  # events last: they say what is left to do after a failure
+                own = f"{self.path(table)}/batch_id={batch_id}"
+                if left:
+                    beside = self.path(f"rewritten/{table}-{batch_id}")
+                    spark.read.parquet(own).join(kept, "event_id", "left_semi").write.mode("overwrite").parquet(beside)
+                    sinks.swap_folder(spark, beside, own)
+                else:
+                    sinks.drop_folder(spark, own)
+        return {k: v or 0 for k, v in total.items()}
 
     def _replace(self, df: DataFrame, table: str, batch_id: int) -> None:
         """Write a batch's rows as that batch's own partition, so a retry overwrites instead of repeating."""

@@ -130,3 +130,15 @@ def test_criticality_of_gateways_is_negligible(spark):
     df = spark.createDataFrame([("Gateway_L4",), ("A",), ("x",)], "node string")
     got = dict(rows(C._criticality(df, toy_assets(spark), 0.5), "node", "criticality"))
     assert got == {"Gateway_L4": 0.0, "A": 1.0, "x": 0.5}
+
+
+def test_distances_go_as_far_as_the_graph(spark):
+    """A chain deeper than any fixed depth; a limit leaves nodes out and says so."""
+    n = 70
+    chain = edges(spark, *[(f"N{k:03d}", f"N{k + 1:03d}", "depends_on", 0.5) for k in range(n)])
+    graph = G.build_graph(chain, toy_assets(spark), apply_gateway=False)
+    origin = spark.createDataFrame([("N000",)], "origin string")
+    found = {r["node"]: r["hop"] for r in G.hop_distances(graph, origin).collect()}
+    assert found == {f"N{k:03d}": k for k in range(n + 1)}
+    with pytest.warns(UserWarning):
+        assert G.hop_distances(graph, origin, max_depth=5).count() == 6

@@ -175,3 +175,17 @@ def test_large_registry_is_resolved_on_distinct_identifiers(skewed, tables):
     b = resolve.resolve_assets(skewed, tables.registry, max_registry=3)
     cols = ("event_id", "source_asset", "destination_asset", "resolution_confidence")
     assert rows(a, *cols) == rows(b, *cols)
+
+
+def test_boundary_row_is_the_row_at_the_rank(spark):
+    from pyspark.sql import functions as F
+
+    from ripplewatch.functions.quantile import boundary_row, not_after
+
+    rows = [(1_700_000_000 + (k * 7919) % 50, (k * 31) % 400) for k in range(300)] + [(1_700_000_007, 1000 + k) for k in range(90)]
+    df = spark.createDataFrame(rows, "s long, id long").select(F.timestamp_seconds("s").alias("ts"), "id")
+    order = sorted(rows)
+    for rank in (1, 2, 57, 200, len(rows)):
+        edge = boundary_row(df, "ts", "id", rank)
+        assert edge == (order[rank - 1][0] * 1_000_000, order[rank - 1][1])
+        assert df.filter(not_after("ts", "id", edge)).count() == sum(r <= order[rank - 1] for r in rows)

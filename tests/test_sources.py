@@ -73,6 +73,25 @@ def test_flow_csv_keeps_good_rows_and_counts_the_rest(spark, tmp_path):
     assert (s["seen"], s["emitted"], s["repeated_header"], s["ragged"], s["bad_timestamp"], s["unparseable"]) == (12, 3, 1, 2, 1, 5)
 
 
+def test_each_file_has_its_own_header_and_rows_keep_their_ids(spark, tmp_path):
+    swapped = [h.strip() for h in HEAD.split(",")]
+    a, b = swapped.index("Source Port"), swapped.index("Destination Port")
+    swapped[a], swapped[b] = swapped[b], swapped[a]
+    many = [row(src=f"1.2.3.{k % 40}", port=str(1000 + k)) for k in range(300)] + [row(), row()]
+    folder = tmp_path / "days"
+    folder.mkdir()
+    (folder / "b.csv").write_text("\n".join([HEAD, *many]))
+    before = {r["source_row_id"]: (r["source_ip"], r["destination_port"]) for r in read_flow_csv_85(spark, str(folder)).collect()}
+    assert len(before) == len(many)
+    (folder / "a.csv").write_text("\n".join([",".join(swapped), row(port="77")]))
+    small = spark.newSession()
+    small.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    after = {r["source_row_id"]: (r["source_ip"], r["destination_port"]) for r in read_flow_csv_85(small, str(folder)).collect()}
+    assert {k: v for k, v in after.items() if k in before} == before and len(after) == len(before) + 1
+    new = read_flow_csv_85(spark, str(folder)).filter("source_row_id like 'a.csv%'").first()
+    assert (new["source_port"], new["destination_port"]) == (77, 4000)
+
+
 def test_flow_csv_without_addresses_is_refused(spark, tmp_path):
     path = tmp_path / "x.csv"
     path.write_text("Destination Port,Label\n80,BENIGN\n")
@@ -158,6 +177,8 @@ def test_writes_are_idempotent(spark, small_flows, tmp_path):
     second = sinks.write_events(batch.union(batch), path)
     assert second == {"received": 2 * n, "inserted": n - (n + 1) // 2, "deduplicated": 2 * n - (n - (n + 1) // 2)}
     assert sinks.write_events(batch, path)["inserted"] == 0
+    # A corrected date does not make an event a new one.
+    assert sinks.write_events(batch.withColumn("ts", F.col("ts") + F.make_dt_interval(days=F.lit(90))), path)["inserted"] == 0
     assert rows(spark.read.parquet(path), "event_id") == rows(batch, "event_id")
 
 

@@ -62,8 +62,7 @@ def test_ingest_is_idempotent_and_debounces_across_batches(spark, arriving, tabl
         return df.withColumns({"session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")})
 
     job = ingest.Ingest(str(tmp_path / "out"), tables.registry, score=lambda df: df, debounce_sec=43200,
-                        alert_policy={"volumetric_enabled": True, "score_floor": 0.8}, retention_every=3,
-                        retention={"max_rows": 100})
+                        alert_policy={"volumetric_enabled": True, "score_floor": 0.8})
     q = (
         keyed(stream(spark, arriving)).writeStream.option("checkpointLocation", str(tmp_path / "state"))
         .foreachBatch(job.process_batch).trigger(availableNow=True).start()
@@ -84,7 +83,14 @@ def test_ingest_is_idempotent_and_debounces_across_batches(spark, arriving, tabl
     wanted = policy.alert_candidates(job.fused(keyed(arriving[1])), **job.alert_policy)
     wanted = chains.debounce(wanted, "source_asset", gap_sec=43200)
     assert rows(spark.read.parquet(job.path("alerts")), "event_id") == rows(wanted, "event_id")
-    assert spark.read.parquet(job.path("retained")).groupBy("at").count().agg(F.max("count")).first()[0] == 100
+    # Retention deletes: what is stored afterwards is the newest rows, in the scores as well, and nothing else.
+    job.retention = {"max_rows": 100}
+    n = arriving[1].count()
+    assert job.prune(spark) == {"kept": 100, "pruned": n - 100}
+    newest = rows(arriving[1].orderBy(F.desc("ts"), F.desc("event_id")).limit(100), "event_id")
+    assert rows(spark.read.parquet(job.path("events")), "event_id") == newest
+    assert rows(spark.read.parquet(job.path("scores")).select("event_id").distinct(), "event_id") == newest
+    assert job.prune(spark) == {"kept": 100, "pruned": 0}
 
 
 def test_redelivered_rows_drop_within_the_watermark(spark, arriving):
