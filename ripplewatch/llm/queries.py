@@ -40,7 +40,33 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, folder, tokenizer, 2), digests=True)
 
 
-@register("op9_decontamination")
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@register(
+    "op9_decontamination",
+    rf"""
+    WITH item_words AS (
+      SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (
+      SELECT DISTINCT item_id, m, array_to_string(w[k : k + m - 1], ' ') AS s
+      FROM (SELECT item_id, w, least(10, len(w)) AS m, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS k FROM item_words WHERE len(w) > 0)),
+    words AS (
+      SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+    places AS (
+      SELECT doc_id, m, k, array_to_string(w[k : k + m - 1], ' ') AS s
+      FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM words, (SELECT DISTINCT m FROM windows) sizes)),
+    found AS (SELECT p.doc_id, p.k, p.m, w.item_id FROM places p JOIN windows w ON w.m = p.m AND w.s = p.s),
+    hit AS (
+      SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS place FROM found) GROUP BY doc_id),
+    items AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplewatch.llm.decontaminate import contamination, digest
 
@@ -66,7 +92,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@register("op10_ngram_join")
+@register(
+    "op10_ngram_join",
+    rf"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    pairs AS (
+      SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+    both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+    reach AS (SELECT doc_id, doc_id AS r FROM words UNION SELECT reach.doc_id, y FROM reach JOIN both_ways ON x = r)
+    SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+    """,
+)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplewatch.llm.ngramjoin import similar_documents
 
