@@ -183,12 +183,12 @@ def chain_rows():
     return out
 
 
-@pytest.mark.parametrize("part_tokens", [4_000_000, 120])
-def test_similar_documents_by_brute_force(spark, docs, rows, part_tokens):
+@pytest.mark.parametrize(("part_tokens", "group"), [(4_000_000, 32), (120, 32), (4_000_000, 3)])
+def test_similar_documents_by_brute_force(spark, docs, rows, part_tokens, group):
     more = [*rows, *chain_rows()]
     extra = spark.createDataFrame(chain_rows(), "doc_id long, text string")
     frame = docs.unionByName(extra, allowMissingColumns=True)
-    got = ngramjoin.similar_documents(frame, part_tokens=part_tokens, buckets=3).collect()
+    got = ngramjoin.similar_documents(frame, part_tokens=part_tokens, group=group, buckets=3).collect()
     assert by_repr(got) == by_repr(components_by_force(more))
 
 
@@ -222,7 +222,7 @@ def test_trie_links_all_similar_sets(sets, percent):
 def test_prefixes_hold_enough_common_shingles():
     for n in range(1, 400):
         assert 1 <= ngramjoin.prefix_size(n, 80) <= n
-        assert ngramjoin.least_shared(n, 80) <= 1 + ngramjoin.extra(-(-n * 80 // 100))
+        assert ngramjoin.least_shared(n) <= ngramjoin.prefix_size(n, 80)
 
 
 def test_components_of_a_long_path_and_a_star(spark):
