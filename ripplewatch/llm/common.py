@@ -9,8 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplewatch.functions.partitions import cut_lineage
-
 ROWS_PER_BUCKET = 4096
 
 
@@ -36,13 +34,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Delete a folder made by ``shared_folder`` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,5 +69,3 @@ def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """The two columns the text operators read, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)
 
-
-__all__ = ["cut_lineage", "documents", "drop_folder", "ordered_buckets", "shared_folder", "stored", "table", "texts_of"]

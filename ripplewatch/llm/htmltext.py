@@ -96,7 +96,7 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[list[tuple[list[str], int]]], *, rounds: int = 150, penalty: float = 0.01) -> Field:
+def train(pages: list[list[tuple[list[str], int]]], *, rounds: int = 150, penalty: float = 0.001) -> Field:
     """Fit the field to labelled pages: (feature names, label) of every block of a page.
 
     All pages are padded to one length and swept together; steps follow the sign of the gradient with adapting sizes.
@@ -154,6 +154,7 @@ class _Composer:
         return " ".join(make() for _ in range(self.r.randint(low, high)))
 
     def sentence(self, low: int = 1, high: int = 60) -> str:
+        high = self.r.choice([high, min(high, 6)])  # short ones are common, too
         return self.words(low, high).capitalize() + self.r.choice([".", ".", ".", "!", "?", ""])
 
     def mark(self, text: str, label: int) -> str:
