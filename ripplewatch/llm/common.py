@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 4096
+MOST_BUCKETS = 100_000
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -42,10 +43,11 @@ def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUC
     """Add ``_bucket``: contiguous ranges of ``key`` holding about ``rows_per_bucket`` rows, in key order.
 
     The bounds are approximate quantiles, so they balance the buckets but never decide a result. Null keys go
-    first. Unlike Spark's own range partitioning the bounds are values, hence the same in every evaluation.
+    first. Unlike Spark's own range partitioning the bounds are values, hence the same in every evaluation. There are
+    at most ``MOST_BUCKETS`` buckets, which then hold more rows, so a table with a row for each bucket stays small.
     """
     n = df.count()
-    wanted = -(-n // rows_per_bucket)
+    wanted = min(-(-n // rows_per_bucket), MOST_BUCKETS)
     bounds = np.zeros(0, np.int64)
     if wanted > 1:
         shares = [k / wanted for k in range(1, wanted)]
