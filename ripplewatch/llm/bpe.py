@@ -19,10 +19,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from ripplewatch.llm.common import documents, texts_of
+from ripplewatch.llm.common import documents, slices, texts_of
 
 NONE = np.int32(2**31 - 1)
-BLOCK_CHARS = 32 << 20
+BLOCK_CHARS = 8 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict = {}
 
@@ -212,7 +212,7 @@ def encode_blocks(batches, vocabulary_of, pattern: str, block_chars: int):
         return keys, ids, ends
 
     keys, rows, known, held = [], [], {}, 0
-    for batch in batches:
+    for batch in slices(batches):
         for key, text in zip(batch.column(0).to_pylist(), texts_of(batch), strict=True):
             rows.append(np.array([known.setdefault(w, len(known)) for w in words_of(text)], np.int32))
             keys.append(key)

@@ -62,6 +62,13 @@ def ordered_buckets(df: DataFrame, key: str, rows_per_bucket: int = ROWS_PER_BUC
     return df.withColumn("_bucket", bucket(F.col(key).cast("long")))
 
 
+def slices(batches, rows: int = 1024):
+    """The rows of Arrow batches a thousand at a time, so that no task holds a whole batch as Python objects."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, rows):
+            yield batch.slice(low, rows)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list:
     """The texts of an Arrow batch, null as empty."""
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplewatch.llm.common import documents, stored, texts_of
+from ripplewatch.llm.common import documents, slices, stored, texts_of
 
 TRAIN_ROWS = 20_000
 LEXICON_SIZE = 5_000
@@ -132,7 +132,7 @@ class Scorer:
         if self.automaton is None:
             self.automaton = Automaton(self.words, self.stems)
         low, memo = text.lower(), self.memo
-        if len(memo) > 500_000:  # a cache only
+        if len(memo) > 200_000:  # a cache only
             memo.clear()
         said = WORD.findall(low)
         found = False
@@ -344,7 +344,7 @@ def _scores(docs: DataFrame, scorer: Scorer, add):
 
     def run(batches):
         own = pickle.loads(packed.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield add(batch, np.array([own.score(t) for t in texts_of(batch)]))
 
     return run
