@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplewatch.llm.common import shared_folder
+from ripplewatch.llm.common import shared_folder, stored
 
 LEAST_REVISIT = 100
 FILE_BYTES = 64 << 20
@@ -195,7 +195,9 @@ def read_records(files: DataFrame, *, payloads: bool = False) -> DataFrame:
                 if held:
                     yield packed(held)
 
-    return files.select("uri").repartition("uri").mapInArrow(run, _RECORD)
+    # A fixed number of tasks: the rows are tiny, the files behind them are not.
+    tasks = max(1, min(files.count(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return files.select("uri").repartition(tasks, "uri").mapInArrow(run, _RECORD)
 
 
 def captures(records: DataFrame) -> DataFrame:
@@ -219,4 +221,5 @@ def captures(records: DataFrame) -> DataFrame:
 def archived(pages: DataFrame, *, least: int = LEAST_REVISIT) -> DataFrame:
     """Write ``pages`` to archives in the shared folder, read them back and assemble the captures."""
     folder = shared_folder(pages.sparkSession, "archives")
-    return captures(read_records(write_archives(pages, folder, least=least)))
+    records = stored(read_records(write_archives(pages, folder, least=least)), "records")  # headers and digests only
+    return captures(records)
