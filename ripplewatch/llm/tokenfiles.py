@@ -25,7 +25,7 @@ from ripplewatch.llm.bytetext import gather
 from ripplewatch.llm.common import ROWS_PER_BUCKET, documents, ordered_buckets, texts_of
 
 NULL_ID = -(2**63)
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 700_000
 _tokenizers: dict = {}
 
 
@@ -73,21 +73,21 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.odd) > KNOWN_WORDS:
             self._forget()
-        n, rows = len(self.odd), []
-        first, later, fresh = self.first, self.later, []
+        n, rows, fresh = len(self.odd), [], []
+
+        def new(known: dict, piece: str, shown: str) -> int:
+            at = known.get(piece)
+            if at is None:  # the first time in this text, too
+                at = known[piece] = n + len(fresh)
+                fresh.append(shown)
+            return at
+
         for text in texts:
             pieces = text.split(" ")
-            head = first.get(pieces[0])
-            if head is None:
-                head = first[pieces[0]] = n + len(fresh)
-                fresh.append(pieces[0])
-            row = [head]
-            for piece in pieces[1:]:
-                at = later.get(piece)
-                if at is None:
-                    at = later[piece] = n + len(fresh)
-                    fresh.append(" " + piece)
-                row.append(at)
+            row = list(map(self.later.get, pieces))
+            row[0] = new(self.first, pieces[0], pieces[0])
+            if None in row:
+                row = [new(self.later, p, " " + p) if at is None else at for at, p in zip(row, pieces, strict=True)]
             rows.append(np.array(row, np.int64))
         if fresh:
             self._learn(fresh, [_meets_blank(p) for p in fresh])
@@ -214,5 +214,7 @@ def read_tokens(manifest: DataFrame, *, digests: bool = False) -> DataFrame:
                         {"doc_id": own, "start": file.base + cut[:-1], "n_tokens": np.diff(cut), last.split()[0]: shown}
                     )
 
-    files = manifest.select("bucket", "uri", "dtype", "base").repartition("bucket")
+    # A fixed number of tasks: the rows are tiny, the files behind them are not.
+    tasks = max(1, min(manifest.count(), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    files = manifest.select("bucket", "uri", "dtype", "base").repartition(tasks, "bucket")
     return files.mapInPandas(read, f"doc_id long, start long, n_tokens long, {last}")
