@@ -36,14 +36,17 @@ class WordEncoder:
     the next pre-token. So the ids of a text are those of its pieces, each with its space in front, in order. A text in
     which white space meets white space is given to the library whole. What is known is only a cache, emptied when
     it is full.
+
+    Added tokens such as ``<|endoftext|>`` hold no space, so they stay inside one piece. With ``specials_as_text`` they
+    are spelled like any other text; without it they get their own ids, as in the library's plain call.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, *, specials_as_text: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = specials_as_text
         self.size = self.tokenizer.get_vocab_size()
         self.lengths = np.zeros(self.size, np.int64)  # in bytes; the byte-level alphabet has a character for each
         for token, at in self.tokenizer.get_vocab().items():
@@ -110,7 +113,7 @@ def _meets_blank(piece: str) -> bool:
 
 def _encoder(path: str) -> WordEncoder:
     if path not in _tokenizers:
-        _tokenizers[path] = WordEncoder(path)
+        _tokenizers[path] = WordEncoder(path, specials_as_text=False)
     return _tokenizers[path]
 
 
@@ -146,6 +149,8 @@ def write_tokens(
 ) -> DataFrame:
     """Write the files and return the manifest (bucket, uri, dtype, n_docs, n_tokens, base), stored beside them.
 
+    Ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``: a text that spells an added
+    token holds that token's id.
     Documents go in ascending doc_id, null ids first; rows with equal ids are ordered by text. A null or empty text
     is a document holding only ``end_id``. An empty table writes no files and an empty manifest.
     """

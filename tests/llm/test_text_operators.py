@@ -91,6 +91,22 @@ def test_token_encoder_on_white_space_and_control_strings():
     assert [g.tolist() for g in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_token_files_agree_with_the_plain_library_call_on_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(TOKENIZER)
+    mark = "<|endoftext|>"
+    texts = [f"a{mark}b", mark, f"a {mark} b", f"{mark}{mark}", f"a\n{mark}\n b", f" {mark}", f"{mark} ", f"a  {mark}  b", "<|endoftext", "after"]
+    want, start = [], 0
+    for key, text in enumerate(texts):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((key, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    manifest = tokenfiles.write_tokens(frame, shared_folder(spark, "tokens"), TOKENIZER, 2, rows_per_file=4)
+    assert by_repr(tokenfiles.read_tokens(manifest, digests=True).collect()) == by_repr(want)
+
+
 def _phrases(text):
     seen, now = set(), ""
     for ch in text:
