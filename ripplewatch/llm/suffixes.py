@@ -16,8 +16,14 @@ two in every 170 bytes, need to meet. The consecutive windows that share an anch
    repeated.
 4. The marked runs of each document are removed.
 
+A key can be hot: a line of ``KEY`` bytes or more that very many documents hold in different surroundings. Keys seen often
+in a sample of the documents are dealt by zone from the start, and every key with more than ``HOT`` different zones is
+settled by window instead of by zone: two 64-bit hashes of each of its windows are dealt by the first of them, and
+windows that meet an equal one are repeated. What the sample shows decides the balance of the tasks, never a result.
+
 Documents are tagged with a row key, so repeated ids stay apart. No step collects a group: copies within a task are
-reduced to one entry before anything is shuffled, and a bucket holds one entry for each zone of a task.
+reduced to one entry before anything is shuffled, and a bucket holds one entry for each zone of a task. The numbers of
+buckets follow from the numbers of zones and windows.
 """
 
 import numpy as np
@@ -25,12 +31,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplewatch.llm.bytetext import blocks, gather, mix, powers, running
+from ripplewatch.llm.bytetext import blocks, gather, mix, powers, running, slice_hashes
 from ripplewatch.llm.common import documents, stored
 
 LENGTH = 200
 KEY = 32
+SAMPLED = 16  # one document in so many is counted for hot keys
+SPLIT = 200_000  # zones of a key that are dealt by zone
+HOT = 10_000  # different zones of a key that are settled by window
+MOST_LISTED = 100_000
+ZONES, ASKED, WINDOWS = 500_000, 20_000, 2_000_000  # in a bucket: of the scan, of the suffix order, of the windows
 _LOW = np.uint64((1 << 20) - 1)
+_NO_KEYS = np.zeros(0, np.uint64)
 _ENTRY = np.dtype(
     [("key", "<u8"), ("zone", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("before", "<u1"), ("after", "<u1"), ("many", "?")]
 )
@@ -85,36 +97,61 @@ def _pieces(batch: pa.RecordBatch, length: int):
             yield row, data[a:b], np.array([0, b - a]), a, low - a, min(len(data), low + step) - a
 
 
-def index(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(bucket, run): sorted runs of entries, one for each task's block and bucket.
+def _entries(batch: pa.RecordBatch, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """One entry of each zone of a batch, in order of key and zone, and the entries of further copies."""
+    keys = batch.column(0).to_numpy()
+    parts = []
+    for row, data, offsets, base, low, high in _pieces(batch, length):
+        doc, start, end, place, key, zone = anchors(data, offsets, length)
+        made = np.zeros(len(start), _ENTRY)
+        made["key"], made["zone"], made["doc"] = key, zone, keys[row + doc]
+        made["start"] = start - offsets[doc] + base
+        made["before"], made["after"] = place - start, end - place + (length - KEY)
+        if base or high < len(data) or low:
+            made = made[(place >= low) & (place < high)]
+        parts.append(made)
+    every = np.concatenate(parts) if parts else np.zeros(0, _ENTRY)
+    every = every[np.lexsort((every["zone"], every["key"]))]
+    same = np.zeros(len(every), bool)
+    same[1:] = (every["key"][1:] == every["key"][:-1]) & (every["zone"][1:] == every["zone"][:-1])
+    first = np.flatnonzero(~same)
+    every["many"][first] = np.diff(np.r_[first, len(every)]) > 1
+    return every[~same], every[same]
+
+
+def hot_keys(docs: DataFrame, length: int, split: int = SPLIT) -> tuple[int, np.ndarray]:
+    """About how many zones ``docs`` has, and the keys that a sample shows in ``split`` different ones or more."""
+
+    def run(batches):
+        for batch in batches:
+            zones, _ = _entries(batch, length)
+            key, n = np.unique(zones["key"], return_counts=True)
+            key, n = [None, *key[n > 1].view(np.int64).tolist()], [len(zones), *n[n > 1].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(n, pa.int64())], names=["key", "n"])
+
+    sample = docs.filter(F.pmod("_row", F.lit(SAMPLED)) == 0).select("_row", "text")
+    counts = sample.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = counts.filter((F.col("n") * SAMPLED >= split) | F.col("key").isNull())
+    found = often.orderBy(F.col("key").isNull().desc(), F.desc("n")).limit(MOST_LISTED + 1).collect()
+    total = sum(r["n"] for r in found if r["key"] is None) * SAMPLED
+    return total, np.array([r["key"] for r in found if r["key"] is not None], np.int64).view(np.uint64)
+
+
+def index(docs: DataFrame, length: int, buckets: int, listed: np.ndarray = _NO_KEYS) -> DataFrame:
+    """(bucket, known, run): sorted runs of entries, one for each task's block and bucket.
 
     Zones that occur several times in one block are reduced to one entry marked ``many`` and the spans of the others,
-    which are known to be repeated and need no further scan.
+    which are known to be repeated and need no further scan. Entries meet by key; those of ``listed`` keys by zone.
     """
 
     def run(batches):
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            parts = []
-            for row, data, offsets, base, low, high in _pieces(batch, length):
-                doc, start, end, place, key, zone = anchors(data, offsets, length)
-                made = np.zeros(len(start), _ENTRY)
-                made["key"], made["zone"], made["doc"] = key, zone, keys[row + doc]
-                made["start"] = start - offsets[doc] + base
-                made["before"], made["after"] = place - start, end - place + (length - KEY)
-                if base or high < len(data) or low:
-                    made = made[(place >= low) & (place < high)]
-                parts.append(made)
-            every = np.concatenate(parts) if parts else np.zeros(0, _ENTRY)
-            every = every[np.lexsort((every["zone"], every["key"]))]
-            same = np.zeros(len(every), bool)
-            same[1:] = (every["key"][1:] == every["key"][:-1]) & (every["zone"][1:] == every["zone"][:-1])
-            first = np.flatnonzero(~same)
-            every["many"][first] = np.diff(np.r_[first, len(every)]) > 1
-            to = (every["key"] % np.uint64(buckets)).astype(np.int32)
-            yield from _runs(every[~same], to[~same], 0)
-            if same.any():
-                yield from _runs(every[same], to[same], 1)
+            zones, copies = _entries(batch, length)
+            by = zones["key"].copy()
+            split = np.isin(by, listed)
+            by[split] = mix(by[split] ^ zones["zone"][split])
+            yield from _runs(zones, (by % np.uint64(buckets)).astype(np.int32), 0)
+            yield from _runs(copies, (copies["doc"].view(np.uint64) % np.uint64(buckets)).astype(np.int32), 1)
 
     return docs.select("_row", "text").mapInArrow(run, "bucket int, known int, run binary")
 
@@ -160,34 +197,40 @@ class Family:
             self.repeated.append(both[same])
         return both[~same]
 
-    def close(self) -> tuple[np.ndarray, np.ndarray]:
-        """(repeated entries, one entry of every zone whose key stands in several different zones)."""
+    def close(self, hot: int = HOT, listed: np.ndarray = _NO_KEYS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Repeated entries, and one entry of every zone whose key stands in several different zones.
+
+        The latter in two parts: of ordinary keys, and of those that are ``listed`` or stand in more than ``hot`` zones.
+        """
         every = np.zeros(0, _ENTRY)
         for level in self.levels:
             every = self._merged(every, level)
         self.levels = []
         key = every["key"]
-        mixed = np.zeros(len(every), bool)
-        if len(every) > 1:
-            equal = key[1:] == key[:-1]
-            mixed[1:] |= equal
-            mixed[:-1] |= equal
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(every)])
+        zones = np.repeat(size, size)
+        by_window = (zones > hot) | np.isin(key, listed)
         repeated = np.concatenate([*self.repeated, every[every["many"]]])
-        return repeated, every[mixed]
+        return repeated, every[(zones > 1) & ~by_window], every[by_window]
 
 
 def _find(level: np.ndarray, batch: np.ndarray) -> np.ndarray:
     """Where each entry of the batch stands in the level with equal key and zone; -1 if nowhere."""
     out = np.full(len(batch), -1, np.int64)
-    low = np.searchsorted(level["key"], batch["key"], side="left")
-    todo = np.flatnonzero(low < len(level))
-    at = low[todo]
-    while len(todo):  # equal keys are walked zone by zone
-        same = level["key"][at] == batch["key"][todo]
-        hit = same & (level["zone"][at] == batch["zone"][todo])
-        out[todo[hit]] = at[hit]
-        on = same & ~hit & (level["zone"][at] < batch["zone"][todo]) & (at + 1 < len(level))
-        todo, at = todo[on], at[on] + 1
+    low, high = (np.searchsorted(level["key"], batch["key"], side=side) for side in ("left", "right"))
+    todo = np.flatnonzero(low < high)
+    zones, wanted = level["zone"], batch["zone"][todo]
+    low, end = low[todo], high[todo]
+    high = end
+    while (low < high).any():  # the zones of equal keys are in order, too
+        middle = (low + high) // 2
+        open_ = low < high
+        less = open_ & (zones[np.minimum(middle, len(level) - 1)] < wanted)
+        low, high = np.where(less, middle + 1, low), np.where(open_ & ~less, middle, high)
+    hit = low < end
+    hit[hit] = zones[low[hit]] == wanted[hit]
+    out[todo[hit]] = low[hit]
     return out
 
 
@@ -209,14 +252,14 @@ def _per_document(entries: np.ndarray, kind: int):
     )
 
 
-def scan(runs: DataFrame) -> DataFrame:
-    """The families of all buckets: kind 0 are repeated zones, kind 1 zones to look into."""
+def scan(runs: DataFrame, hot: int = HOT, listed: np.ndarray = _NO_KEYS) -> DataFrame:
+    """The families of all buckets: kind 0 are repeated zones, kinds 1 and 3 zones to look into, whole and by window."""
 
     def run(batches):
         family, bucket = None, None
 
         def closed():
-            for kind, entries in enumerate(family.close()):
+            for kind, entries in zip((0, 1, 3), family.close(hot, listed), strict=True):
                 for low in range(0, len(entries), 200_000):
                     yield _per_document(entries[low : low + 200_000], kind)
 
@@ -242,32 +285,103 @@ def _spans(raw: list) -> np.ndarray:
     return np.frombuffer(b"".join(raw), _SPAN)
 
 
-def fetch(docs: DataFrame, spans: DataFrame, length: int, buckets: int) -> DataFrame:
-    """The bytes of the zones to look into, packed by bucket of their key's hash."""
-    asked = spans.filter("kind = 1").groupBy("doc").agg(F.collect_list("spans").alias("_spans"))
+def _windows(doc: int, data: np.ndarray, sums: np.ndarray, zones: np.ndarray, length: int) -> np.ndarray:
+    """Every window of the zones of a document, with two hashes."""
+    count = zones["before"].astype(np.int64) + zones["after"] + (KEY - length + 1)
+    at = np.repeat(zones["start"] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+    up, _ = powers(len(data) + 1)
+    other = np.r_[np.zeros(1, np.uint64), np.cumsum(_OTHER[data] * up[: len(data)], dtype=np.uint64)]
+    out = np.zeros(len(at), _WINDOW)
+    out["hash"], out["other"] = slice_hashes(sums, at, at + length), slice_hashes(other, at, at + length)
+    out["doc"], out["start"] = doc, at
+    return out
+
+
+def _met(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each kind of window, marked ``many`` if others are equal, and these others."""
+    windows = windows[np.lexsort((windows["other"], windows["hash"]))]
+    same = np.zeros(len(windows), bool)
+    for name in ("hash", "other"):
+        same[1:] = (windows[name][1:] == windows[name][:-1]) & (same[1:] | (name == "hash"))
+    first = np.flatnonzero(~same)
+    if len(first):
+        windows["many"][first] = np.logical_or.reduceat(windows["many"], first) | (np.diff(np.r_[first, len(windows)]) > 1)
+    return windows[~same], windows[same]
+
+
+def _joined(windows: np.ndarray, length: int) -> np.ndarray:
+    """Entries that span the windows; those in a row, up to a hundred, are one."""
+    windows = windows[np.lexsort((windows["start"], windows["doc"]))]
+    new = np.ones(len(windows), bool)
+    new[1:] = (windows["doc"][1:] != windows["doc"][:-1]) | (windows["start"][1:] > windows["start"][:-1].astype(np.int64) + 1)
+    new |= windows["start"] % 100 == 0
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(windows)][: len(first)] - 1
+    made = np.zeros(len(first), _ENTRY)
+    made["doc"], made["start"] = windows["doc"][first], windows["start"][first]
+    made["before"], made["after"] = windows["start"][last] - windows["start"][first], length - KEY
+    return made
+
+
+def fetch(docs: DataFrame, spans: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
+    """What the zones to look into hold, packed by bucket.
+
+    Kind 1: the bytes of zones, by the hash of their key. Kind 3: windows of hot keys, by their own hash, in ``parts``
+    further buckets. Kind 2: windows already known to be repeated.
+    """
+    whole, by_window = (F.collect_list(F.when(F.col("kind") == kind, F.col("spans"))) for kind in (1, 3))
+    asked = spans.filter("kind in (1, 3)").groupBy("doc").agg(whole.alias("_spans"), by_window.alias("_hot"))
     asked = asked.withColumnRenamed("doc", "_doc")
-    names = ["bucket", "heads", "bytes"]
-    columns = [*docs.columns, "_spans"]
+    names = ["bucket", "kind", "heads", "bytes"]
+    columns = [*docs.columns, "_spans", "_hot"]
     row_at, text_at = columns.index("_row"), columns.index("text")
 
+    def packed(to, kind, heads, data=None):
+        made = [pa.array(to, pa.int32()), pa.array([kind] * len(to), pa.int32())]
+        made += [pa.array(heads, pa.binary()), pa.array(data or [b""] * len(to), pa.binary())]
+        return pa.RecordBatch.from_arrays(made, names=names)
+
+    def dealt(windows):
+        windows, known = _met(np.concatenate(windows))
+        to = (windows["hash"] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        windows, to = windows[order], to[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
+        heads = [windows[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield packed(to[cuts[:-1]] + buckets, 3, heads)
+        if len(known):
+            known = _joined(known, length)
+            yield packed([int(known["doc"][0]) % buckets], 2, [known.tobytes()])
+
     def run(batches):
         for batch in batches:
-            heads, parts, keys = [], [], []
-            read = (batch.column(k).to_pylist() for k in (row_at, text_at, len(columns) - 1))
-            for doc, text, raw in zip(*read, strict=True):
-                data, zones = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8), _spans(raw)
+            heads, parts_, keys, windows, held = [], [], [], [], 0
+            read = (batch.column(k).to_pylist() for k in (row_at, text_at, len(columns) - 2, len(columns) - 1))
+            for doc, text, raw, hot in zip(*read, strict=True):
+                data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+                sums = running(data)
+                if hot:
+                    windows.append(_windows(doc, data, sums, _spans(hot), length))
+                    held += len(windows[-1])
+                    if held > WINDOWS:
+                        yield from dealt(windows)
+                        windows, held = [], 0
+                if not raw:
+                    continue
+                zones = _spans(raw)
                 place = zones["start"].astype(np.int64) + zones["before"]
                 size = zones["before"].astype(np.int64) + zones["after"] + KEY
-                sums = running(data)
                 _, down = powers(len(sums))
                 keys.append(mix((sums[place + KEY] - sums[place]) * down[place]))
                 head = np.zeros(len(zones), _HEAD)
                 head["doc"], head["start"], head["size"] = doc, zones["start"], size
                 heads.append(head)
-                parts.append(gather(data, zones["start"].astype(np.int64), size))
+                parts_.append(gather(data, zones["start"].astype(np.int64), size))
+            if windows:
+                yield from dealt(windows)
             if not heads:
                 continue
-            head, data = np.concatenate(heads), np.concatenate(parts)
+            head, data = np.concatenate(heads), np.concatenate(parts_)
             to = (np.concatenate(keys) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(to, kind="stable")
             begin = (np.cumsum(head["size"]) - head["size"]).astype(np.int64)
@@ -276,20 +390,16 @@ def fetch(docs: DataFrame, spans: DataFrame, length: int, buckets: int) -> DataF
             upto = np.r_[0, np.cumsum(head["size"])].astype(np.int64)
             cuts = np.r_[0, np.flatnonzero(np.diff(to)) + 1, len(to)]
             pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(to[cuts[:-1]]),
-                    pa.array([head[a:b].tobytes() for a, b in pairs], pa.binary()),
-                    pa.array([data[upto[a] : upto[b]].tobytes() for a, b in pairs], pa.binary()),
-                ],
-                names=names,
-            )
+            bytes_ = [data[upto[a] : upto[b]].tobytes() for a, b in pairs]
+            yield packed(to[cuts[:-1]], 1, [head[a:b].tobytes() for a, b in pairs], bytes_)
 
     # The same columns as in the last join, so that both read one exchange of the texts.
     joined = docs.join(asked, docs["_row"] == asked["_doc"]).select(*columns)
-    return joined.mapInArrow(run, "bucket int, heads binary, bytes binary")
+    return joined.mapInArrow(run, "bucket int, kind int, heads binary, bytes binary")
 
 
+_WINDOW = np.dtype([("hash", "<u8"), ("other", "<u8"), ("doc", "<i8"), ("start", "<i4"), ("many", "?")])
+_OTHER = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))  # a number for each byte
 _HEAD = np.dtype([("doc", "<i8"), ("start", "<i4"), ("size", "<u2")])
 
 
@@ -321,12 +431,18 @@ def repeated_windows(data: np.ndarray, starts: np.ndarray, length: int = LENGTH)
 
 
 def partial_matches(zones: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of the fetched zones, as rows of ``_SPANS`` of kind 2 (start, and windows in a row)."""
+    """Repeated windows of what was fetched, as rows of ``_SPANS`` of kind 2 (start, and windows in a row)."""
 
     def run(batches):
-        bucket, held = None, []
+        bucket, held, of = None, [], None
 
         def closed():
+            if of == 3:
+                one, others = _met(np.concatenate([np.frombuffer(h, _WINDOW) for h, _ in held]))
+                met = np.concatenate([one[one["many"]], others])
+                if len(met):
+                    yield _per_document(_joined(met, length), 2)
+                return
             head = np.concatenate([np.frombuffer(h, _HEAD) for h, _ in held])
             data = np.frombuffer(b"".join(d for _, d in held), np.uint8)
             size = head["size"].astype(np.int64)
@@ -347,11 +463,14 @@ def partial_matches(zones: DataFrame, length: int) -> DataFrame:
                 yield _per_document(made, 2)
 
         for batch in batches:
-            for own, head, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for own, kind, head, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if kind == 2:
+                    yield _per_document(np.frombuffer(head, _ENTRY), 2)
+                    continue
                 if own != bucket:
                     if held:
                         yield from closed()
-                    bucket, held = own, []
+                    bucket, held, of = own, [], kind
                 held.append((head, data))
         if held:
             yield from closed()
@@ -368,19 +487,24 @@ def _covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(marks)[:n] > 0
 
 
-def repeats(rows: DataFrame, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+def repeats(rows: DataFrame, length: int = LENGTH, buckets: int | None = None, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """``_doc`` (a ``_row``) and ``_spans``: the packed spans that repeat, of every row of ``rows`` that has any."""
-    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spans = stored(scan(index(rows, length, buckets)), "zones")
-    partial = partial_matches(fetch(rows, spans, length, buckets), length)
+    zones, listed = hot_keys(rows, length, split)
+    buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-zones // ZONES))
+    spans = stored(scan(index(rows, length, buckets, listed), hot, listed), "zones")
+    size = F.sum(F.length("spans") / _SPAN.itemsize).cast("long").alias("n")
+    n = {r["kind"]: r["n"] for r in spans.groupBy("kind").agg(size).collect()}
+    windows = n.get(3, 0) * (length - KEY + 1)  # at most
+    whole, parts = max(buckets, -(-n.get(1, 0) // ASKED)), max(buckets, -(-windows // WINDOWS))
+    partial = partial_matches(fetch(rows, spans, length, whole, parts), length)
     found = spans.filter("kind = 0").unionByName(partial)
     return found.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("spans").alias("_spans"))
 
 
-def _marked(docs: DataFrame, length: int, buckets: int | None) -> DataFrame:
+def _marked(docs: DataFrame, length: int, buckets: int | None, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """``docs`` with ``_row`` (rows that share it are equal in id and text, and so in what repeats) and ``_spans``."""
     rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    marked = repeats(rows, length, buckets)
+    marked = repeats(rows, length, buckets, hot, split)
     return rows.join(marked, rows["_row"] == marked["_doc"], "left").select(*rows.columns, "_spans")
 
 
@@ -394,12 +518,15 @@ def _cut(text: str | None, raw: list | None) -> tuple[bytes, int, int, bytes]:
     return data, int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, *, length: int = LENGTH, buckets: int | None = None, hot: int = HOT, split: int = SPLIT
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and ``kept`` (the bytes left) of every row.
 
     Each byte covered by a ``length``-byte string that also starts elsewhere, in this or another document, is removed;
     all copies go, those of repeated rows included. A null text is empty and keeps nothing; texts shorter than
-    ``length`` stay whole; an empty table gives an empty result. Other columns are ignored.
+    ``length`` stay whole; an empty table gives an empty result. Other columns are ignored. ``hot`` and ``split`` only
+    say how keys in many different zones are dealt to tasks.
     """
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
 
@@ -411,7 +538,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | None
             kinds = [pa.int64()] * 4 + [pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    marked = _marked(documents(docs), length, buckets)
+    marked = _marked(documents(docs), length, buckets, hot, split)
     return marked.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -92,6 +92,70 @@ def test_family_levels_grow_geometrically():
         assert all(a >= 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
 
 
+def _one_line_in_many_places():
+    """A line in different surroundings: most share less than a window with any other, some share one or more."""
+    r = random.Random(6)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop ") for _ in range(n))
+    pool, left, right = text(20_000), text(150), text(150)
+    at = int(suffixes.anchors(np.frombuffer(pool.encode(), np.uint8), np.array([0, 20_000]), 20_000)[3][0])
+    line = pool[at - 14 : at + 46]  # its middle is an anchor wherever it stands
+    texts = [text(170) + line + text(170) for _ in range(60)]
+    texts += [text(90) + left[-80:] + line + right[:80] + text(90) for _ in range(5)]
+    texts += [text(50) + left + line + text(150) for _ in range(3)] + [text(150) + line + right + text(50) for _ in range(3)]
+    return texts + [texts[0], texts[0][40:], text(500)]
+
+
+@pytest.mark.parametrize("split", [10**9, 1])
+def test_hot_keys_are_settled_by_window(spark, monkeypatch, split):
+    monkeypatch.setattr(suffixes, "SAMPLED", 1)
+    texts = _one_line_in_many_places()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = suffixes.remove_repeats(frame, buckets=3, hot=4, split=split)
+    got = {r[0]: (r[1], r[2], r[3], bytes(r[4])) for r in out.collect()}
+    want = repeats_by_force(texts, 200)
+    assert [got[k] for k in range(len(texts))] == want
+    assert 8 <= sum(w[1] > 0 for w in want) < 20
+
+
+def test_no_task_holds_all_zones_of_a_hot_key(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "SAMPLED", 1)
+    frame = spark.createDataFrame(list(enumerate(_one_line_in_many_places())), "doc_id long, text string")
+    rows = frame.withColumn("_row", F.xxhash64("doc_id", "text")).repartition(4)
+    zones, listed = suffixes.hot_keys(rows, 200, 40)
+    assert len(listed) and zones > len(listed)
+
+    def held(dealt):
+        """The largest share of one bucket in the entries of the listed keys."""
+        found = Counter()
+        for r in dealt.filter("known = 0").collect():
+            entries = np.frombuffer(r["run"], suffixes._ENTRY)
+            found[r["bucket"]] += int(np.isin(entries["key"], listed[:1]).sum())
+        return max(found.values()) / sum(found.values())
+
+    assert held(suffixes.index(rows, 200, 8)) == 1.0
+    assert held(suffixes.index(rows, 200, 8, listed)) < 0.5
+    spans = suffixes.scan(suffixes.index(rows, 200, 8, listed), 4, listed)
+    parts = suffixes.fetch(rows, spans, 200, 8, 8).filter("kind = 3").collect()
+    size = Counter()
+    for r in parts:
+        size[r["bucket"]] += len(r["heads"])
+    assert len(size) == 8 and max(size.values()) < 2 * sum(size.values()) / 8
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40))), st.lists(st.tuples(st.integers(0, 3), st.integers(0, 40))))
+def test_entries_are_found_by_key_and_zone(one, two):
+    def entries(pairs):
+        made = np.zeros(len(set(pairs)), suffixes._ENTRY)
+        for k, (key, zone) in enumerate(sorted(set(pairs))):
+            made[k]["key"], made[k]["zone"] = key, zone
+        return made
+
+    known = sorted(set(one))
+    want = [known.index(p) if p in known else -1 for p in sorted(set(two))]
+    assert suffixes._find(entries(one), entries(two)).tolist() == want
+
+
 def test_stage_form_keeps_rows_and_columns(docs, rows):
     out = suffixes.without_repeats(docs)
     assert out.schema == docs.schema and out.count() == len(rows)
