@@ -100,9 +100,9 @@ def live_debounce(t):
 
 @query("live_prevention")
 def live_prevention(t):
-    """Prevention state with event-time expiry; the batch form is checked by SQL, this one against it in tests."""
+    """Prevention state of all flows with event-time expiry; the batch form is checked by SQL, this one against it in tests."""
     action = F.when(F.col("k") >= 90, "quarantine").when(F.col("k") >= 60, "block").when(F.col("k") >= 20, "rate_limit")
-    rows = stream(t).filter("is_attack").select("event_id", "ts", F.col("source_ip").alias("source_asset"), action.otherwise("alert").alias("prevention"))
+    rows = stream(t).select("event_id", "ts", F.col("source_ip").alias("source_asset"), action.otherwise("alert").alias("prevention"))
     return ingest.run_available(state.prevention_stream(rows, ttl=TTL), t.spark, "prevention").select(
         "source_asset", "event_id", "outcome", "us"
     )

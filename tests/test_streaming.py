@@ -5,6 +5,8 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from ripplewatch.operators import beacon, chains, drift, policy
+from ripplewatch.plans import live
+from ripplewatch.plans.policy import TTL
 from ripplewatch.streaming import ingest, state
 from ripplewatch.streaming.drift import DriftState
 
@@ -57,6 +59,14 @@ def test_prevention_state_matches_batch(spark, arriving):
     assert set(rows(got.filter("outcome = 'superseded'"), "event_id")) == set(rows(ended.filter("outcome = 'superseded'"), "event_id"))
 
 
+def test_live_prevention_decides_on_all_flows(tables):
+    out = live.live_prevention(tables)
+    want = policy.prevention_state(decisions(tables.flows), ttl=TTL)
+    assert want.count() == tables.flows.count() > tables.flows.filter("is_attack").count()
+    for outcome in ("written", "suppressed"):
+        assert rows(out.filter(F.col("outcome") == outcome), "event_id") == rows(want.filter(F.col("outcome") == outcome), "event_id")
+
+
 def test_ingest_is_idempotent_and_debounces_across_batches(spark, arriving, tables, tmp_path):
     def keyed(df):
         return df.withColumns({"session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")})
