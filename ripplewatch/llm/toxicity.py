@@ -15,13 +15,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch.llm.common import documents, slices, stored, texts_of
 
 TRAIN_ROWS = 20_000
-LEXICON_SIZE = 5_000
 THRESHOLD = 0.7
 STEM_LENGTHS = range(4, 13)
 WORDS_OF_STEM = 5
@@ -276,6 +275,11 @@ def _beyond(toxic: dict[str, int], clean: dict[str, int]) -> set:
     return {t for t, n in toxic.items() if n >= (4 if t.endswith(" ") else 1.5) * clean.get(t, 0)}
 
 
+def _beyond_clean() -> Column:
+    """The same of rows with ``term``, ``n`` and ``n_clean``."""
+    return F.col("n") >= F.when(F.col("term").endswith(" "), 4.0).otherwise(1.5) * F.col("n_clean")
+
+
 def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 30) -> np.ndarray:
     """Logistic regression by Newton steps; the bias is not penalised."""
     w, held = np.zeros(x.shape[1]), np.diag([1e-6] + [penalty] * (x.shape[1] - 1))
@@ -288,12 +292,13 @@ def _fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.3, rounds: int = 30) -
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, size: int = LEXICON_SIZE) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS) -> Scorer:
     """Learn a scorer from at most about ``train_rows`` labelled documents outside the held-out third.
 
     Rows are taken by a hash of their id, so the sample is the same in every run. Several labels of one document
     count as toxic if any does; null labels are no labels. Without a toxic or a clean document every text scores the
-    share of toxic documents (0 without any labels).
+    share of toxic documents (0 without any labels). Every term of the sample counts that stands in enough toxic
+    documents (more than chance explains, and at least 0.5 % of them) and far more often than in clean ones.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.dropna().filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -314,14 +319,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, train_rows: int = TRAIN_ROWS, s
     terms = max(1, counted.count())
     base = positives / (positives + negatives)
     least = max(3, math.ceil(math.log(terms) / -math.log(min(0.9, base))), math.ceil(0.005 * positives))
-    top = counted.filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(20 * size)
-    in_toxic = {r["term"]: r["n"] for r in top.collect()}
-    in_clean = {r["term"]: r["n"] for r in _term_counts(clean, frozenset(in_toxic)).collect()}
-    spread = _contexts(toxic, frozenset(_beyond(in_toxic, in_clean)))
+    against = _term_counts(clean, None).withColumnRenamed("n", "n_clean")
+    often = counted.filter(F.col("n") >= least).join(against, "term", "left").fillna(0, ["n_clean"])
+    found = often.filter(_beyond_clean()).collect()  # the bounded sample bounds them
+    in_toxic = {r["term"]: r["n"] for r in found}
+    in_clean = {r["term"]: r["n_clean"] for r in found}
+    spread = _contexts(toxic, frozenset(in_toxic))
     in_toxic = {t: n for t, n in in_toxic.items() if spread.get(t, 0) >= max(3, least // 2)}
     words, stems = _lexicon(in_toxic, in_clean, spread)
-    ranked = sorted(words, key=lambda w: (-in_toxic[w + " "], w))[:size]
-    scorer = Scorer(ranked, stems[:size])
+    ranked = sorted(words, key=lambda w: (-in_toxic[w + " "], w))
+    scorer = Scorer(ranked, stems)
     rows = _features(sample, scorer).collect()  # a few numbers for each row of the bounded sample
     x = np.array([r["features"] for r in rows])
     scorer.weights = _fit(x, np.array([float(r["toxic"]) for r in rows]))
@@ -340,7 +347,7 @@ def _features(sample: DataFrame, scorer: Scorer) -> DataFrame:
 
 
 def _scores(docs: DataFrame, scorer: Scorer, add):
-    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))  # a lexicon of bounded size
+    packed = docs.sparkSession.sparkContext.broadcast(pickle.dumps(scorer))  # a lexicon of the bounded sample
 
     def run(batches):
         own = pickle.loads(packed.value)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import json
+import random
 import zlib
 
 import numpy as np
@@ -247,3 +248,20 @@ def test_empty_tables(spark, no_docs):
     assert lzprint.compare_neighbours(no_docs).count() == 0
     manifest = tokenfiles.write_tokens(no_docs, shared_folder(spark, "tokens"), TOKENIZER, 2)
     assert tokenfiles.read_tokens(manifest, digests=True).count() == 0
+
+
+def test_toxicity_keeps_every_term_that_passes(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    bad, plain = [word() for _ in range(6500)], [word() for _ in range(50)]
+    said = [[] for _ in range(90)]
+    for w in bad:
+        for k in r.sample(range(90), 16):
+            said[k].append(w)
+    for words in said:
+        r.shuffle(words)
+    texts = [" ".join(words) for words in said] + [" ".join(r.choices(plain, k=12)) for _ in range(900)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(k, int(k < 90)) for k in range(len(texts))], "doc_id long, toxic int")
+    scorer = toxicity.learn(frame, marks)
+    assert len(set(bad) & set(scorer.words)) > 6000
