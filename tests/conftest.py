@@ -7,7 +7,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-SMALL = "/root/testdata/sf0.001"
+from helpers import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -41,7 +41,3 @@ def small_flows(tables):
     from ripplewatch.functions.partitions import cut_lineage
 
     return cut_lineage(tables.flows)
-
-
-def rows(df, *columns):
-    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)

@@ -2,7 +2,7 @@
 
 import oracle
 import pytest
-from conftest import SMALL
+from helpers import SMALL
 
 import __spark_entry__ as entry
 

@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S

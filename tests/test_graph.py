@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from ripplewatch import inventory as inv
 from ripplewatch.operators import cascade as C

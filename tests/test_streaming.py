@@ -1,7 +1,7 @@
 """A stream drained over several micro-batches ends where the batch operators end."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from ripplewatch.operators import beacon, chains, drift, policy
