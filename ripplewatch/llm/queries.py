@@ -174,3 +174,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ripplewatch.llm.htmltext import extract
 
     return extract(table(spark, sf_dir, "pages"))
+
+
+@register("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.alignment import alignment_report
+
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment_report(table(spark, sf_dir, "documents"), *paths)

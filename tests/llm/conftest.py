@@ -1,19 +1,14 @@
 """Small document tables with nulls, empty and long texts, repeated rows and columns that clash with inner names."""
 
 import random
+import sys
+from pathlib import Path
 
 import pytest
 
-DOCS = (
-    "doc_id long, text string, lang string, source string, n_chars long, score double, set long, row long, spans string, "
-    "digest string, ids string, bucket int, first long, piece string"
-)
+sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-
-def table(spark, rows):
-    """(doc_id, text) rows as a documents table with clashing extra columns."""
-    full = [(i, t, "en", None, None if t is None else len(t), 0.5, 1, 2, "s", "d", "i", 3, 4, "p") for i, t in rows]
-    return spark.createDataFrame(full, DOCS)
+from document_tables import table  # noqa: E402
 
 
 @pytest.fixture(scope="session")
