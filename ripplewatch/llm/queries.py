@@ -182,3 +182,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return alignment_report(table(spark, sf_dir, "documents"), *paths)
+
+
+@register("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.whitening import fit, whiten
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return whiten(vectors, fit(vectors))
