@@ -190,3 +190,10 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     vectors = table(spark, sf_dir, "embeddings")
     return whiten(vectors, fit(vectors))
+
+
+@register("op12_source_mix")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ripplewatch.llm.mixing import taken_words
+
+    return taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
