@@ -47,6 +47,18 @@ def uniform_draw(*parts) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
 
 
+def draw_threshold(probability: Column) -> Column:
+    """The 13 hexadecimal digits under which ``draw_below`` finds the digits of every draw below ``probability``."""
+    digits = F.lower(F.lpad(F.hex(F.ceil(probability * F.lit(float(2**52)))), 13, "0"))
+    return F.when(probability >= 1.0, "g").when(probability <= 0.0, "").otherwise(digits)
+
+
+def draw_below(threshold: Column, *parts) -> Column:
+    """Whether ``uniform_draw`` of the parts is below the probability of a ``draw_threshold``, without making a number."""
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    return F.substring(F.md5(text.cast("binary")), 1, 13) < threshold
+
+
 def hash_order(*parts) -> Column:
     """A repeatable pseudo-random sort key."""
     return F.md5(F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts]).cast("binary"))
