@@ -55,6 +55,21 @@ def slice_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words: the sum of a mixed value for each byte at its place in the word.
+
+    Unlike a polynomial modulo a power of two, which maps long words of two letters in Thue-Morse order and their
+    complements to one value, a sum of mixed values has no such words.
+    """
+    lengths = ends - starts
+    at = np.flatnonzero(inside)
+    upto = np.r_[0, np.cumsum(lengths)]
+    place = np.arange(len(at)) - np.repeat(upto[:-1], lengths)
+    sums = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(mix(place.astype(np.uint64) << np.uint64(8) | data[at]), dtype=np.uint64, out=sums[1:])
+    return mix(sums[upto[1:]] - sums[upto[:-1]] + lengths.astype(np.uint64))
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices, one after the other."""
     ends = np.cumsum(lengths)
@@ -82,7 +97,7 @@ class Words:
         after[:-1] = inside[1:]
         self.starts = np.flatnonzero(inside & (~before | first[:n]))
         self.ends = np.flatnonzero(inside & (~after | first[1:])) + 1
-        self.hashes = slice_hashes(running(self.data), self.starts, self.ends)
+        self.hashes = word_hashes(self.data, inside, self.starts, self.ends)
         self.bounds = np.searchsorted(self.starts, offsets)  # of each document's words, one more
 
     def shingles(self, width: int):

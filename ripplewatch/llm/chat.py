@@ -53,33 +53,54 @@ def field_paths(value, prefix: str = "") -> set[str]:
 
 
 def fingerprint(paths) -> str:
-    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode("utf-8", "surrogatepass")).hexdigest()[:16]
 
 
 MAPPINGS = {fingerprint(paths): mapping for paths, mapping in LAYOUTS}
 
 
+def _scalar(value) -> str | None:
+    """A JSON scalar as text: null is empty, other scalars are spelled as in JSON; None for lists and objects.
+
+    Halves of surrogate pairs, which JSON can spell but no text can hold, become U+FFFD.
+    """
+    if value is None:
+        return ""
+    if isinstance(value, (dict, list)):
+        return None
+    text = value if isinstance(value, str) else json.dumps(value)
+    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+
+
 def turns_of(record: str | None) -> list[tuple[str, str]] | None:
-    """(role, text) turns of a JSON record; None if it is no JSON object or its layout is unknown.
+    """(role, text) turns of a JSON record; None if it is no JSON object, its layout is unknown or it is nested too deep.
 
-    Null roles and texts are empty. An empty list of turns gives no turns.
+    Null roles and texts are empty, numbers and truth values are spelled as in JSON, and lone surrogates become U+FFFD.
+    A record whose turns are not all objects, or in which a role or text is a list or an object, has an unknown layout.
+    An empty list of turns gives no turns.
     """
     try:
         value = json.loads(record or "")
-    except ValueError:
+        paths = field_paths(value)
+    except (ValueError, RecursionError):
         return None
     if not isinstance(value, dict):
         return None
-    mapping = MAPPINGS.get(fingerprint(field_paths(value)))
+    mapping = MAPPINGS.get(fingerprint(paths))
     if mapping is None:
         lists = [k for k, v in value.items() if v == [] and len(value) == 1]
         return [] if lists and any(m.get("each") == lists[0] for m in MAPPINGS.values()) else None
     if "turns" in mapping:
-        parts = [(role, [str(value[f]) for f in fields if value[f]]) for role, fields in mapping["turns"]]
-        return [(role, "\n\n".join(texts)) for role, texts in parts]
-    rows = value[mapping["each"]] if "each" in mapping else [value]
-    role, text = mapping["role"], mapping["text"]
-    return [(ROLES.get(r.get(role), r.get(role)) or "", str(r.get(text) or "")) for r in rows]
+        parts = [(role, [_scalar(value[f]) for f in fields]) for role, fields in mapping["turns"]]
+    else:
+        rows = value[mapping["each"]] if "each" in mapping else [value]
+        if not all(isinstance(r, dict) for r in rows):
+            return None
+        pairs = [(_scalar(r.get(mapping["role"])), _scalar(r.get(mapping["text"]))) for r in rows]
+        parts = [(None if role is None else ROLES.get(role, role), [text]) for role, text in pairs]
+    if any(role is None or None in texts for role, texts in parts):
+        return None
+    return [(role, "\n\n".join(filter(None, texts))) for role, texts in parts]
 
 
 def escape(text: str) -> str:

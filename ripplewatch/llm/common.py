@@ -74,6 +74,17 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list:
     return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores in front as it takes to clash with no column of ``df``."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = "_" + name
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def documents(docs: DataFrame, *extra: str) -> DataFrame:
     """The two columns the text operators read, whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *extra)

@@ -4,11 +4,11 @@ import html
 import re
 from dataclasses import dataclass, field
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|$)|<(script|style|textarea|title|noscript|template|svg|iframe|select)\b[^>]*>.*?(?:</\1\s*>|$)"
-    r"|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile("[>\"']")
+#: Elements whose content is not read, and how deep elements nest before they become siblings, as in browsers.
+_UNSEEN = frozenset("script style textarea title noscript template svg iframe select".split())
+DEPTH = 512
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _PART = re.compile(r"[a-z]+")
 #: Elements that end a run of text, and elements without an end tag.
@@ -50,11 +50,70 @@ def _attributes(raw: str) -> tuple[tuple[str, ...], bool]:
     return tuple(words), hidden
 
 
+def _tags(page: str):
+    """(start, end, closing, name, attributes) of every tag; name is empty for comments and elements that are not seen.
+
+    One pass: a quote that is never closed makes every tag up to it end at its next ``>``, whatever its quotes say, so
+    nothing is looked through twice.
+    """
+    at, lenient, unclosed = page.find("<"), -1, {}
+    last = {c: page.rfind(c) for c in ">\"'"}
+    while at >= 0:
+        end = None
+        found = _NAME.match(page, at + 1)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            end = len(page) if end < 0 else end + 3
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at + 1) + 1 or len(page)
+        if end is not None:
+            yield at, end, "", "", ""
+        elif found and last[">"] > at:
+            name, head, end = found[2].lower(), found.end(), None
+            if at > lenient:
+                place = head
+                while end is None:
+                    stop = _STOP.search(page, place)
+                    if not stop:
+                        lenient = len(page)
+                        break
+                    if stop[0] == ">":
+                        end = stop.start()
+                    elif stop.start() >= last[stop[0]]:
+                        lenient = stop.start()
+                        break
+                    else:
+                        place = page.find(stop[0], stop.end()) + 1
+            if end is None:
+                end = page.find(">", head)
+            if end >= 0:
+                raw, end = page[head:end], end + 1
+                if name in _UNSEEN and not found[1]:
+                    end = _after(page, name, end, unclosed)
+                    name = ""
+                yield at, end, found[1], name, raw
+        at = page.find("<", at + 1 if end is None or end < 0 else end)
+
+
+def _after(page: str, name: str, start: int, unclosed: dict) -> int:
+    """Where an element whose content is not read ends: behind its end tag, or with the page."""
+    if name in unclosed:
+        return len(page)
+    found = re.compile(rf"</{name}\s*>", re.I).search(page, start)
+    if not found:
+        unclosed[name] = True
+    return found.end() if found else len(page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order; scripts, styles, comments and other unseen elements are left out.
 
     Malformed pages are read as browsers do in the common cases: a block element ends an open paragraph, list items
-    and cells end their predecessors, an end tag closes what is open inside it and is ignored if nothing matches.
+    and cells end their predecessors, an end tag closes what is open inside it and is ignored if nothing matches. An
+    element within ``DEPTH`` others takes the place of the innermost of them. The time taken grows with the page's length.
     """
     page = page or ""
     out: list[Block] = []
@@ -79,18 +138,16 @@ def leaf_blocks(page: str | None) -> list[Block]:
         links -= sum(x[0] == "a" for x in stack[down_to:])
         del stack[down_to:]
 
-    for m in _TAG.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, closing, tag, raw in _tags(page):
+        if start > at:
+            piece = page[at:start]
             texts.append(piece)
             if links:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[3]
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if m[2]:
+        if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     if any(x[0] in BLOCK for x in stack[k:]):
@@ -114,8 +171,10 @@ def leaf_blocks(page: str | None) -> list[Block]:
                     close(k)
                     if tag not in _ENDS:
                         break
-        if tag not in VOID and not m[4].endswith("/"):
-            words, hidden = _attributes(m[4]) if m[4] else ((), False)
+        if tag not in VOID and not raw.endswith("/"):
+            words, hidden = _attributes(raw) if raw else ((), False)
+            if len(stack) >= DEPTH:
+                close(DEPTH - 1)
             stack.append((tag, words, hidden))
             links += tag == "a"
     if at < len(page):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch.llm.bytetext import blocks, gather, mix, powers, running, slice_hashes
-from ripplewatch.llm.common import documents, stored
+from ripplewatch.llm.common import documents, stored, unused
 
 LENGTH = 200
 KEY = 32
@@ -503,9 +503,11 @@ def repeats(rows: DataFrame, length: int = LENGTH, buckets: int | None = None, h
 
 def _marked(docs: DataFrame, length: int, buckets: int | None, hot: int = HOT, split: int = SPLIT) -> DataFrame:
     """``docs`` with ``_row`` (rows that share it are equal in id and text, and so in what repeats) and ``_spans``."""
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    marked = repeats(rows, length, buckets, hot, split)
-    return rows.join(marked, rows["_row"] == marked["_doc"], "left").select(*rows.columns, "_spans")
+    row, doc, spans = unused(docs, "_row", "_doc", "_spans")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    marked = repeats(rows.select("doc_id", "text", F.col(row).alias("_row")), length, buckets, hot, split)
+    marked = marked.select(F.col("_doc").alias(doc), F.col("_spans").alias(spans))
+    return rows.join(marked, rows[row] == marked[doc], "left").select(*rows.columns, spans)
 
 
 def _cut(text: str | None, raw: list | None) -> tuple[bytes, int, int, bytes]:
@@ -546,7 +548,7 @@ def without_repeats(docs: DataFrame, *, length: int = LENGTH, buckets: int | Non
     """``docs``, all rows and columns, with texts that have lost their repeated bytes.
 
     Bytes of a character that is cut in two are left out as well; ``n_chars``, where there is such a column, is counted
-    anew. A null text stays null. Columns named ``_row``, ``_doc`` or ``_spans`` may not be given.
+    anew. A null text stays null. Inner columns take names that ``docs`` does not use.
     """
     at = docs.columns.index("text")
     names, width = docs.columns, len(docs.columns)

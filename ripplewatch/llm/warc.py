@@ -215,7 +215,9 @@ def captures(records: DataFrame) -> DataFrame:
     metadata = records.filter("type = 'metadata'").groupBy("capture").agg(F.first(F.struct("record_id", "page_id")).alias("metadata"))
     nested = answer.join(request, "capture", "left").join(metadata, "capture", "left")
     held = metadata.select(F.col("capture").alias("held"), F.col("metadata.page_id").alias("refers_to"))
-    return nested.join(held, nested["response.refers_to"] == held["held"], "left").drop("held")
+    # Most captures refer to nothing: keys of their own, which no capture has, keep them from meeting under one null.
+    nested = nested.withColumn("sought", F.coalesce("response.refers_to", F.concat(F.lit("alone:"), "capture")))
+    return nested.join(held, nested["sought"] == held["held"], "left").drop("held", "sought")
 
 
 def archived(pages: DataFrame, *, least: int = LEAST_REVISIT) -> DataFrame:

@@ -338,3 +338,12 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path, docs, rows):
     hit = contamination_by_force([t for _, t in want], items, 10)
     assert by_repr(outs["decontamination"]) == by_repr(w for w, h in zip(want, hit, strict=True) if not h[1])
     assert Counter(k for k, _ in outs["bpe"]) == Counter(k for k, _ in outs["decontamination"])
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """Words in Thue-Morse order and their complements, which polynomial hashes modulo 2**64 confuse."""
+    word = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [(1, f"one two three {word} five"), (2, f"one two three {other} five"), (3, f"one two three {word} five")]
+    got = ngramjoin.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]

@@ -265,3 +265,17 @@ def test_toxicity_keeps_every_term_that_passes(spark):
     marks = spark.createDataFrame([(k, int(k < 90)) for k in range(len(texts))], "doc_id long, toxic int")
     scorer = toxicity.learn(frame, marks)
     assert len(set(bad) & set(scorer.words)) > 6000
+
+
+def test_records_that_fit_no_layout_or_no_text():
+    assert chat.turns_of('{"messages":[{"role":"user","content":"x"},[]]}') is None
+    assert chat.turns_of('{"messages":[{"role":"user","content":"x"},{"role":[],"content":"y"}]}') is None
+    assert chat.turns_of('{"messages":[{"role":"user","content":"x"},{"role":"user","content":{}}]}') is None
+    assert chat.turns_of("[" * 100_000) is None and chat.turns_of('{"a":' * 100_000 + "1" + "}" * 100_000) is None
+    assert chat.turns_of('{"role":"user","text":"a\\ud800b\\ud83d\\ude42"}') == [("user", "a\ufffdb\U0001f642")]
+    assert chat.turns_of('{"\\ud800":1}') is None
+    for value, shown in (("0", "0"), ("false", "false"), ("null", ""), ("1.5", "1.5"), ('""', "")):
+        assert chat.turns_of(f'{{"role":"bot","text":{value}}}') == [("assistant", shown)]
+        want = [("user", shown), ("assistant", "y")]
+        assert chat.turns_of(f'{{"prompt":{value},"response":"y"}}') == want
+    assert chat.turns_of('{"role":1,"content":"x"}') == [("1", "x")]

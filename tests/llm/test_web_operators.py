@@ -111,3 +111,39 @@ def test_repeated_rows_and_empty_table(spark):
 def test_broken_archive_is_an_error():
     with pytest.raises(ValueError):
         list(warc.parse(io.BytesIO(b"HTTP/1.1 200 OK\r\n\r\n")))
+
+
+def test_unclosed_quotes_and_deep_nesting_take_linear_time():
+    import time
+
+    for page, texts in [
+        ('<a "' * 60_001, None),
+        ("<a '\"" * 60_001, None),
+        ("<script " * 60_000, None),
+        ("<div>" * 30_000 + "x", ["x"]),
+        ("<ul><li>" * 3000 + "x" + "</li></ul>" * 3000 + "<p>y", ["x", "y"]),
+    ]:
+        start = time.process_time()
+        blocks = dom.leaf_blocks(page)
+        assert time.process_time() - start < 20
+        assert texts is None or [b.text for b in blocks] == texts
+        assert all(len(b.tags) <= dom.DEPTH for b in blocks)
+    assert [b.text for b in dom.leaf_blocks('<p class="a>one</p><p>two</p>')] == ["one", "two"]
+    assert [b.text for b in dom.leaf_blocks('<p title=">">one<p title=\'"\'>two')] == ["one", "two"]
+
+
+def test_captures_that_refer_to_nothing_do_not_meet(spark):
+    rows = [(k, "u", f"<p>{k}</p>" * 30 if k % 5 else "<p>same</p>" * 30) for k in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = warc.archived(pages).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.count("refers_to").alias("r"))
+        got = got.collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sum(r.n for r in got) == 400 and sum(r.r for r in got) == 79
+    assert max(r.n - r.r for r in got) < 80
