@@ -274,6 +274,31 @@ def score_drift(
         .select("epoch", "_at", *[F.col(f).alias(f"train_{f}") for f in FEATURES])
     )
     scored = _fit_and_score(features, training, start, refit_every, min_degree, contamination, trees, seed, max_rows)
+    return _judged(scored, start, min_degree, threshold)
+
+
+def score_batch(
+    features: DataFrame,
+    training: DataFrame,
+    start: int,
+    *,
+    threshold: float = S.DRIFT_FIRE,
+    refit_every: int = S.DRIFT_REFIT_BATCHES,
+    min_degree: int = S.DRIFT_MIN_DEGREE,
+    contamination: float = S.DRIFT_CONTAMINATION,
+    trees: int = S.FOREST_TREES,
+    seed: int = S.SEED,
+    max_rows: int = 1_000_000,
+) -> DataFrame:
+    """``score_drift`` of one epoch's batches, given the (bounded) training rows of that epoch and the first fitted batch.
+
+    ``training`` has epoch, ``_at`` (their order) and the features with the prefix ``train_``.
+    """
+    scored = _fit_and_score(features, training, start, refit_every, min_degree, contamination, trees, seed, max_rows)
+    return _judged(scored, start, min_degree, threshold)
+
+
+def _judged(scored: DataFrame, start: int, min_degree: int, threshold: float) -> DataFrame:
     ready = F.col("batch") >= start
     reason = ladder(
         (~ready, F.lit("baseline_not_fitted")), (F.col("degree") < min_degree, F.lit("insufficient_edges"))

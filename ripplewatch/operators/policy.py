@@ -196,6 +196,7 @@ def prevention_state(
     tie: str = "event_id",
     ttl: tuple[int, int, int] = (S.TTL_RATE_LIMIT, S.TTL_BLOCK, S.TTL_QUARANTINE),
     rollbacks: DataFrame | None = None,
+    clock=None,
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Every non-observe decision with its fate: outcome, status, expires_at, ended_at.
@@ -203,7 +204,8 @@ def prevention_state(
     An active action covers its asset until it expires or a stronger one supersedes it; covered decisions are
     suppressed. Alert-kind decisions are written when nothing covers the asset, and never cover anything themselves.
     ``rollbacks`` (action id as ``tie`` column, ``rolled_back_at``) end actions that are still active at that time;
-    they change the record, while coverage of other rows follows from the decisions alone.
+    they change the record, while coverage of other rows follows from the decisions alone. Actions are judged expired
+    at ``clock``, or else at the last decision.
     """
     rows = df.filter(F.col("prevention") != "observe")
     # The few rows that decide anything are read by several branches below.
@@ -214,7 +216,7 @@ def prevention_state(
     life = ladder(*[(F.col("level") == k, F.lit(v)) for k, v in seconds.items()])
     expires = F.col(ts) + F.make_dt_interval(secs=life)
     following = F.lead(ts).over(Window.partitionBy(asset).orderBy(ts, tie))
-    now = rows.agg(F.max(ts)).first()[0]
+    now = rows.agg(F.max(ts)).first()[0] if clock is None else clock
     kept = kept.withColumns({"expires_at": expires, "_next": following})
     kept = kept.withColumn(
         "status",

@@ -171,7 +171,10 @@ def session_tallies(df: DataFrame) -> DataFrame:
     )
 
 
-def batch_counters(df: DataFrame, *, by=()) -> DataFrame:
+CHANNELS = ("volumetric", "supervised", "signature", "beaconing")
+
+
+def batch_counters(df: DataFrame, *, by=(), detectors=CHANNELS) -> DataFrame:
     """Counters of a fused batch: rows, anomalies, tripwires, notable rows and per-detector hits."""
     def hits(name: str):
         return F.count_if(F.array_contains("fired_detectors", name)).alias(f"{name}_hits")
@@ -181,6 +184,6 @@ def batch_counters(df: DataFrame, *, by=()) -> DataFrame:
         F.count_if("is_anomaly").alias("anomalies"),
         F.count_if("tripwire_fired").alias("tripwires"),
         F.count_if(F.col("fused_action") == "alert").alias("escalated"),
-        *[hits(d) for d in ("volumetric", "supervised", "signature", "beaconing")],
+        *[hits(d) for d in detectors],
     )
 

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from ripplewatch.operators import analysis
-from ripplewatch.plans.catalog import query
+from ripplewatch.plans.catalog import cte, query
 from ripplewatch.plans.channels import BEACON
-from ripplewatch.plans.policy import HALF_DAY, TTL, _greedy
+from ripplewatch.plans.policy import HALF_DAY, POLICY, TTL, _greedy
 from ripplewatch.plans.tables import Tables
 from ripplewatch.streaming import ingest, state
 
@@ -155,6 +155,238 @@ def live_drift(t):
     return out.withColumn("traffic_entropy_delta", F.round("traffic_entropy_delta", 6))
 
 
+PARTS = 8
+_REUSE = 6 * 3600
+_DRIFT = {"gap_sec": 3 * 86_400, "baseline_batches": 3, "refit_every": 2, "min_rows": 20, "min_degree": 4}
+_jobs: dict = {}
+cte(
+    "parts",
+    f"""SELECT *, least({PARTS - 1}, (epoch_us(ts) - min(epoch_us(ts)) OVER ()) * {PARTS} // greatest(1, max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER ())) AS part FROM flows""",
+)
+
+
+def deliver(t, root: str, process) -> None:
+    """The events as ``PARTS`` micro-batches in time order, the fifth of which arrives once more at the end."""
+    span = t.events.agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    part = F.least(F.lit(PARTS - 1), F.floor((us - span["a"]) * PARTS / max(1, span["b"] - span["a"])))
+    folder, live = f"{root}/arriving", Tables(t.spark, t.path)
+    for n in [*range(PARTS), 4]:
+        t.events.filter(part == n).write.mode("append").parquet(folder)
+        live = Tables(t.spark, t.path)
+        live.events = ingest.flow_stream(t.spark, folder, t.events.schema)
+        rows = live.flows.withColumns(
+            {"ts": F.col("ts").cast("timestamp"), "session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")}
+        )
+        query_ = (
+            rows.writeStream.option("checkpointLocation", f"{root}/progress")
+            .foreachBatch(process).trigger(availableNow=True).start()
+        )
+        query_.awaitTermination()
+
+
+def ingested(t) -> ingest.Ingest:
+    """The whole pipeline over all micro-batches; the queries below read what it stored, so it runs once for a table."""
+    from ripplewatch import inventory as inv
+    from ripplewatch.sources.sinks import scratch_path
+
+    key = (t.spark.sparkContext.applicationId, t.path)
+    if key not in _jobs:
+        root = scratch_path(t.spark, "pipeline")
+        job = ingest.Ingest(
+            f"{root}/tables", t.registry, score=lambda df: df, debounce_sec=HALF_DAY, edges=inv.edges(t.spark), assets=t.assets,
+            alert_policy=POLICY, snapshot_reuse_sec=_REUSE, prevention=True, ttl=TTL,
+        )
+        deliver(t, root, job.process_batch)
+        _jobs[key] = job
+    return _jobs[key]
+
+
+cte(
+    "live_fused",
+    """SELECT *, CASE WHEN tripwire_fired OR threat_score >= 0.85 THEN 'confirmed' WHEN threat_score >= 0.55 THEN 'likely'
+        WHEN threat_score >= 0.25 THEN 'suspicious' ELSE 'benign' END AS band,
+      CASE WHEN tripwire_fired OR threat_score >= 0.55 THEN 'alert' ELSE 'observe' END AS fused_action,
+      is_anomaly::INT + tripwire_fired::INT + (supervised_score >= 0.5)::INT + (signature_n > 0)::INT AS n_fired
+     FROM (SELECT *, CASE WHEN tripwire_fired THEN 1.0::DOUBLE ELSE 1 -
+        (1 - CASE WHEN is_anomaly THEN volumetric_score * 0.02::DOUBLE ELSE 0 END) *
+        (1 - CASE WHEN supervised_score >= 0.5 THEN supervised_score::DOUBLE * 0.9::DOUBLE ELSE 0 END) *
+        (1 - CASE WHEN signature_n > 0 THEN signature_score * 0.85::DOUBLE ELSE 0 END) END AS threat_score
+      FROM channel_rows JOIN (SELECT event_id, part FROM parts) USING (event_id))""",
+)
+
+
+def _walk(name: str, source: str, gap: int) -> None:
+    """Named subqueries ``<name>_order`` and ``<name>_walk``: rows at least ``gap`` seconds after the asset's last accepted one."""
+    cte(f"{name}_order", f"SELECT source_asset, event_id, ts, row_number() OVER (PARTITION BY source_asset ORDER BY ts, event_id) AS rn FROM {source}")
+    open_ = f"epoch_us(o.ts) - epoch_us(w.last_ts) >= {gap}000000"
+    cte(
+        f"{name}_walk",
+        f"""SELECT source_asset, rn, event_id, ts AS last_ts, TRUE AS ok FROM {name}_order WHERE rn = 1
+            UNION ALL SELECT o.source_asset, o.rn, o.event_id, CASE WHEN {open_} THEN o.ts ELSE w.last_ts END, {open_}
+            FROM {name}_walk w JOIN {name}_order o ON o.source_asset = w.source_asset AND o.rn = w.rn + 1""",
+    )
+
+
+cte(
+    "snap_rows",
+    """SELECT event_id, ts, part, source_asset, volumetric_score FROM live_fused
+       WHERE source_asset IN (SELECT name FROM city_nodes) AND (is_anomaly OR tripwire_fired OR fused_action = 'alert')""",
+)
+_walk("snap", "snap_rows", _REUSE)
+cte(
+    "city_hits",
+    "SELECT * FROM city_level0 UNION SELECT * FROM city_level1 UNION SELECT * FROM city_level2 UNION SELECT * FROM city_level3",
+)
+cte(
+    "units",
+    """SELECT origin, median(share) AS m, quantile_cont(share, 0.05) AS lo, quantile_cont(share, 0.95) AS hi FROM (
+         SELECT r.origin, r.iteration, sum(CASE WHEN r.node <> r.origin THEN w.c ELSE 0 END) / ((SELECT sum(c) FROM city_weights) - max(own.c)) AS share
+         FROM city_hits r JOIN city_weights w ON w.name = r.node JOIN city_weights own ON own.name = r.origin GROUP BY r.origin, r.iteration) GROUP BY origin""",
+)
+cte(
+    "snaps",
+    """SELECT c.event_id, c.ts, c.part, c.source_asset, least(1, c.volumetric_score * u.m) AS cii_median, least(1, c.volumetric_score * u.lo) AS cii_p5,
+         least(1, c.volumetric_score * u.hi) AS cii_p95 FROM snap_walk w JOIN snap_rows c USING (event_id) JOIN units u ON u.origin = c.source_asset WHERE w.ok""",
+)
+cte(
+    "live_alert_rows",
+    """SELECT *, CASE WHEN tripwire_fired THEN 'tripwire' WHEN is_anomaly AND volumetric_score >= 0.8 THEN 'volumetric' ELSE 'hybrid' END AS alert_kind
+       FROM live_fused WHERE tripwire_fired OR (is_anomaly AND volumetric_score >= 0.8) OR (NOT is_anomaly AND fused_action = 'alert')""",
+)
+_walk("live_alert", "live_alert_rows", HALF_DAY)
+cte(
+    "live_steps",
+    """SELECT *, row_number() OVER (PARTITION BY source_asset ORDER BY ts, event_id) AS rn FROM (
+         SELECT f.source_asset, f.event_id, f.ts, f.part, epoch_us(f.ts) AS us, CASE WHEN f.band IN ('benign', 'suspicious') THEN 0 WHEN NOT (f.tripwire_fired OR f.n_fired >= 2) THEN 1
+           WHEN f.threat_score >= 0.85 AND f.source_criticality >= 0.85 AND s.cii_median >= 0.1 THEN 4
+           WHEN f.threat_score >= 0.85 AND f.source_criticality >= 0.5 THEN 3 WHEN f.threat_score >= 0.55 THEN 2 ELSE 1 END AS lvl
+         FROM live_fused f ASOF LEFT JOIN snaps s ON s.source_asset = f.source_asset AND s.ts <= f.ts) WHERE lvl > 0""",
+)
+cte("live_timed", f"SELECT *, us + (CASE lvl WHEN 2 THEN {TTL[0]} WHEN 3 THEN {TTL[1]} WHEN 4 THEN {TTL[2]} END)::BIGINT * 1000000 AS ends FROM live_steps")
+cte(
+    "live_fate",
+    """SELECT source_asset, rn, event_id, part, us, lvl, ends, TRUE AS written, CASE WHEN lvl >= 2 THEN lvl ELSE 0 END AS cur, CASE WHEN lvl >= 2 THEN ends ELSE 0 END AS cur_ends FROM live_timed WHERE rn = 1
+       UNION ALL SELECT t.source_asset, t.rn, t.event_id, t.part, t.us, t.lvl, t.ends, NOT (s.cur >= t.lvl AND s.cur_ends > t.us),
+         CASE WHEN s.cur >= t.lvl AND s.cur_ends > t.us THEN s.cur WHEN t.lvl >= 2 THEN t.lvl ELSE 0 END,
+         CASE WHEN s.cur >= t.lvl AND s.cur_ends > t.us THEN s.cur_ends WHEN t.lvl >= 2 THEN t.ends ELSE 0 END
+       FROM live_fate s JOIN live_timed t ON t.source_asset = s.source_asset AND t.rn = s.rn + 1""",
+)
+cte(
+    "live_lives",
+    """SELECT event_id, ends, lead(us) OVER (PARTITION BY source_asset ORDER BY rn) AS next_us FROM live_fate WHERE written AND lvl >= 2""",
+)
+
+
+@query(
+    "live_snapshots",
+    """SELECT event_id, source_asset, round(cii_median, 6) AS cii_median, round(cii_p5, 6) AS cii_p5, round(cii_p95, 6) AS cii_p95,
+         (SELECT count(DISTINCT node) FROM city_hits h WHERE h.origin = snaps.source_asset AND h.node <> h.origin) AS n_impacted FROM snaps""",
+)
+def live_snapshots(t):
+    """Impact snapshots that the micro-batches computed; all others reused the asset's last one."""
+    out = t.spark.read.parquet(ingested(t).path("snapshots"))
+    rounded = [F.round(c, 6).alias(c) for c in ("cii_median", "cii_p5", "cii_p95")]
+    return out.select("event_id", "source_asset", *rounded, F.size("impacted").cast("bigint").alias("n_impacted"))
+
+
+@query(
+    "live_alerts",
+    """SELECT a.event_id, a.alert_kind, s.event_id AS snapshot_event_id
+       FROM (SELECT r.* FROM live_alert_walk w JOIN live_alert_rows r USING (event_id) WHERE w.ok) a
+       ASOF LEFT JOIN snaps s ON s.source_asset = a.source_asset AND s.ts <= a.ts""",
+)
+def live_alerts(t):
+    return t.spark.read.parquet(ingested(t).path("alerts")).select("event_id", "alert_kind", "snapshot_event_id")
+
+
+@query(
+    "live_actions",
+    """SELECT event_id, CASE WHEN written THEN 'written' ELSE 'suppressed' END AS outcome FROM live_fate
+       UNION ALL SELECT event_id, CASE WHEN next_us < ends THEN 'superseded' ELSE 'expired' END FROM live_lives
+         WHERE next_us < ends OR ends <= (SELECT max(epoch_us(ts)) FROM flows)""",
+)
+def live_actions(t):
+    """The log of prevention actions over all micro-batches."""
+    return t.spark.read.parquet(ingested(t).path("actions")).select("event_id", "outcome")
+
+
+@query(
+    "live_batch_counters",
+    f"""SELECT p.part AS batch, p.n AS received, p.n AS inserted, 0 AS deduplicated, f.anomalies, f.tripwires, f.escalated, f.signature_hits,
+         coalesce(s.computed, 0) AS cii_computed, coalesce(s.n, 0) - coalesce(s.computed, 0) AS cii_reused, coalesce(a.created, 0) AS alerts_created,
+         coalesce(a.n, 0) - coalesce(a.created, 0) AS alerts_suppressed, coalesce(a.hybrid, 0) AS hybrid_alerts, coalesce(x.written, 0) AS actions_written, coalesce(x.suppressed, 0) AS actions_suppressed
+       FROM (SELECT part, count(*) AS n FROM parts GROUP BY part) p
+       JOIN (SELECT part, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (tripwire_fired) AS tripwires, count(*) FILTER (fused_action = 'alert') AS escalated,
+               count(*) FILTER (signature_n > 0) AS signature_hits FROM live_fused GROUP BY part) f USING (part)
+       LEFT JOIN (SELECT part, count(*) AS n, count(*) FILTER (ok) AS computed FROM snap_rows JOIN snap_walk USING (event_id) GROUP BY part) s USING (part)
+       LEFT JOIN (SELECT part, count(*) AS n, count(*) FILTER (ok) AS created, count(*) FILTER (ok AND alert_kind = 'hybrid') AS hybrid
+                  FROM live_alert_rows JOIN live_alert_walk USING (event_id) GROUP BY part) a USING (part)
+       LEFT JOIN (SELECT part, count(*) FILTER (written) AS written, count(*) FILTER (NOT written) AS suppressed FROM live_fate GROUP BY part) x USING (part)
+       UNION ALL SELECT {PARTS}, count(*), 0, count(*), 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0 FROM parts WHERE part = 4""",
+)
+def live_batch_counters(t):
+    """Counters of every micro-batch, the one delivered twice included."""
+    out = t.spark.read.parquet(ingested(t).path("counters")).withColumn("batch", F.col("batch_id").cast("bigint"))
+    return out.select(
+        "batch", "received", "inserted", "deduplicated", "anomalies", "tripwires", "escalated", "signature_hits", "cii_computed",
+        "cii_reused", "alerts_created", "alerts_suppressed", "hybrid_alerts", "actions_written", "actions_suppressed",
+    )
+
+
+cte(
+    "live_degrees",
+    f"""SELECT n.batch, p.node, count(*) AS degree FROM (SELECT range + 1 AS batch FROM range({PARTS})) n
+        JOIN (SELECT DISTINCT source_ip AS node, destination_ip AS peer FROM flows) p ON TRUE
+        WHERE (SELECT max(epoch_us(ts)) FROM parts WHERE part < n.batch) - (SELECT max(epoch_us(ts)) FROM parts f WHERE f.part < n.batch AND f.source_ip = p.node AND f.destination_ip = p.peer)
+          <= {_DRIFT["gap_sec"]}000000 GROUP BY ALL""",
+)
+cte(
+    "live_fit",
+    f"""SELECT greatest({_DRIFT["baseline_batches"]}, min(batch)) AS first FROM (
+          SELECT batch, sum(count(*) FILTER (degree >= {_DRIFT["min_degree"]})) OVER (ORDER BY batch) AS n FROM live_degrees GROUP BY batch) WHERE n >= {_DRIFT["min_rows"]}""",
+)
+
+
+def drifted(t):
+    """The drift detector alone over the same micro-batches."""
+    from ripplewatch.sources.sinks import scratch_path
+    from ripplewatch.streaming.drift import DriftState
+
+    root = scratch_path(t.spark, "drifted")
+    job, made = DriftState(f"{root}/drift", scoring={"trees": 20}, **_DRIFT), f"{root}/verdicts"
+
+    def process(batch, batch_id):
+        if batch_id < PARTS:  # the repeated delivery is the keyed sink's to drop
+            job.process_batch(batch, batch_id)
+            job.verdicts(batch.sparkSession, batch_id).write.mode("overwrite").parquet(f"{made}/batch_id={batch_id}")
+
+    deliver(t, root, process)
+    return t.spark.read.parquet(made)
+
+
+@query(
+    "live_drift_verdicts",
+    f"""SELECT batch, node, degree, CASE WHEN batch < (SELECT first FROM live_fit) THEN 'baseline_not_fitted' WHEN degree < {_DRIFT["min_degree"]} THEN 'insufficient_edges' END AS abstained,
+          batch >= (SELECT first FROM live_fit) AND degree >= {_DRIFT["min_degree"]} AS judged FROM live_degrees""",
+)
+def live_drift_verdicts(t):
+    """Every node's verdict in every micro-batch, or why there is none; scores themselves come from a trained forest."""
+    return drifted(t).select("batch", "node", "degree", "abstained", F.col("drift_decision").isNotNull().alias("judged"))
+
+
+@query("live_six_channels")
+def live_six_channels(t):
+    """Threat scores of a stream with the drift channel in the fusion; compared with batch fusion in tests."""
+    from ripplewatch.sources.sinks import scratch_path
+    from ripplewatch.streaming.drift import DriftState
+
+    root = scratch_path(t.spark, "six")
+    job = ingest.Ingest(f"{root}/tables", t.registry, score=lambda df: df, drift=DriftState(f"{root}/drift", scoring={"trees": 20}, **_DRIFT))
+    deliver(t, root, job.process_batch)
+    return t.spark.read.parquet(job.path("events")).select("event_id", "threat_score", "band", "drift_fired", "drift_score")
+
+
 @query("batch_analysis")
 def batch_analysis(t):
     """Features, forest, tripwire, status, risk and blast radius of one run; one summary row."""

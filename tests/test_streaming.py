@@ -126,3 +126,68 @@ def test_drift_state_matches_batch(spark, small_flows, tmp_path):
     for k, r in expected.items():
         assert (got[k]["degree"], got[k]["history_peers"]) == (r["degree"], r["history_peers"])
         assert [got[k][c] for c in drift.FEATURES] == pytest.approx([r[c] for c in drift.FEATURES], abs=1e-9)
+
+
+def by_day(flows):
+    days = [r[0] for r in flows.select(F.to_date("ts").alias("d")).distinct().orderBy("d").collect()]
+    return [flows.filter(F.to_date("ts") == F.lit(d)) for d in days]
+
+
+def test_drift_verdicts_match_batch(spark, small_flows, tmp_path):
+    """Baseline, refits, scores and reasons of the stream are those of the batch form, a retried batch included."""
+    day, gap = 86_400, 3 * 86_400
+    flows = small_flows.filter("ts < timestamp_ntz'2024-01-10'")
+    fit = {"baseline_batches": 3, "refit_every": 2, "min_rows": 10, "min_degree": 2}
+    want = drift.score_drift(drift.drift_features(flows, bucket_sec=day, gap_sec=gap), trees=10, **fit)
+    job = DriftState(str(tmp_path / "verdicts"), gap_sec=gap, scoring={"trees": 10}, **fit)
+    got = []
+    for i, batch in enumerate(by_day(flows)):
+        for _ in range(2 if i in (2, 4) else 1):
+            job.process_batch(batch, i)
+            last = job.verdicts(spark, i).collect()
+        got += last
+    cols = ("batch", "node", "drift_fired", "abstained")
+    expected = want.collect()
+    assert sorted(tuple(map(str, (r[c] for c in cols))) for r in got) == sorted(tuple(map(str, (r[c] for c in cols))) for r in expected)
+    scores = {(r["batch"], r["node"]): r["drift_score"] for r in expected}
+    assert [r["drift_score"] for r in got] == pytest.approx([scores[r["batch"], r["node"]] for r in got], abs=1e-9)
+    assert {r["abstained"] for r in got} >= {None, "baseline_not_fitted", "insufficient_edges"}
+
+
+def test_the_drift_channel_joins_the_fusion(tables):
+    six = {r["event_id"]: r for r in live.live_six_channels(tables).collect()}
+    five = {r["event_id"]: r for r in ingest.Ingest("", tables.registry, score=lambda df: df).fused(tables.flows).collect()}
+    assert six.keys() == five.keys() and any(r["drift_fired"] for r in six.values())
+    for k, r in six.items():
+        kept = 1 - r["drift_score"] * 0.15 * r["drift_fired"]
+        wanted = 1.0 if five[k]["has_confirmed"] else 1 - (1 - five[k]["threat_score"]) * kept
+        assert r["threat_score"] == pytest.approx(wanted, abs=1e-12)
+
+
+def test_the_whole_batch_is_idempotent(spark, tables, tmp_path):
+    """A batch that is processed twice under its number leaves snapshots, alerts, actions and counters as they were."""
+    from ripplewatch import inventory as inv
+
+    flows = tables.flows.withColumns(
+        {"ts": F.col("ts").cast("timestamp"), "session_id": F.lit("s"), "source_row_id": F.col("event_id").cast("string")}
+    )
+    job = ingest.Ingest(
+        str(tmp_path / "tables"), tables.registry, score=lambda df: df, edges=inv.edges(spark), assets=tables.assets, iterations=70,
+        snapshot_reuse_sec=6 * 3600, debounce_sec=43200, prevention=True, ttl=TTL, alert_policy={"volumetric_enabled": True, "score_floor": 0.8},
+    )
+    parts = [flows.filter(F.floor(F.col("event_id") / 400) == k) for k in range(3)]
+    names = ("snapshots", "alerts", "actions", "counters", "impacts")
+
+    def state():
+        return {n: sorted(map(str, spark.read.parquet(job.path(n)).collect())) for n in names}
+
+    for k, part in enumerate(parts):
+        job.process_batch(part, k)
+    once = state()
+    job.process_batch(parts[2], 2)
+    assert state() == once
+    counters = spark.read.parquet(job.path("counters")).collect()
+    assert sum(r["inserted"] for r in counters) == flows.count()
+    for table, name in (("snapshots", "cii_computed"), ("alerts", "alerts_created")):
+        assert len(once[table]) == sum(r[name] for r in counters) > 0
+    assert len(once["impacts"]) == len({r["origin"] for r in spark.read.parquet(job.path("impacts")).collect()})
