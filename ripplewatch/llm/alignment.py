@@ -16,7 +16,7 @@ frequent pair thus costs one row for each block, however many documents hold it.
 import hashlib
 import os
 from collections.abc import Iterable
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -69,9 +69,12 @@ def links(sizes_a: list[int], sizes_b: list[int], groups: list[tuple[int, int]])
 
 def shown(a: list[int], b: list[int], groups: list[tuple[int, int]]) -> str:
     """The groups as text: ``a1,a2|b1;a3|b2,b3``."""
+    own, other = list(map(str, a)), list(map(str, b))
     out, i, j = [], 0, 0
     for stop_a, stop_b in groups:
-        out.append(f"{','.join(map(str, a[i:stop_a]))}|{','.join(map(str, b[j:stop_b]))}")
+        left = own[i] if stop_a == i + 1 else ",".join(own[i:stop_a])
+        right = other[j] if stop_b == j + 1 else ",".join(other[j:stop_b])
+        out.append(left + "|" + right)
         i, j = stop_a, stop_b
     return ";".join(out)
 
@@ -120,30 +123,65 @@ class Aligner:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.held, self.shown, self.codes, self.sizes = 0, [], [], []
+        self.held, self.shown = 0, []
         self.flat, self.offsets, self.counts = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros((0, 4), np.int64)
 
-    def _add(self, piece: str, a: list[int], b: list[int]) -> None:
-        spelled = self._spelled(piece, a, b)
-        if spelled is None or _meets_blank(piece):
-            self.shown.append(None)
-            self.sizes.append((0, 0, 0, 0))
-            return
-        found, linked = self.groups(a, b)
-        self.shown.append(shown(a, b, found))
-        self.sizes.append((len(a), len(b), len(found), len(linked)))
-        self.codes.append(np.array([b[j] << 32 | a[i] for i, j in linked], np.int64))
-
     def _learn(self, pieces: list[str]) -> None:
+        """Align new pieces, a thousand of them as one sequence of tokens; pieces that need their text's context are noted."""
+        plain = [not _meets_blank(p) for p in pieces]
+        codes, counts = [self.flat], [self.counts]
         for low in range(0, len(pieces), 1000):
-            some = pieces[low : low + 1000]
-            made = self.a.encode_batch_fast([" " + p for p in some], add_special_tokens=False)
-            for piece, a, b in zip(some, made, self.b.encode(some, num_threads=1), strict=True):
-                self._add(piece, a.ids, b)
-        self.flat = np.concatenate([self.flat, *self.codes])
-        self.counts = np.concatenate([self.counts, np.array(self.sizes, np.int64).reshape(-1, 4)])
+            some, fits = pieces[low : low + 1000], plain[low : low + 1000]
+            strings, found, sizes = self._together([p for p, fit in zip(some, fits, strict=True) if fit])
+            every = np.zeros((len(some), 4), np.int64)
+            every[np.flatnonzero(fits)] = sizes
+            rest = iter(strings)
+            self.shown += [next(rest) if fit else None for fit in fits]
+            codes.append(found)
+            counts.append(every)
+        self.flat, self.counts = np.concatenate(codes), np.concatenate(counts)
         self.offsets = np.r_[0, np.cumsum(self.counts[:, 3])]
-        self.codes, self.sizes = [], []
+
+    def _together(self, pieces: list[str]) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """(groups as text, codes of all links, sizes) of pieces aligned as one sequence: their ends are common ends.
+
+        If the sequence is not spelled byte for byte, its halves are tried, down to the pieces that are not.
+        """
+        if not pieces:
+            return [], np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
+        wanted = [b" " + p.encode("utf-8") for p in pieces]
+        a = self.a.encode_batch_fast([[" " + p for p in pieces]], is_pretokenized=True, add_special_tokens=False)[0].ids
+        b = list(chain.from_iterable(self.b.encode(pieces, num_threads=1)))
+        whole = b"".join(wanted)
+        if any(b"".join(map(t.__getitem__, x)) != whole for t, x in ((self.bytes_a, a), (self.bytes_b, b))):
+            if len(pieces) == 1:
+                return [None], np.zeros(0, np.int64), np.zeros((1, 4), np.int64)
+            half = len(pieces) // 2
+            first, second = self._together(pieces[:half]), self._together(pieces[half:])
+            return first[0] + second[0], np.r_[first[1], second[1]], np.concatenate([first[2], second[2]])
+        sizes_a, sizes_b = [self.sizes_a[k] for k in a], [self.sizes_b[k] for k in b]
+        found = cuts(sizes_a, sizes_b)
+        stops = np.array(found, np.int64)
+        starts = np.r_[np.zeros((1, 2), np.int64), stops[:-1]]
+        length = stops - starts
+        linked = length.sum(axis=1) - 1  # no inner end is common, so each token after the first of either side adds a link
+        upto = np.cumsum(linked)
+        step = np.arange(upto[-1]) - np.repeat(upto - linked, linked)
+        pair = np.repeat(starts, linked, axis=0) + np.where(np.repeat(length, linked, axis=0) > 1, step[:, None], 0)
+        for k in np.flatnonzero(length.min(axis=1) > 1).tolist():
+            (i, j), (stop_a, stop_b) = starts[k].tolist(), stops[k].tolist()
+            own = links(sizes_a[i:stop_a], sizes_b[j:stop_b], [(stop_a - i, stop_b - j)])
+            pair[upto[k] - linked[k] : upto[k]] = np.array(own, np.int64) + starts[k]
+        ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
+        codes = ids_b[pair[:, 1]] << 32 | ids_a[pair[:, 0]]
+        # The last group of a piece is the one that ends where the piece does.
+        last = np.searchsorted(np.cumsum(sizes_a)[stops[:, 0] - 1], np.cumsum([len(w) for w in wanted])) + 1
+        table = np.c_[stops, np.arange(1, len(stops) + 1), upto][last - 1]
+        groups, low, strings = shown(a, b, found).split(";"), 0, []
+        for high in last.tolist():
+            strings.append(";".join(groups[low:high]))
+            low = high
+        return strings, codes, np.diff(table, axis=0, prepend=np.zeros((1, 4), np.int64))
 
     def aligned(self, texts: list[str]) -> list[tuple]:
         """(tokens of A, tokens of B, groups, links, groups as text, codes of the links) of each text.
