@@ -150,7 +150,7 @@ class Aligner:
         if not pieces:
             return [], np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
         wanted = [b" " + p.encode("utf-8") for p in pieces]
-        a = self.a.encode_batch_fast([[" " + p for p in pieces]], is_pretokenized=True, add_special_tokens=False)[0].ids
+        a = self.a.encode_batch_fast(["".join(" " + p for p in pieces)], add_special_tokens=False)[0].ids
         b = list(chain.from_iterable(self.b.encode(pieces, num_threads=1)))
         whole = b"".join(wanted)
         if any(b"".join(map(t.__getitem__, x)) != whole for t, x in ((self.bytes_a, a), (self.bytes_b, b))):

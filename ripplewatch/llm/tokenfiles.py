@@ -10,6 +10,7 @@ leaves files that nobody reads.
 """
 
 import os
+import re
 import zlib
 from urllib.parse import urlparse
 
@@ -47,68 +48,76 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = specials_as_text
-        self.size = self.tokenizer.get_vocab_size()
-        self.lengths = np.zeros(self.size, np.int64)  # in bytes; the byte-level alphabet has a character for each
+        self.vocabulary = self.tokenizer.get_vocab_size()
+        self.lengths = np.zeros(self.vocabulary, np.int64)  # in bytes; the byte-level alphabet has a character for each
         for token, at in self.tokenizer.get_vocab().items():
             self.lengths[at] = len(token)
         self._forget()
 
     def _forget(self) -> None:
-        self.first: dict[str, int] = {}  # pieces that open a text, without a space
-        self.later: dict[str, int] = {}
-        self.odd = np.zeros(0, bool)
-        self.flat, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _learn(self, pieces: list[str], odd: list[bool]) -> None:
-        ids, counts = [self.flat], []
-        for low in range(0, len(pieces), 1000):
-            some = pieces[low : low + 1000]
-            made = self.tokenizer.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)[0]
-            ids.append(np.array(made.ids, np.uint32))
-            # Tokens spell the bytes of the pieces without gaps, so their lengths tell where each piece ends.
-            ends = np.cumsum([len(p.encode("utf-8")) for p in some])
-            upto = np.searchsorted(np.cumsum(self.lengths[ids[-1]]), ends, side="right")
-            counts.append(np.diff(upto, prepend=0))
-        self.flat = np.concatenate(ids)
-        self.offsets = np.r_[self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(counts))]
-        self.odd = np.r_[self.odd, np.array(odd, bool)]
+        self.fresh: list[str] = []
+        self.first = _Numbers(self.fresh, "")  # pieces that open a text, without a space
+        self.later = _Numbers(self.fresh, " ")
+        self.flat, self.low, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _learn(self, pieces: list[str]) -> None:
+        flat, low, size = [self.flat], np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        spaced = np.array([p.startswith(" ") for p in pieces], bool)
+        held = len(self.flat)
+        for opens in (True, False):
+            at = np.flatnonzero(spaced == opens)
+            for some in np.split(at, range(1000, len(at), 1000)):
+                own = [pieces[k] for k in some.tolist()]
+                # Pieces that bring their space follow each other as in a text; the others are kept apart.
+                shown = "".join(own) if opens else own
+                made = self.tokenizer.encode_batch_fast([shown], is_pretokenized=not opens, add_special_tokens=False)[0]
+                flat.append(np.array(made.ids, np.uint32))
+                # Tokens spell the bytes of the pieces without gaps, so their lengths tell where each piece ends.
+                ends = np.cumsum([len(p.encode("utf-8")) for p in own])
+                upto = np.searchsorted(np.cumsum(self.lengths[flat[-1]]), ends, side="right")
+                size[some] = np.diff(upto, prepend=0)
+                low[some] = held + upto - size[some]
+                held += len(flat[-1])
+        self.flat = np.concatenate(flat)
+        self.low, self.size = np.r_[self.low, low], np.r_[self.size, size]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.odd) > KNOWN_WORDS:
+        if len(self.fresh) > KNOWN_WORDS:
             self._forget()
-        n, rows, fresh = len(self.odd), [], []
+        known, first, later, rows, sizes, whole = len(self.fresh), self.first, self.later.__getitem__, [], [], {}
+        for n, text in enumerate(texts):
+            if _MEETS.search(text):
+                made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+                whole[n] = np.array(made.ids, np.uint32)
+                sizes.append(0)
+                continue
+            pieces = text.split(" ")
+            rows.append(first[pieces[0]])
+            rows.extend(map(later, pieces[1:]))
+            sizes.append(len(pieces))
+        if len(self.fresh) > known:
+            self._learn(self.fresh[known:])
+        at = np.array(rows, np.int64)
+        low, lengths = self.low[at], self.size[at]
+        upto = np.r_[0, np.cumsum(lengths)][np.r_[0, np.cumsum(sizes)]]
+        ids = gather(self.flat, low, lengths)
+        return [whole[n] if n in whole else ids[upto[n] : upto[n + 1]] for n in range(len(texts))]
 
-        def new(known: dict, piece: str, shown: str) -> int:
-            at = known.get(piece)
-            if at is None:  # the first time in this text, too
-                at = known[piece] = n + len(fresh)
-                fresh.append(shown)
-            return at
 
-        for text in texts:
-            pieces = text.split(" ")
-            row = list(map(self.later.get, pieces))
-            row[0] = new(self.first, pieces[0], pieces[0])
-            if None in row:
-                row = [new(self.later, p, " " + p) if at is None else at for at, p in zip(row, pieces, strict=True)]
-            rows.append(np.array(row, np.int64))
-        if fresh:
-            self._learn(fresh, [_meets_blank(p) for p in fresh])
-        out = []
-        for text, row in zip(texts, rows, strict=True):
-            if self.odd[row].any():
-                made = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
-                out.append(np.array(made.ids, np.uint32))
-            else:
-                low = self.offsets[row]
-                out.append(gather(self.flat, low, self.offsets[row + 1] - low))
-        return out
+class _Numbers(dict):
+    """Numbers of pieces in the order in which they were first met; ``fresh`` lists them as they are spelled."""
+
+    def __init__(self, fresh: list[str], space: str):
+        self.fresh, self.space = fresh, space
+
+    def __missing__(self, piece: str) -> int:
+        at = self[piece] = len(self.fresh)
+        self.fresh.append(self.space + piece)
+        return at
 
 
-def _meets_blank(piece: str) -> bool:
-    """Whether the piece brings white space next to the space before or after it."""
-    body = piece[1:] if piece.startswith(" ") else piece
-    return not body or body[0].isspace() or body[-1].isspace()
+#: White space beside a space, or a text that begins or ends with white space.
+_MEETS = re.compile(r"(?:\A| )(?:\Z|\s)|\s(?: |\Z)")
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -163,7 +172,7 @@ def write_tokens(
         out, done = None, []
         for batch in batches:
             encoder = _encoder(tokenizer_path)
-            dtype = "<u2" if max(encoder.size, end_id + 1) <= 1 << 16 else "<u4"
+            dtype = "<u2" if max(encoder.vocabulary, end_id + 1) <= 1 << 16 else "<u4"
             keys, texts, buckets = batch.column(0).to_pylist(), texts_of(batch), batch.column(2).to_numpy()
             start = 0
             while start < len(keys):
