@@ -221,6 +221,21 @@ cte(
 )
 
 
+@query("fused_six_channels")
+def fused_six_channels(t):
+    """All six channels in one fusion: drift verdicts by source node and bucket join the others; a forest scores them."""
+    from ripplewatch.operators import drift
+    from ripplewatch.plans.ordered import BUCKET, GAP
+
+    features = drift.drift_features(t.flows, bucket_sec=BUCKET, gap_sec=GAP)
+    scored = drift.score_drift(features, baseline_batches=5, refit_every=10)
+    rows = beacon.beaconing_verdicts(drift.drift_verdicts(t.flows, scored, bucket_sec=BUCKET), **BEACON)
+    rows = volumetric.two_channel_confidence(volumetric.tripwire(rows))
+    rows = signature.signature_verdicts(resolve_assets(rows, t.registry))
+    out = fusion.fuse(fusion.collect_verdicts(rows))
+    return out.select("event_id", "threat_score", "band", "fired_detectors", "drift_fired", "drift_score")
+
+
 @query(
     "fused_decisions",
     """SELECT event_id, round(threat_score, 6) AS threat_score, band, fused_action, n_fired, tripwire_fired AS has_confirmed FROM fused""",

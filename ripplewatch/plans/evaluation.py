@@ -124,13 +124,12 @@ def positives_only(t):
 
 
 _LEADS = """SELECT source_ip, a AS recon_detected_at, b AS exfil_detected_at, (epoch_us(b) - epoch_us(a)) / 1e6 AS lead_time_seconds FROM (
-   SELECT source_ip, min(ts) FILTER (is_honeytoken_use) AS a, min(ts) FILTER (is_anomaly AND value > 300) AS b FROM flows GROUP BY source_ip)
+   SELECT source_ip, min(ts) FILTER (is_honeytoken_use) AS a, min(ts) FILTER (is_anomaly) AS b FROM flows GROUP BY source_ip)
    WHERE a IS NOT NULL AND b IS NOT NULL"""
 
 
 def _leads(t):
-    late = t.flows.filter(F.col("is_anomaly") & (F.col("value") > 300))
-    return E.lead_times(t.flows.filter("is_honeytoken_use"), late, key="source_ip")
+    return E.lead_times(t.flows.filter("is_honeytoken_use"), t.flows.filter("is_anomaly"), key="source_ip")
 
 
 @query("lead_times", _LEADS)
