@@ -1,6 +1,7 @@
 """Asset dependency graph: gateway rewrite, node table, topology roll-up, breadth-first distances."""
 
 import warnings
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
@@ -9,11 +10,12 @@ from pyspark.sql import functions as F
 from ripplewatch import inventory as inv
 from ripplewatch import settings as S
 from ripplewatch.functions import net
-from ripplewatch.functions.partitions import broadcast_if_small, cut_lineage
+from ripplewatch.functions.partitions import broadcast_if_small, cut_lineage, with_rank
 from ripplewatch.operators.resolve import protected_assets
 
 RELAY = "gateway_relay"
 _LAST = 2**62
+WORD_BITS = 64
 
 
 def with_edge_defaults(edges: DataFrame) -> DataFrame:
@@ -113,29 +115,59 @@ def collapse_sectors(
 def hop_distances(graph: DataFrame, origins: DataFrame, *, max_depth: int | None = None) -> DataFrame:
     """(origin, node, hop, parent) by undirected breadth-first search from every origin.
 
-    One join per level; each level is checkpointed, so lineage stays flat. Among several possible parents the
-    smallest name is kept. The loop ends with the first empty level. ``max_depth`` leaves out nodes further away and
-    warns if there are any.
+    Origins are numbered and packed 64 to a word: a row holds, for a (word, node), the origins that have reached the node and
+    those that did so in the last level. A level is one join with the links and one OR by (word, node); every node keeps
+    itself through a stay link, so what was reached earlier needs no second join. Rows of (origin, node) exist only once,
+    at the end. Among several possible parents the smallest name is kept. The loop ends with the first empty level.
+    ``max_depth`` leaves out nodes further away and warns if there are any.
     """
     both = graph.select("src", "tgt").unionByName(graph.select(F.col("tgt").alias("src"), F.col("src").alias("tgt")))
-    links = broadcast_if_small(cut_lineage(both.filter(F.col("src") != F.col("tgt")).distinct()))
-    level = cut_lineage(
-        origins.select("origin").distinct().select(
-            "origin", F.col("origin").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("parent")
-        )
+    links = cut_lineage(both.filter(F.col("src") != F.col("tgt")).distinct().withColumn("stay", F.lit(False)))
+    numbered = cut_lineage(with_rank(origins.select("origin").distinct(), ["origin"]))
+    place = F.col("rank") - 1
+    packed = numbered.select(
+        "origin", F.floor(place / WORD_BITS).alias("word"), F.pmod(place, F.lit(WORD_BITS)).cast("int").alias("bit")
+    )
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("bit"))
+    start = packed.groupBy("word", F.col("origin").alias("node")).agg(F.bit_or(one).alias("fresh"))
+    level = cut_lineage(start.withColumn("seen", F.col("fresh")))
+    zero = F.lit(0).cast("bigint")
+    stays = graph_nodes(graph).unionByName(origins.select(F.col("origin").alias("name"))).distinct().select(
+        F.col("name").alias("src"), F.col("name").alias("tgt"), F.lit(True).alias("stay")
     )
-    seen = level
+    steps = broadcast_if_small(cut_lineage(links.unionByName(stays)))
+    levels = [level.select("word", "node", F.col("fresh").alias("mask"), F.lit(0).alias("hop"))]
     for depth in count(1):
-        step = level.join(links, level["node"] == links["src"]).groupBy("origin", F.col("tgt").alias("node")).agg(
-            F.lit(depth).alias("hop"), F.min(level["node"]).alias("parent")
+        moved = level.join(steps, F.col("node") == F.col("src")).filter(F.col("stay") | (F.col("fresh") != 0))
+        merged = moved.groupBy("word", F.col("tgt").alias("node")).agg(
+            F.bit_or(F.when(F.col("stay"), zero).otherwise(F.col("fresh"))).alias("came"),
+            F.bit_or(F.when(F.col("stay"), F.col("seen")).otherwise(zero)).alias("had"),
         )
-        level = cut_lineage(step.join(seen.select("origin", "node"), ["origin", "node"], "left_anti"))
-        if level.isEmpty():
-            return seen
+        fresh = F.col("came").bitwiseAND(F.bitwise_not("had"))
+        level = cut_lineage(merged.select("word", "node", fresh.alias("fresh"), F.col("had").bitwiseOR(F.col("came")).alias("seen")))
+        found = level.filter("fresh <> 0")
+        if found.isEmpty():
+            break
         if max_depth is not None and depth > max_depth:
             warnings.warn(f"nodes more than {max_depth} hops away are left out", stacklevel=2)
-            return seen
-        seen = seen.unionByName(level)
+            break
+        levels.append(found.select("word", "node", F.col("fresh").alias("mask"), F.lit(depth).alias("hop")))
+    return _with_parents(levels, links, packed)
+
+
+def _with_parents(levels: list[DataFrame], links: DataFrame, packed: DataFrame) -> DataFrame:
+    """Unpack the levels: each reached node with the least of its neighbours that were reached one hop earlier."""
+    reached = cut_lineage(reduce(DataFrame.unionByName, levels))
+    earlier = reached.select("word", F.col("node").alias("src"), F.col("mask").alias("before"), (F.col("hop") + 1).alias("hop"))
+    near = broadcast_if_small(links.select("src", F.col("tgt").alias("node")))
+    tried = earlier.join(near, "src").join(reached, ["word", "node", "hop"])
+    tried = tried.select("word", "node", "hop", "src", F.col("mask").bitwiseAND(F.col("before")).alias("mask"))
+    origin = reached.filter("hop = 0").select("word", "node", "hop", F.lit(None).cast("string").alias("src"), "mask")
+    rows = origin.unionByName(tried.filter("mask <> 0"))
+    rows = rows.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(WORD_BITS - 1))))
+    rows = rows.filter(F.call_function("getbit", F.col("mask"), F.col("bit")) == 1)
+    least = rows.groupBy("word", "bit", "node", "hop").agg(F.min("src").alias("parent"))
+    return least.join(broadcast_if_small(packed), ["word", "bit"]).select("origin", "node", "hop", "parent")
 
 
 def path_edges(distances: DataFrame, impacted: DataFrame) -> DataFrame:
