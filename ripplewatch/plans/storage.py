@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ripplewatch import settings as S
 from ripplewatch.operators import policy
 from ripplewatch.plans.catalog import query
 from ripplewatch.plans.channels import fused
@@ -93,3 +94,31 @@ def stored_alert_tables(t):
     rows = policy.alert_candidates(fused(t), volumetric_enabled=True, score_floor=0.8, hybrid_enabled=True)
     sinks.append_table(rows.select("event_id", "ts", "source_asset", "alert_kind"), path, partition_by=["alert_kind"])
     return t.spark.read.parquet(path).groupBy("alert_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BENIGN = "SELECT " + ", ".join(f"avg({f}) AS m_{f}, stddev_pop({f}) AS s_{f}" for f in S.FEATURES) + (
+    ", count(*) AS warmup_rows, min(ts) AS first_ts, max(ts) AS last_ts FROM flows WHERE NOT is_attack"
+)
+
+
+@query(
+    "stored_scorer",
+    "SELECT event_id, " + ", ".join(f"round(({f} - m_{f}) / s_{f}, 6) AS z_{f}" for f in S.FEATURES)
+    + f", TRUE AS judged, warmup_rows, first_ts, last_ts FROM flows CROSS JOIN ({_BENIGN})",
+)
+def stored_scorer(t):
+    """Scaler, forest and supervised model fitted, stored as one bundle, loaded and applied to every flow."""
+    from ripplewatch.sources import bundle, sinks
+
+    path, flows = sinks.scratch_path(t.spark, "bundle"), t.flows.drop("supervised_score")
+    fitted = bundle.fit_bundle(flows.filter(~F.col("is_attack")), flows, trees=20, min_rows=100)
+    bundle.save_bundle(fitted, path, flows, day="monday")
+    loaded = bundle.load_bundle(t.spark, path, flows, day="monday")
+    facts = loaded.warmup
+    out = bundle.score(flows, loaded)
+    judged = F.col("fired").isNotNull() & F.col("supervised_score").between(0, 1)
+    first, last = (F.lit(facts[k].isoformat(sep=" ")).cast("timestamp_ntz") for k in ("first_ts", "last_ts"))
+    return out.select(
+        "event_id", *[F.round(f"z_{f}", 6).alias(f"z_{f}") for f in S.FEATURES], judged.alias("judged"),
+        F.lit(facts["rows"]).cast("bigint").alias("warmup_rows"), first.alias("first_ts"), last.alias("last_ts"),
+    )

@@ -297,3 +297,30 @@ def test_supervised_beats_chance_and_refuses_one_class(small_flows):
     assert r["auc"] > 0.9 and r["recall"] > 0.8
     with pytest.raises(ValueError):
         supervised.fit_supervised(df.filter("is_attack"))
+
+
+def test_a_bundle_scores_as_before_and_is_refused_where_it_does_not_fit(spark, small_flows, tmp_path):
+    from ripplewatch.sources import bundle
+
+    flows, path = small_flows.drop("supervised_score"), str(tmp_path / "bundle")
+    fitted = bundle.fit_bundle(flows.filter("not is_attack"), flows, trees=5, min_rows=100)
+    with pytest.raises(bundle.BundleRefused, match="no whole bundle"):
+        bundle.load_bundle(spark, path, flows)
+    bundle.save_bundle(fitted, path, flows, day="monday")
+    back = bundle.load_bundle(spark, path, flows, day="monday")
+    assert back.scaler == fitted.scaler and back.warmup == fitted.warmup and back.features == fitted.features
+    columns = ("event_id", "raw_score", "fired", "supervised_score", "supervised_fired")
+    assert rows(bundle.score(flows, back), *columns) == rows(bundle.score(flows, fitted), *columns)
+    with pytest.raises(bundle.BundleRefused, match="day"):
+        bundle.load_bundle(spark, path, flows, day="tuesday")
+    with pytest.raises(bundle.BundleRefused, match="types"):
+        bundle.load_bundle(spark, path, flows.withColumn("bytes", F.col("bytes").cast("int")))
+    with pytest.raises(bundle.BundleRefused, match="lack"):
+        bundle.load_bundle(spark, path, flows.drop("packets"))
+    unlabelled = bundle.fit_bundle(flows.filter("not is_attack"), trees=5, min_rows=100)
+    bundle.save_bundle(unlabelled, path, flows)
+    assert bundle.load_bundle(spark, path, flows).supervised is None
+    other = bundle.Bundle(fitted.scaler[:2], fitted.forest, fitted.warmup)
+    bundle.save_bundle(other, path, flows)
+    with pytest.raises(bundle.BundleRefused, match="beside a scaler"):
+        bundle.load_bundle(spark, path, flows)
