@@ -24,6 +24,11 @@ def _ordered(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return rows.sort_values(["us", "event_id"], kind="stable").reset_index(drop=True)
 
 
+def _wake(state: GroupState, us: int) -> None:
+    """Set the key's timer: when the watermark is past ``us``."""
+    state.setTimeoutTimestamp(max(us // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+
+
 def beacon_stream(
     flows: DataFrame,
     *,
@@ -33,10 +38,17 @@ def beacon_stream(
     max_cv: float = S.BEACON_MAX_CV,
     min_interval_sec: float = S.BEACON_MIN_INTERVAL,
     max_interval_sec: float = S.BEACON_MAX_INTERVAL,
+    idle_sec: float | None = None,
 ) -> DataFrame:
-    """Beaconing verdict per flow, from the pair's last ``history`` arrivals kept in state."""
+    """Beaconing verdict per flow, from the pair's last ``history`` arrivals kept in state.
+
+    With ``idle_sec`` a timer drops a pair that stays silent for that long in event time, and its history begins anew.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _ordered(frames)
         kept = list(state.get[0]) if state.exists else []
         arrivals = np.array(kept + rows["us"].tolist(), dtype=np.int64)
@@ -50,6 +62,8 @@ def beacon_stream(
             enough = len(frame) >= min_samples - 1 and frame.mean() > 0
             variation.append(float(frame.std(ddof=1) / frame.mean()) if enough else None)
         state.update((arrivals[-history:].tolist(),))
+        if idle_sec is not None:
+            _wake(state, int(arrivals.max()) + int(idle_sec * 1_000_000))
         cv = pd.Series(variation, dtype="float64")
         yield pd.DataFrame(
             {
@@ -64,7 +78,7 @@ def beacon_stream(
         )
 
     keyed = flows.withWatermark("ts", watermark).select(
-        "event_id", "source_ip", "destination_ip", epoch_micros(F.col("ts")).alias("us")
+        "ts", "event_id", "source_ip", "destination_ip", epoch_micros(F.col("ts")).alias("us")
     )
     return keyed.groupBy("source_ip", "destination_ip").applyInPandasWithState(
         step,
@@ -72,17 +86,23 @@ def beacon_stream(
         "beacon_fired boolean, beacon_score double",
         "arrivals array<bigint>",
         "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if idle_sec is None else GroupStateTimeout.EventTimeTimeout,
     )
 
 
 def debounce_stream(
     candidates: DataFrame, key: str, *, gap_sec: float, watermark: str = WATERMARK
 ) -> DataFrame:
-    """Candidate rows that are at least ``gap_sec`` after the key's last accepted one."""
+    """Candidate rows that are at least ``gap_sec`` after the key's last accepted one.
+
+    A key leaves the state once the watermark has passed the end of its gap: whatever comes then is accepted anyway.
+    """
     gap = int(gap_sec * 1_000_000)
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = _ordered(frames)
         last = state.get[0] if state.exists else None
         times, picked, at = rows["us"].to_numpy(), [], 0
@@ -95,12 +115,15 @@ def debounce_stream(
             at += 1
         if last is not None:
             state.update((last,))
+            _wake(state, last + gap)
         if picked:
             yield pd.DataFrame({key: group[0], "event_id": rows["event_id"].iloc[picked]})
 
-    keyed = candidates.withWatermark("ts", watermark).select(key, "event_id", epoch_micros(F.col("ts")).alias("us"))
+    keyed = candidates.withWatermark("ts", watermark).select(
+        "ts", key, "event_id", epoch_micros(F.col("ts")).alias("us")
+    )
     return keyed.groupBy(key).applyInPandasWithState(
-        step, f"`{key}` string, event_id bigint", "last_us bigint", "append", GroupStateTimeout.NoTimeout
+        step, f"`{key}` string, event_id bigint", "last_us bigint", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

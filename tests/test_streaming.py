@@ -41,6 +41,24 @@ def test_debounce_state_matches_batch(spark, arriving):
     assert rows(out, "event_id") == rows(chains.debounce(arriving[1], "source_ip", gap_sec=43200), "event_id")
 
 
+def test_silent_keys_leave_the_state(spark, arriving, tmp_path):
+    """Timers drop keys: after the last batch only those that were heard of lately are held, and results stay the same."""
+    day = 86_400
+    last = arriving[1].agg(F.max("ts")).first()[0]
+    for name, made, columns, held in (
+        ("debounce", state.debounce_stream(stream(spark, arriving), "source_ip", gap_sec=3600), ["source_ip"], 3600 + 1200),
+        ("beacon", state.beacon_stream(stream(spark, arriving), idle_sec=2 * day, **ARGS), ["source_ip", "destination_ip"], 4 * day),
+    ):
+        q = (
+            made.writeStream.format("noop").option("checkpointLocation", str(tmp_path / name))
+            .trigger(availableNow=True).start()
+        )
+        q.awaitTermination()
+        operators = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+        lately = arriving[1].filter(F.col("ts") > F.lit(last) - F.make_dt_interval(secs=F.lit(float(held))))
+        assert operators[-1] <= lately.select(*columns).distinct().count() < arriving[1].select(*columns).distinct().count()
+
+
 def decisions(df):
     action = F.when(F.col("k") >= 90, "quarantine").when(F.col("k") >= 60, "block").when(F.col("k") >= 20, "rate_limit")
     return df.select("event_id", "ts", F.col("source_ip").alias("source_asset"), action.otherwise("alert").alias("prevention"))
