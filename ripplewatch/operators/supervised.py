@@ -29,7 +29,10 @@ def fit_supervised(
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
     )
-    return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), forest]).fit(weighted)
+    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), forest]).fit(weighted)
+    # Copies leave the training summary behind: it holds the session, which cannot be sent to tasks once it has counted
+    # an ``Observation``.
+    return PipelineModel([stage.copy() for stage in fitted.stages])
 
 
 def score_supervised(df: DataFrame, model: PipelineModel, *, threshold: float = 0.5) -> DataFrame:

@@ -291,6 +291,19 @@ def test_registered_detectors_can_be_added(small_flows):
         evaluate.evaluate(small_flows, ["nope"])
 
 
+def test_supervised_model_is_sent_to_tasks_after_an_observation(spark, small_flows):
+    from pyspark.sql import Observation
+
+    from ripplewatch.functions.partitions import cut_lineage
+
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    model = supervised.fit_supervised(small_flows, trees=3, depth=3)
+    scored = supervised.score_supervised(small_flows.drop("supervised_score"), model).filter("supervised_score >= 0")
+    assert cut_lineage(scored.groupBy("supervised_fired").count()).count() > 0
+
+
 def test_supervised_beats_chance_and_refuses_one_class(small_flows):
     df = small_flows.withColumn("bytes", F.when(F.col("is_attack"), F.col("bytes") + 5000).otherwise(F.col("bytes")))
     r = supervised.temporal_split_evaluate(df, trees=10, depth=4).first()
