@@ -4,14 +4,17 @@ Three questions come up whenever rows must be seen in order: how to number them
 few rows, and how to carry a running value. A plain window answers all of them per key, but a key holding a
 third of the data then sits in one task. The helpers here cut the *order* instead of the key: Spark's sampled
 range partitioning puts contiguous, similarly sized runs of the sorted data in each partition, whatever the
-keys are, and only per-partition summaries meet again afterwards.
+keys are, and only per-partition summaries meet again afterwards. Where only some keys are hot, only their rows
+take that path; all others keep the plain exchange by key.
 
 Range bounds come from sampling, so two evaluations of one plan could disagree. The sorted rows are therefore
 checkpointed (reliably, in the folder the cluster names) before anything reads them twice.
 """
 
 import tempfile
+from functools import reduce
 from math import ceil, log
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -54,6 +57,26 @@ def largest_group(df: DataFrame, keys) -> int:
     return (top[0] if top else 0) or 0
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Equality join in which null keys meet null keys, as they do in groups and windows."""
+    names = {k: f"_right_{k}" for k in keys}
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    return left.join(right.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
+def hot_keys(df: DataFrame, keys, max_rows: int) -> DataFrame | None:
+    """Keys with more than ``max_rows`` rows and their ``_rows``, or None; there are fewer than rows / ``max_rows``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    found = cut_lineage(counts.filter(F.col("_rows") > max_rows))
+    return None if found.isEmpty() else found
+
+
+def apart(df: DataFrame, keys, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``df`` without and with the rows of the hot keys; the few keys are broadcast, so neither side is shuffled."""
+    few = broadcast_if_small(hot.select(*keys))
+    return join_null_safe(df, few, keys, "left_anti"), join_null_safe(df, few, keys, "left_semi")
+
+
 def range_slices(df: DataFrame, order) -> DataFrame:
     """Sort globally by ``order`` and tag rows with ``_slice`` and ``_index`` (position within the slice)."""
     rows = (
@@ -131,31 +154,30 @@ def lowest_by_hash(df: DataFrame, limit: int, order: str, rows: int) -> DataFram
     return df.orderBy(order).limit(limit)
 
 
-def cut_by_key(df: DataFrame, keys, order, max_rows: int) -> tuple[DataFrame, bool]:
-    """``key_slices`` and whether any key had to be cut."""
-    if largest_group(df, keys) <= max_rows:
-        return df.withColumn("_slice", F.lit(0).cast("bigint")), False
-    return range_slices(df, [*keys, *order]).drop("_index"), True
-
+def cut_by_key(df: DataFrame, keys, order, max_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and those of keys with more than ``max_rows`` rows (None without such keys).
 
-def key_slices(df: DataFrame, keys, order, *, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
-    """Add ``_slice`` so that every (keys, _slice) group is a bounded, contiguous run of the key's order.
-
-    When no key exceeds ``max_rows`` the slice is the constant 0: one shuffle by key, nothing else. Otherwise
-    the rows are range partitioned by (keys, order), which splits hot keys wherever they are hot.
+    Both get ``_slice``, so that every (keys, _slice) group is a bounded, contiguous run of its key's order. Ordinary
+    keys are one slice, 0, and take no part in what follows for the hot ones: only the hot keys' rows are range
+    partitioned by (keys, order), which cuts them wherever they are hot, and stored.
     """
-    return cut_by_key(df, keys, order, max_rows)[0]
+    hot = hot_keys(df, keys, max_rows)
+    if hot is None:
+        return df.withColumn("_slice", F.lit(0).cast("bigint")), None
+    rest, heavy = apart(df, keys, hot)
+    return rest.withColumn("_slice", F.lit(0).cast("bigint")), range_slices(heavy, [*keys, *order]).drop("_index")
 
 
 def with_lookback(df: DataFrame, keys, order, rows: int, *, max_rows: int = MAX_ROWS_PER_TASK) -> DataFrame:
-    """``key_slices`` plus, in each slice, copies of the key's ``rows`` preceding rows, marked ``_halo``.
+    """``cut_by_key`` plus, in each slice, copies of the key's ``rows`` preceding rows, marked ``_halo``.
 
     Windows over (keys, _slice) that look back at most ``rows`` rows are then exact on the rows where ``_halo``
-    is false. Only the last ``rows`` rows of a slice are ever copied.
+    is false. Only the last ``rows`` rows of a slice of a hot key are ever copied.
     """
-    cut, sliced = cut_by_key(df, keys, order, max_rows)
-    if not sliced:
-        return cut.withColumn("_halo", F.lit(False))
+    rest, cut = cut_by_key(df, keys, order, max_rows)
+    rest = rest.withColumn("_halo", F.lit(False))
+    if cut is None:
+        return rest
     keys = list(keys)
     from_end = Window.partitionBy(*keys, "_slice").orderBy(*[F.col(c).desc() for c in order])
     tails = cut.withColumn("_back", F.row_number().over(from_end)).filter(F.col("_back") <= rows).drop("_back")
@@ -167,9 +189,11 @@ def with_lookback(df: DataFrame, keys, order, rows: int, *, max_rows: int = MAX_
     plan = plan.filter(F.size("_plan") > 1)
     place = Window.partitionBy(*keys).orderBy(*order)
     halo = (
-        tails.join(plan.select(*keys), keys, "left_semi")
-        .withColumn("_place", F.row_number().over(place))
-        .join(plan, keys)
+        join_null_safe(
+            join_null_safe(tails, plan.select(*keys), keys, "left_semi").withColumn("_place", F.row_number().over(place)),
+            plan,
+            keys,
+        )
         .withColumn(
             "_goal",
             F.explode(
@@ -183,4 +207,4 @@ def with_lookback(df: DataFrame, keys, order, rows: int, *, max_rows: int = MAX_
         .drop("_plan", "_goal", "_place")
         .withColumn("_halo", F.lit(True))
     )
-    return cut.withColumn("_halo", F.lit(False)).unionByName(halo)
+    return rest.unionByName(cut.withColumn("_halo", F.lit(False))).unionByName(halo)

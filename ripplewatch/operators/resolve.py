@@ -11,6 +11,7 @@ from ripplewatch.functions.partitions import (
     broadcast_if_small,
     cut_by_key,
     cut_lineage,
+    join_null_safe,
 )
 
 NEAREST = 5
@@ -174,8 +175,8 @@ def in_effect(
 ) -> DataFrame:
     """As-of join: for each left row the last snapshot of its key with snapshot time <= row time.
 
-    Union, order, and carry forward the last snapshot. Keys too hot for one task are cut along time, with the
-    last snapshot of each earlier slice carried into the next. ``max_age_sec`` drops older snapshots. With
+    Union, order, and carry forward the last snapshot. Keys too hot for one task, and only those, are cut along
+    time, with the last snapshot of each earlier slice carried into the next. ``max_age_sec`` drops older snapshots. With
     ``ordered_ties`` a snapshot at the row's own timestamp counts only if its tie value is not larger.
     """
     packed = F.struct(F.col(ts).alias("snapshot_ts"), *columns)
@@ -189,18 +190,21 @@ def in_effect(
     )
     sequence = ["_ts", "_tie", "_side"] if ordered_ties else ["_ts", "_side", "_tie"]
     both = a.unionByName(b, allowMissingColumns=True)
-    cut, sliced = cut_by_key(both, [key], sequence, max_rows)
+    rest, cut = cut_by_key(both, [key], sequence, max_rows)
     order = Window.partitionBy(key, "_slice").orderBy(*sequence)
-    local = cut.withColumn("_local", F.last("_snap", ignorenulls=True).over(order))
-    out = local.filter(F.col("_side") == 1).withColumn("_found", F.col("_local"))
-    if sliced:
-        ends = cut.groupBy(key, "_slice").agg(
-            F.max_by("_snap", F.when(F.col("_snap").isNotNull(), F.col("_ts"))).alias("_end")
-        )
+
+    def carried_forward(part: DataFrame) -> DataFrame:
+        return part.withColumn("_found", F.last("_snap", ignorenulls=True).over(order)).filter(F.col("_side") == 1)
+
+    out = carried_forward(rest)
+    if cut is not None:
+        place = F.when(F.col("_snap").isNotNull(), F.struct(*sequence))
+        ends = cut.groupBy(key, "_slice").agg(F.max_by("_snap", place).alias("_end"))
         earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
         carried = ends.select(key, "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
         carried = carried.filter(F.col("_carry").isNotNull())
-        out = out.join(carried, [key, "_slice"], "left").withColumn("_found", F.coalesce("_local", "_carry"))
+        heavy = join_null_safe(carried_forward(cut), carried, [key, "_slice"], "left")
+        out = out.unionByName(heavy.withColumn("_found", F.coalesce("_found", "_carry")).drop("_carry"))
     if max_age_sec is not None:
         age = F.timestamp_diff("MICROSECOND", F.col("_found.snapshot_ts"), F.col("_ts")) / 1e6
         out = out.withColumn("_found", F.when(age < max_age_sec, F.col("_found")))

@@ -8,7 +8,7 @@ from pyspark.sql.types import IntegralType
 
 from ripplewatch import settings as S
 from ripplewatch.functions.lookup import epoch_micros, moment
-from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, cut_by_key, range_slices, with_rank
+from ripplewatch.functions.partitions import MAX_ROWS_PER_TASK, cut_by_key, join_null_safe, range_slices, with_rank
 from ripplewatch.functions.quantile import boundary_row, not_after
 
 
@@ -57,30 +57,35 @@ def segments(
     """Maximal runs of true rows: ``start`` and ``end`` (order structs), ``rows`` and ``detected``.
 
     Runs are found inside bounded slices of the order; a run that touches a slice border is then merged with its
-    continuation. At most two runs per slice touch a border, so the merge is small whatever the data is.
+    continuation. At most two runs per slice touch a border, so the merge is small whatever the data is. Keys that
+    fit a task are not cut, and only the columns named here are shuffled.
     """
     keys, order = list(keys), list(order)
+    df = df.select(*dict.fromkeys([*keys, *order, truth, *([pred] if pred else [])]))
     if keys:
-        cut, sliced = cut_by_key(df, keys, order, max_rows)
+        rest, cut = cut_by_key(df, keys, order, max_rows)
     else:
-        cut, sliced = range_slices(df, order).drop("_index"), True
+        rest, cut = None, range_slices(df, order).drop("_index")
     at = F.struct(*order)
-    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-    flag = F.coalesce(F.col(truth).cast("boolean"), F.lit(False))
-    rows = cut.withColumn("_y", flag).withColumn("_start", F.col("_y") & ~F.coalesce(F.lag("_y").over(w), F.lit(False)))
-    rows = rows.withColumn("_run", F.sum(F.col("_start").cast("int")).over(w))
     hit = F.max(F.col(pred).cast("boolean")) if pred else F.lit(None).cast("boolean")
-    runs = rows.filter("_y").groupBy(*keys, "_slice", "_run").agg(
-        F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("rows"), hit.alias("detected")
-    )
-    if not sliced:
-        return runs.drop("_slice", "_run")
+    flag = F.coalesce(F.col(truth).cast("boolean"), F.lit(False))
+
+    def found(part: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        rows = part.withColumn("_y", flag).withColumn("_start", F.col("_y") & ~F.coalesce(F.lag("_y").over(w), F.lit(False)))
+        rows = rows.withColumn("_run", F.sum(F.col("_start").cast("int")).over(w))
+        return rows.filter("_y").groupBy(*keys, "_slice", "_run").agg(
+            F.min(at).alias("start"), F.max(at).alias("end"), F.count(F.lit(1)).alias("rows"), hit.alias("detected")
+        )
+
+    keep = [*keys, "start", "end", "rows", "detected"]
+    if cut is None:
+        return found(rest).select(*keep)
     edges = cut.groupBy(*keys, "_slice").agg(F.min(at).alias("_low"), F.max(at).alias("_high"))
     edges = edges.withColumn("_ordinal", F.row_number().over(Window.partitionBy(*keys).orderBy("_slice")))
-    runs = runs.join(edges, [*keys, "_slice"]).withColumns(
+    runs = join_null_safe(found(cut), edges, [*keys, "_slice"]).withColumns(
         {"_opens": F.col("start") == F.col("_low"), "_closes": F.col("end") == F.col("_high")}
     )
-    keep = [*keys, "start", "end", "rows", "detected"]
     inner = runs.filter(~F.col("_opens") & ~F.col("_closes")).select(*keep)
     border = runs.filter(F.col("_opens") | F.col("_closes"))
     along = Window.partitionBy(*keys).orderBy("start")
@@ -95,7 +100,8 @@ def segments(
         F.min("start").alias("start"), F.max("end").alias("end"), F.sum("rows").alias("rows"),
         F.max("detected").alias("detected"),
     )
-    return inner.unionByName(merged.select(*keep))
+    whole = inner.unionByName(merged.select(*keep))
+    return whole if rest is None else found(rest).select(*keep).unionByName(whole)
 
 
 def rolling_trend(

@@ -157,6 +157,57 @@ def test_prevention_state_both_ways(skewed, limit):
     assert got.count() == len(items)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_cell_functions_compose(seed):
+    """A composed function gives the exit state that walking over all rows gives, from every state at entry."""
+    rng = np.random.default_rng(seed)
+    for trial in range(40):
+        ttl = {1: int(rng.integers(1, 7))} if trial % 2 else {2: 3, 3: int(rng.integers(1, 9)), 4: 5}
+        reach = max(ttl.values())
+        width = 8 * reach if trial % 3 else reach + 1
+        us = np.sort(rng.integers(0, 5 * width, 50))
+        level = rng.choice(list(ttl), 50)
+        whole = None
+        for cell in np.unique(us // width):
+            mine = us // width == cell
+            step = chains.Steps.of_rows(us[mine], level[mine], int(cell) * width + reach, ttl)
+            whole = whole.then(step) if whole else step
+        first = int(us[0] // width) * width
+        for entry in (0, *ttl):
+            for moment in range(first - reach - 1, first):
+                held = (moment, entry) if entry else None
+                for u, v in zip(us.tolist(), level.tolist()):
+                    if held is None or u >= held[0] + ttl[held[1]] or v > held[1]:
+                        held = (u, v)
+                got = whole.exits(entry, np.array([moment]))
+                assert (int(got[0][0]), int(got[1][0])) == held
+
+
+def test_hot_key_goes_through_a_tree(skewed, monkeypatch):
+    """Several levels of functions, with null keys hot as well, give the rows of the plain walk."""
+    monkeypatch.setattr(chains, "FAN_IN", 2)
+    keyed = skewed.withColumn("source_ip", F.when(F.col("k") % 2 == 0, F.col("source_ip")))
+    plain = chains.accepted_rows(keyed, "source_ip", ttl_sec={1: 600})
+    cut = chains.accepted_rows(keyed, "source_ip", ttl_sec={1: 600}, max_group=15)
+    assert plain.filter("source_ip is null").count() > 0
+    assert rows(cut, "source_ip", "ts", "event_id") == rows(plain, "source_ip", "ts", "event_id")
+
+
+def test_only_hot_keys_are_cut(skewed, many_slices):
+    """One hot key is range partitioned and stored; the plan of the others stays what it is without hot keys."""
+    sizes = {r["source_ip"]: r["count"] for r in skewed.groupBy("source_ip").count().collect()}
+    limit = sorted(sizes.values())[-2]
+    plain, none = part.cut_by_key(skewed, ["source_ip"], ["ts", "event_id"], max(sizes.values()))
+    assert none is None and plain.count() == skewed.count()
+    rest, hot = part.cut_by_key(skewed, ["source_ip"], ["ts", "event_id"], limit)
+    assert [r[0] for r in hot.select("source_ip").distinct().collect()] == [max(sizes, key=sizes.get)]
+    assert hot.select("_slice").distinct().count() > 1
+    assert rest.select("_slice").distinct().collect() == [(0,)]
+    assert rows(rest.unionByName(hot), "event_id") == rows(skewed, "event_id")
+    plan = rest._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "hashpartitioning(source_ip" not in plan
+
+
 @pytest.mark.parametrize("points", [[0.0, 0.05, 0.5, 0.95, 1.0]])
 def test_quantiles_when_the_column_is_too_long(spark, skewed, points):
     values = np.array([r["value"] for r in skewed.collect()])
