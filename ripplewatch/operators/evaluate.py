@@ -145,7 +145,8 @@ def evaluate(
 ) -> DataFrame:
     """One row of metrics per registered detector, fitted on benign training rows only.
 
-    Features are standardised with training statistics; the evaluation rows keep their time order.
+    Features are standardised with training statistics; the evaluation rows keep their time order. Scores are cut to 9
+    decimals for the curve, so that equal distances on both sides of a centre tie whatever the order of summing was.
     """
     unknown = [d for d in detectors if d not in DETECTORS]
     if unknown:
@@ -167,7 +168,7 @@ def evaluate(
         detector = DETECTORS[name]
         scored = detector.score(test, detector.fit(train, names))
         scored = scored.select(key, *[c for c in order if c != key], truth, F.col("fired").alias("pred"),
-                               (-F.col("raw_score")).alias("_anomaly"))
+                               F.round(-F.col("raw_score"), 9).alias("_anomaly"))
         scored = cut_lineage(scored)  # read by the counts, the segments and the curve
         metrics = (
             confusion(scored, truth=truth)

@@ -113,7 +113,7 @@ def fuse(
 
 
 def rationale(df: DataFrame, *, verdicts: str = "verdicts") -> DataFrame:
-    """Add the one-line explanation of a fused row."""
+    """Add the one-line explanation of a fused row; numbers are cut to 9 decimals first, so that ties round alike everywhere."""
     v = F.col(verdicts)
     fired = F.filter(v, lambda x: x["fired"])
     sure = F.transform(F.filter(fired, lambda x: x["certainty"] == "confirmed"), lambda x: x["detector"])
@@ -122,13 +122,13 @@ def rationale(df: DataFrame, *, verdicts: str = "verdicts") -> DataFrame:
     )
     many = F.concat(lead, F.lit(" (confirmed via "), F.concat_ws(", ", sure), F.lit(")"))
     parts = F.concat_ws(", ", F.transform(
-        fired, lambda x: F.format_string("%s %.2f x%.2f", x["detector"], x["calibrated_score"], x["reliability"])))
+        fired, lambda x: F.format_string("%s %.2f x%.2f", x["detector"], F.round(x["calibrated_score"], 9), x["reliability"])))
     text = ladder(
         (F.size(v) == 0, F.lit("no detectors reported")),
         (F.size(sure) > 1, many),
         (F.size(sure) == 1, lead),
         (F.size(fired) == 0, F.format_string("%d detector(s) ran, none fired", F.size(v))),
-        default=F.concat(parts, F.format_string(" -> %.2f", F.col("threat_score"))),
+        default=F.concat(parts, F.format_string(" -> %.2f", F.round("threat_score", 9))),
     )
     return df.withColumn("rationale", text)
 

@@ -69,14 +69,14 @@ def alert_content(df: DataFrame, *, asset: str = "source_asset") -> DataFrame:
         (
             kind == "volumetric",
             F.concat(
-                F.format_string("Traffic volume of %s is unusual: score %.3f", name, F.col("volumetric_score")),
+                F.format_string("Traffic volume of %s is unusual: score %.3f", name, F.round("volumetric_score", 9)),
                 F.coalesce(F.concat(F.lit(", mostly from "), driver), F.lit("")),
                 F.lit(". Learned without labels."),
             ),
         ),
         default=F.format_string(
             "Combined evidence puts %s in band %s at threat score %.3f. Channels: %s. %s", name, F.col("band"),
-            F.col("threat_score"), F.concat_ws(", ", "fired_detectors"), F.col("rationale"),
+            F.round("threat_score", 9), F.concat_ws(", ", "fired_detectors"), F.col("rationale"),
         ),
     )
     explanation = F.to_json(

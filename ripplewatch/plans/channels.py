@@ -256,15 +256,28 @@ def threat_bands_by_asset(t):
     )
 
 
-@query(
-    "fusion_rationale",
-    """SELECT event_id, CASE WHEN tripwire_fired THEN 'honeytoken credential used (confirmed)'
-        WHEN n_fired = 0 THEN '5 detector(s) ran, none fired' ELSE 'heuristic' END AS kind FROM fused""",
+def half_up(value: str, digits: int) -> str:
+    """SQL for a number's text with so many decimals, ties away from zero as in the JVM's formatter."""
+    return f"CAST(CAST(round({value}, 9) AS VARCHAR) AS DECIMAL(18, {digits}))::VARCHAR"
+
+
+def _told(name: str, fired: str, score: str) -> str:
+    return f"CASE WHEN {fired} THEN '{name} ' || {half_up(score, 2)} || ' x{S.RELIABILITY[name]:.2f}' END"
+
+
+cte(
+    "rationales",
+    f"""SELECT *, CASE WHEN tripwire_fired THEN 'honeytoken credential used (confirmed)'
+        WHEN n_fired = 0 THEN '5 detector(s) ran, none fired'
+        ELSE concat_ws(', ', {_told("volumetric", "is_anomaly", "volumetric_score")}, {_told("supervised", "supervised_score >= 0.5", "supervised_score")},
+          {_told("signature", "signature_n > 0", "signature_score")}, {_told("beaconing", "beacon_fired", "beacon_score")})
+          || ' -> ' || {half_up("threat_score", 2)} END AS rationale FROM fused""",
 )
+
+
+@query("fusion_rationale", "SELECT event_id, rationale FROM rationales")
 def fusion_rationale(t):
-    rows = fusion.rationale(fused(t))
-    kind = F.when(F.col("rationale").rlike(" -> [01][.][0-9]{2}$"), "heuristic").otherwise(F.col("rationale"))
-    return rows.select("event_id", kind.alias("kind"))
+    return fusion.rationale(fused(t)).select("event_id", "rationale")
 
 
 @query(

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ripplewatch import settings as S
 from ripplewatch.operators import evaluate as E
 from ripplewatch.operators import supervised
-from ripplewatch.plans.catalog import query
+from ripplewatch.plans.catalog import cte, query
 from ripplewatch.plans.ordered import labelled
 
 _COUNTS = """count(*) FILTER (truth AND pred) AS tp, count(*) FILTER (NOT truth AND pred) AS fp,
@@ -153,9 +154,76 @@ def detector_benchmark(t):
     return E.evaluate(t.flows.withColumn("truth", F.col("is_attack")))
 
 
-@query("detector_benchmark_segments")
+_Z = [f"z_{f}" for f in S.FEATURES]
+cte(
+    "bench_split",
+    """SELECT *, NOT is_attack AND row_number() OVER (PARTITION BY is_attack ORDER BY md5('42|' || event_id))
+       <= floor(count(*) OVER (PARTITION BY is_attack) * 0.5::DOUBLE) AS train FROM flows""",
+)
+cte(
+    "bench_scale",
+    "SELECT " + ", ".join(f"avg({f}) AS m_{f}, CASE WHEN stddev_pop({f}) = 0 THEN 1 ELSE stddev_pop({f}) END AS s_{f}" for f in S.FEATURES)
+    + " FROM bench_split WHERE train",
+)
+cte(
+    "bench_rows",
+    "SELECT event_id, ts, is_attack AS truth, train, " + ", ".join(f"({f} - m_{f}) / s_{f} AS z_{f}" for f in S.FEATURES)
+    + " FROM bench_split CROSS JOIN bench_scale",
+)
+cte(
+    "bench_fit",
+    "SELECT " + ", ".join(f"avg({z}) AS c_{z}, CASE WHEN stddev_pop({z}) = 0 THEN 1 ELSE stddev_pop({z}) END AS s_{z}, median({z}) AS m_{z}" for z in _Z)
+    + " FROM bench_rows WHERE train",
+)
+cte(
+    "bench_dev",
+    "SELECT " + ", ".join(f"CASE WHEN median(abs({z} - m_{z})) = 0 THEN 1 ELSE median(abs({z} - m_{z})) END AS d_{z}" for z in _Z)
+    + " FROM bench_rows CROSS JOIN bench_fit WHERE train",
+)
+cte(
+    "bench_scored",
+    f"""SELECT *, anomaly > edge AS pred FROM (
+        SELECT 'zscore' AS detector, 3.0 AS edge, event_id, ts, truth, greatest({", ".join(f"abs(({z} - c_{z}) / s_{z})" for z in _Z)}) AS anomaly
+          FROM bench_rows CROSS JOIN bench_fit WHERE NOT train
+        UNION ALL SELECT 'mad', 3.5, event_id, ts, truth, greatest({", ".join(f"abs(0.6745 * (({z} - m_{z}) / d_{z}))" for z in _Z)})
+          FROM bench_rows CROSS JOIN bench_fit CROSS JOIN bench_dev WHERE NOT train)""",
+)
+cte(
+    "bench_auc",
+    """SELECT detector, sum(n)::BIGINT AS eval_rows, (sum(p * (upto - n + (n + 1) / 2.0::DOUBLE)) - sum(p) * (sum(p) + 1) / 2) / (sum(p) * sum(n - p)) AS auc FROM (
+         SELECT *, sum(n) OVER (PARTITION BY detector ORDER BY anomaly) AS upto FROM (
+           SELECT detector, round(anomaly, 9) AS anomaly, count(*) AS n, count(*) FILTER (truth) AS p FROM bench_scored GROUP BY ALL)) GROUP BY detector""",
+)
+_F1 = "CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1"
+
+
+def _points(t, scoring):
+    return E.evaluate(t.flows.withColumn("truth", F.col("is_attack")), ("zscore", "mad"), scoring=scoring)
+
+
+@query(
+    "detector_benchmark_points",
+    f"""SELECT detector, 'pointwise' AS scoring, precision, recall, {_F1}, auc, eval_rows FROM (
+         SELECT detector, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall
+         FROM (SELECT detector, {_COUNTS} FROM bench_scored GROUP BY detector)) JOIN bench_auc USING (detector)""",
+)
+def detector_benchmark_points(t):
+    """The two detectors without random trees, point-wise."""
+    return _points(t, "pointwise")
+
+
+@query(
+    "detector_benchmark_segments",
+    f"""WITH runs AS (SELECT detector, seg, bool_or(pred) AS hit FROM (
+           SELECT *, sum(start) OVER (PARTITION BY detector ORDER BY ts, event_id) AS seg FROM (
+             SELECT *, CASE WHEN truth AND NOT coalesce(lag(truth) OVER (PARTITION BY detector ORDER BY ts, event_id), FALSE) THEN 1 ELSE 0 END AS start
+             FROM bench_scored)) WHERE truth GROUP BY detector, seg)
+        SELECT detector, 'segment' AS scoring, precision, recall, {_F1}, auc, eval_rows FROM (
+          SELECT detector, coalesce(tp / nullif(tp + fp, 0), 0) AS precision FROM (SELECT detector, {_COUNTS} FROM bench_scored GROUP BY detector))
+        JOIN (SELECT detector, count(*) FILTER (hit) / count(*) AS recall FROM runs GROUP BY detector) USING (detector) JOIN bench_auc USING (detector)""",
+)
 def detector_benchmark_segments(t):
-    return E.evaluate(t.flows.withColumn("truth", F.col("is_attack")), ("zscore", "mad"), scoring="segment")
+    return _points(t, "segment")
 
 
 @query("supervised_scores")

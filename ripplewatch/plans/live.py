@@ -98,9 +98,28 @@ def live_debounce(t):
     return out.select("event_id", "source_ip")
 
 
-@query("live_prevention")
+_LIFE = f"CASE lvl WHEN 2 THEN {TTL[0]} WHEN 3 THEN {TTL[1]} WHEN 4 THEN {TTL[2]} ELSE 0 END"
+
+
+@query(
+    "live_prevention",
+    f"""WITH steps AS (SELECT source_ip AS source_asset, event_id, epoch_us(ts) AS us, CASE WHEN k >= 90 THEN 4 WHEN k >= 60 THEN 3 WHEN k >= 20 THEN 2 ELSE 1 END AS lvl,
+          row_number() OVER (PARTITION BY source_ip ORDER BY ts, event_id) AS rn FROM flows),
+        timed AS (SELECT *, us + ({_LIFE})::BIGINT * 1000000 AS ends FROM steps),
+        state AS (SELECT *, TRUE AS written, CASE WHEN lvl >= 2 THEN lvl ELSE 0 END AS cur, ends AS cur_ends FROM timed WHERE rn = 1
+          UNION ALL SELECT t.*, NOT (s.cur >= t.lvl AND s.cur_ends > t.us),
+            CASE WHEN s.cur >= t.lvl AND s.cur_ends > t.us THEN s.cur WHEN t.lvl >= 2 THEN t.lvl ELSE 0 END,
+            CASE WHEN s.cur >= t.lvl AND s.cur_ends > t.us THEN s.cur_ends ELSE t.ends END
+          FROM state s JOIN timed t ON t.source_asset = s.source_asset AND t.rn = s.rn + 1),
+        lives AS (SELECT source_asset, event_id, ends, lead(us) OVER (PARTITION BY source_asset ORDER BY rn) AS next_us FROM state WHERE written AND lvl >= 2),
+        ended AS (SELECT l.*, (SELECT max(us) FROM steps) AS newest, a.last FROM lives l JOIN (SELECT source_asset, max(us) AS last FROM steps GROUP BY ALL) a USING (source_asset))
+        SELECT source_asset, event_id, CASE WHEN written THEN 'written' ELSE 'suppressed' END AS outcome, us FROM state
+        UNION ALL SELECT source_asset, event_id, 'superseded', next_us FROM ended WHERE next_us < ends
+        UNION ALL SELECT source_asset, event_id, 'expired', ends FROM ended
+          WHERE coalesce(next_us >= ends, TRUE) AND (ends <= last OR ends // 1000 < newest // 1000 - 600000)""",
+)
 def live_prevention(t):
-    """Prevention state of all flows with event-time expiry; the batch form is checked by SQL, this one against it in tests."""
+    """Prevention state of all flows with event-time expiry: by the asset's next row, or by the watermark once it is silent."""
     action = F.when(F.col("k") >= 90, "quarantine").when(F.col("k") >= 60, "block").when(F.col("k") >= 20, "rate_limit")
     rows = stream(t).select("event_id", "ts", F.col("source_ip").alias("source_asset"), action.otherwise("alert").alias("prevention"))
     return ingest.run_available(state.prevention_stream(rows, ttl=TTL), t.spark, "prevention").select(

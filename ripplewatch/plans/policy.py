@@ -7,7 +7,7 @@ from ripplewatch.operators import policy
 from ripplewatch.operators.chains import debounce
 from ripplewatch.operators.fusion import rationale
 from ripplewatch.plans.catalog import cte, query
-from ripplewatch.plans.channels import fused
+from ripplewatch.plans.channels import fused, half_up
 
 POLICY = {"volumetric_enabled": True, "score_floor": 0.8, "hybrid_enabled": True}
 HALF_DAY = 43_200
@@ -59,11 +59,31 @@ def alerts(t):
     return out.select("event_id", "source_asset", "alert_kind", "severity", "title")
 
 
-@query("alert_details")
+_TOLD = "threat_score double, band string, action string, rationale string, verdicts array<struct<detector: string, fired: boolean>>"
+
+
+@query(
+    "alert_details",
+    f"""WITH {_greedy('alert_candidates', 'source_asset', HALF_DAY)}
+        SELECT c.event_id, round(c.threat_score, 6) AS threat_score, c.band, c.fused_action AS action, r.rationale,
+          'volumetric:' || c.is_anomaly || ' tripwire:' || c.tripwire_fired || ' supervised:' || (c.supervised_score >= 0.5) ||
+            ' signature:' || (c.signature_n > 0) || ' beaconing:' || c.beacon_fired AS verdicts,
+          CASE c.alert_kind WHEN 'tripwire' THEN c.source_asset || ' took part in traffic that presented a planted credential. Nobody is ever given that credential, so its use proves an intrusion.'
+            WHEN 'volumetric' THEN 'Traffic volume of ' || c.source_asset || ' is unusual: score ' || {half_up("c.volumetric_score", 3)} || '. Learned without labels.'
+            ELSE 'Combined evidence puts ' || c.source_asset || ' in band ' || c.band || ' at threat score ' || {half_up("c.threat_score", 3)} || '. Channels: ' ||
+              concat_ws(', ', CASE WHEN c.supervised_score >= 0.5 THEN 'supervised' END, CASE WHEN c.signature_n > 0 THEN 'signature' END,
+                CASE WHEN c.beacon_fired THEN 'beaconing' END) || '. ' || r.rationale END AS detail
+        FROM walk w JOIN alert_candidates c USING (event_id) JOIN rationales r USING (event_id) WHERE ok""",
+)
 def alert_details(t):
-    """Text and JSON content; number formatting is engine specific, so this one is checked in unit tests."""
+    """The detail text, and the JSON explanation read back into columns."""
     out = policy.alert_content(rationale(_alerts(t)))
-    return out.select("event_id", "detail", "explanation")
+    out = out.select("event_id", "detail", F.from_json("explanation", _TOLD).alias("told"))
+    fired = F.transform("told.verdicts", lambda v: F.concat_ws(":", v["detector"], v["fired"].cast("string")))
+    return out.select(
+        "event_id", "detail", F.round("told.threat_score", 6).alias("threat_score"), "told.band", "told.action",
+        "told.rationale", F.array_join(fired, " ").alias("verdicts"),
+    )
 
 
 @query(
