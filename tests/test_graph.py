@@ -2,6 +2,7 @@ import random
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from ripplewatch import inventory as inv
 from ripplewatch.operators import cascade as C
@@ -142,3 +143,18 @@ def test_distances_go_as_far_as_the_graph(spark):
     assert found == {f"N{k:03d}": k for k in range(n + 1)}
     with pytest.warns(UserWarning):
         assert G.hop_distances(graph, origin, max_depth=5).count() == 6
+
+
+def test_packed_paths_and_rows_that_are_not_shuffled(spark):
+    """Rows of single origins are unpacked after the last shuffle, and paths of 64 origins at a time are those of the distances."""
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(110)]
+    graph = spark.createDataFrame(pairs, "src string, tgt string")
+    origins = G.graph_nodes(graph).withColumnRenamed("name", "origin")
+    found = G.hop_distances(graph, origins)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "hashpartitioning(word" in plan.split("explode(")[1]
+    assert not any("Exchange hashpartitioning" in x for x in plan.split("explode(")[0].splitlines())
+    ends = origins.select(F.col("origin").alias("name")).filter("name like '%7'")
+    want = G.path_edges(found, found.filter("node like '%7'"))
+    assert rows(G.paths_to(graph, origins, ends), "origin", "node", "parent") == rows(want, "origin", "node", "parent") != []
