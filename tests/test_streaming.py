@@ -184,6 +184,18 @@ def test_the_drift_channel_joins_the_fusion(tables):
         assert r["threat_score"] == pytest.approx(wanted, abs=1e-12)
 
 
+def test_an_ended_action_ends_once(spark, tables, tmp_path):
+    """When a batch leaves no active action, the next one does not meet those of the batch before."""
+    job = ingest.Ingest(str(tmp_path / "tables"), tables.registry, score=lambda df: df, prevention=True, ttl=(60, 60, 60))
+    row = "'a', true, 3, 'confirmed', 1.0D, 0.6D"
+    for batch_id, minute in enumerate((0, 10, 20)):
+        last = spark.sql(f"SELECT timestamp'2024-01-01 00:{minute:02d}:00' AS t").first()[0]
+        done = spark.sql(f"SELECT {batch_id}L AS event_id, s AS source_asset, timestamp'2024-01-01 00:{minute:02d}:00' AS ts, c AS has_confirmed, n AS n_fired, b AS band, x AS threat_score, y AS source_criticality FROM VALUES ({row}) AS v(s, c, n, b, x, y)")
+        job._actions(spark, done if batch_id == 0 else done.limit(0), batch_id, {"last": last})
+    actions = spark.read.parquet(job.path("actions"))
+    assert rows(actions, "event_id", "outcome", "batch_id") == [(0, "expired", 1), (0, "written", 0)]
+
+
 def test_the_whole_batch_is_idempotent(spark, tables, tmp_path):
     """A batch that is processed twice under its number leaves snapshots, alerts, actions and counters as they were."""
     from ripplewatch import inventory as inv
