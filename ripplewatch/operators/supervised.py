@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
+from ripplewatch.functions.partitions import cut_lineage
 from ripplewatch.operators.evaluate import confusion, guard_split, roc_auc
 from ripplewatch.operators.sequence import temporal_split
 
@@ -61,7 +62,8 @@ def temporal_split_evaluate(
     train, test = split.filter(F.col("part") == "train"), split.filter(F.col("part") == "test")
     guard_split(test, truth=truth)
     model = fit_supervised(train, truth=truth, trees=trees, depth=depth, seed=seed)
-    scored = score_supervised(test, model).select(truth, "supervised_score", "supervised_fired")
+    # Read once for the counts and more than once for the curve; the forest is applied once.
+    scored = cut_lineage(score_supervised(test, model).select(truth, "supervised_score", "supervised_fired"))
     metrics = confusion(scored, truth=truth, pred="supervised_fired").withColumn("_one", F.lit(1))
     auc = roc_auc(scored, score="supervised_score", truth=truth).select("auc", F.lit(1).alias("_one"))
     return metrics.join(auc, "_one").drop("_one")
