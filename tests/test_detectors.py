@@ -337,3 +337,26 @@ def test_a_bundle_scores_as_before_and_is_refused_where_it_does_not_fit(spark, s
     bundle.save_bundle(other, path, flows)
     with pytest.raises(bundle.BundleRefused, match="beside a scaler"):
         bundle.load_bundle(spark, path, flows)
+
+
+def test_signatures_and_score_rows_stay_in_generated_code(small_flows):
+    """No higher-order function, which would be interpreted for every row, and no failing cast of an empty text."""
+    from ripplewatch.functions.partitions import cut_lineage
+    from ripplewatch.operators import fusion, resolve, signature, volumetric
+
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    flows = signature.signature_verdicts(volumetric.two_channel_confidence(volumetric.tripwire(small_flows)))
+    assert "lambda" not in plan(flows)
+    stored = cut_lineage(fusion.fuse(fusion.collect_verdicts(flows, beaconing=False, drift=False)))
+    assert "lambda" not in plan(fusion.score_rows(stored))
+    hosts = small_flows.select(resolve._host(F.col("destination_ip")).alias("host"))
+    assert "CASE WHEN" in plan(hosts) and 0 < hosts.filter("host IS NULL").count() < hosts.count()
+
+
+def test_the_test_part_is_scored_once(small_flows):
+    from ripplewatch.operators import supervised
+
+    out = supervised.temporal_split_evaluate(small_flows.drop("supervised_score"), trees=2, depth=2)
+    assert "UDF" not in out._jdf.queryExecution().optimizedPlan().toString() and out.count() == 1
