@@ -1,51 +1,31 @@
 """Supervised channel: a class-balanced random forest over seven flow features."""
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
 from ripplewatch.functions.partitions import cut_lineage
+from ripplewatch.operators import histforest
 from ripplewatch.operators.evaluate import confusion, guard_split, roc_auc
+from ripplewatch.operators.histforest import SupervisedModel
 from ripplewatch.operators.sequence import temporal_split
 
 
 def fit_supervised(
     df: DataFrame, *, features=S.SUPERVISED_FEATURES, truth: str = "is_attack", trees: int = 100, depth: int = 10,
-    seed: int = S.SEED,
-) -> PipelineModel:
+    seed: int = S.SEED, key: str = "event_id",
+) -> SupervisedModel:
     """Fit with row weights n / (2 * class size), so both classes carry the same total weight."""
-    counts = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(truth)).alias("p")).first()
-    n, p = counts["n"], counts["p"]
-    if p == 0 or p == n:
-        raise ValueError("training needs rows of both classes")
-    weighted = df.select(
-        *[F.col(f).cast("double").alias(f) for f in features],
-        F.col(truth).cast("double").alias("label"),
-        F.when(F.col(truth), n / (2.0 * p)).otherwise(n / (2.0 * (n - p))).alias("weight"),
-    )
-    forest = RandomForestClassifier(
-        featuresCol="x", labelCol="label", weightCol="weight", numTrees=trees, maxDepth=depth, seed=seed
-    )
-    fitted = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="x"), forest]).fit(weighted)
-    # Copies leave the training summary behind: it holds the session, which cannot be sent to tasks once it has counted
-    # an ``Observation``.
-    return PipelineModel([stage.copy() for stage in fitted.stages])
+    return histforest.fit(df, features, truth=truth, key=key, trees=trees, depth=depth, seed=seed)
 
 
-def score_supervised(df: DataFrame, model: PipelineModel, *, threshold: float = 0.5) -> DataFrame:
+def score_supervised(df: DataFrame, model: SupervisedModel, *, threshold: float = 0.5) -> DataFrame:
     """Add ``supervised_score`` = P(attack) and ``supervised_fired``."""
-    features = model.stages[0].getInputCols()
-    missing = [f for f in features if f not in df.columns]
+    missing = [f for f in model.features if f not in df.columns]
     if missing:
-        raise ValueError(f"model expects features {features}; missing {missing}")
-    out = model.transform(df).withColumn("supervised_score", vector_to_array("probability")[1])
-    return out.withColumn("supervised_fired", F.col("supervised_score") >= threshold).drop(
-        "x", "rawPrediction", "probability", "prediction"
-    )
+        raise ValueError(f"model expects features {list(model.features)}; missing {missing}")
+    out = histforest.score(df, model, "supervised_score")
+    return out.withColumn("supervised_fired", F.col("supervised_score") >= threshold)
 
 
 def temporal_split_evaluate(

@@ -1,4 +1,4 @@
-"""Fitted scorers as one folder: scaler, forest, supervised pipeline and warm-up facts under one manifest.
+"""Fitted scorers as one folder: scaler, forest, supervised forest and warm-up facts under one manifest.
 
 The manifest is written last and names a fingerprint of the features and their types. Loading never fits anything: it
 refuses a folder that is incomplete, of another layout or day, or fitted on other features or types than the rows to score.
@@ -8,16 +8,17 @@ import hashlib
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplewatch import settings as S
+from ripplewatch.operators import histforest
+from ripplewatch.operators.histforest import SupervisedModel
 from ripplewatch.operators.iforest import ForestModel, fit_warmup, load_model, save_model, score_iforest
 from ripplewatch.operators.supervised import fit_supervised, score_supervised
 from ripplewatch.operators.volumetric import FeatureStats, apply_scaler
 
-LAYOUT = 1
+LAYOUT = 2
 _MANIFEST = "layout int, fingerprint string, day string, supervised boolean, written_with string"
 _SCALER = "position int, name string, centre double, spread double, degenerate boolean"
 _WARMUP = "rows bigint, attacks bigint, first_ts timestamp_ntz, last_ts timestamp_ntz"
@@ -34,11 +35,11 @@ class Bundle:
     scaler: list[FeatureStats]
     forest: ForestModel
     warmup: dict
-    supervised: PipelineModel | None = None
+    supervised: SupervisedModel | None = None
 
     @property
     def features(self) -> list[str]:
-        own = self.supervised.stages[0].getInputCols() if self.supervised else []
+        own = self.supervised.features if self.supervised else []
         return [s.name for s in self.scaler] + list(own)
 
 
@@ -69,7 +70,7 @@ def save_bundle(bundle: Bundle, path: str, like: DataFrame, *, day: str = "") ->
     spark.createDataFrame(facts, _WARMUP).write.mode("overwrite").parquet(f"{path}/warmup")
     save_model(spark, bundle.forest, f"{path}/forest", day=day)
     if bundle.supervised:
-        bundle.supervised.write().overwrite().save(f"{path}/supervised")
+        histforest.save_model(spark, bundle.supervised, f"{path}/supervised")
     manifest = [(LAYOUT, fingerprint(like, bundle.features), day, bundle.supervised is not None, spark.version)]
     spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
@@ -89,7 +90,7 @@ def load_bundle(spark: SparkSession, path: str, like: DataFrame, *, day: str | N
     forest = load_model(spark, f"{path}/forest")
     if list(forest.features) != [f"z_{s.name}" for s in scaler]:
         raise BundleRefused(f"forest of {list(forest.features)} beside a scaler of {[s.name for s in scaler]}")
-    supervised = PipelineModel.load(f"{path}/supervised") if manifest["supervised"] else None
+    supervised = histforest.load_model(spark, f"{path}/supervised") if manifest["supervised"] else None
     warmup = spark.read.parquet(f"{path}/warmup").first().asDict()
     bundle = Bundle(scaler, forest, warmup, supervised)
     if fingerprint(like, bundle.features) != manifest["fingerprint"]:

@@ -312,6 +312,51 @@ def test_supervised_beats_chance_and_refuses_one_class(small_flows):
         supervised.fit_supervised(df.filter("is_attack"))
 
 
+def test_supervised_forest_counts_every_row_whatever_the_partitioning(spark, small_flows):
+    """Equal forests from one and from seven partitions; a leaf holds the class shares of all rows drawn into it."""
+    from ripplewatch.operators import histforest
+
+    flows = small_flows.drop("supervised_score")
+    one, seven = (supervised.fit_supervised(flows.repartition(k), trees=6, depth=4) for k in (1, 7))
+    assert one.cuts == seven.cuts
+    assert all((getattr(one, part) == getattr(seven, part)).all() for part in ("feature", "cut", "leaf"))
+    names, n = [F.col(f).cast("double") for f in one.features], flows.count()
+    found = flows.select(F.xxhash64(F.lit(42), "event_id"), "is_attack", *names).collect()
+    identity = np.array([r[0] for r in found], dtype=np.int64).view(np.uint64)
+    attack, points = np.array([r[1] for r in found]), np.array([tuple(r)[2:] for r in found])
+    flat, weight = histforest._bins(points, one.cuts).ravel(), np.where(attack, n / 2 / attack.sum(), n / 2 / (~attack).sum())
+    for t in range(6):
+        times = histforest._times(identity, t // 4, histforest._poisson())[:, t % 4] * weight
+        at = histforest._descend(flat, np.arange(n), n, one.feature[t], one.cut[t], 4)
+        all_, hits = (np.bincount(at, times * y, 16) for y in (np.ones(n), attack))
+        used = all_ > 0
+        assert used.sum() > 2 and one.leaf[t][used] == pytest.approx(hits[used] / all_[used])
+    blocks = histforest._blocks(
+        spark.range(100_000).repartition(1).select("id", F.lit(True), *[F.col("id").cast("double").alias(f) for f in one.features]), one.cuts, 100_000
+    )
+    held = blocks.rdd.glom().map(lambda part: sum(len(r["label"]) for r in part)).collect()
+    assert sum(held) == 100_000 and max(held) < 40_000  # a file in one split does not leave the passes to one task
+
+
+def test_supervised_forest_is_as_good_as_mllib(small_flows):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    flows = small_flows.drop("supervised_score")
+    share = flows.agg(F.avg(F.col("is_attack").cast("double"))).first()[0]
+    features = list(supervised.S.SUPERVISED_FEATURES)
+    ready = VectorAssembler(inputCols=features, outputCol="x").transform(flows).withColumns(
+        {"label": F.col("is_attack").cast("double"), "w": F.when(F.col("is_attack"), 0.5 / share).otherwise(0.5 / (1 - share))})
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="w", numTrees=20, maxDepth=5, seed=42).fit(ready).copy()
+    theirs = forest.transform(ready).select("event_id", vector_to_array("probability")[1].alias("theirs"), "is_attack")
+    ours = supervised.score_supervised(flows, supervised.fit_supervised(flows, trees=20, depth=5))
+    both = ours.select("event_id", "supervised_score").join(theirs, "event_id")
+    auc = [evaluate.roc_auc(both, score=c, truth="is_attack").first()["auc"] for c in ("supervised_score", "theirs")]
+    mean = both.agg(F.avg("supervised_score"), F.avg("theirs")).first()
+    assert abs(auc[0] - auc[1]) < 0.05 and abs(mean[0] - mean[1]) < 0.02
+
+
 def test_a_bundle_scores_as_before_and_is_refused_where_it_does_not_fit(spark, small_flows, tmp_path):
     from ripplewatch.sources import bundle
 
