@@ -174,6 +174,38 @@ def test_drift_verdicts_match_batch(spark, small_flows, tmp_path):
     assert {r["abstained"] for r in got} >= {None, "baseline_not_fitted", "insufficient_edges"}
 
 
+def test_a_drift_batch_is_evaluated_once(spark, small_flows, tmp_path):
+    seen, calls = small_flows.count(), spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    columns = small_flows.select("source_ip", "destination_ip", "ts", "bytes")
+    DriftState(str(tmp_path / "once")).process_batch(columns.mapInPandas(passed, columns.schema), 0)
+    assert calls.value == seen
+
+
+def test_deliveries_are_whole_and_spread_over_tasks(spark, tables, tmp_path, monkeypatch):
+    """Every event arrives in its part, the fifth part twice; a table in one split gives micro-batches of several tasks."""
+    monkeypatch.setattr(live, "PART_ROWS", 10)
+    got = {}
+
+    def process(batch, batch_id):
+        got[batch_id] = (batch.rdd.getNumPartitions(), rows(batch, "event_id"))
+
+    assert tables.events.rdd.getNumPartitions() == 1
+    live.deliver(tables, str(tmp_path), process)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    a, b = tables.events.agg(F.min(us), F.max(us)).first()
+    part = F.least(F.lit(live.PARTS - 1), F.floor((us - a) * live.PARTS / (b - a)))
+    for n, k in enumerate([*range(live.PARTS), 4]):
+        tasks, ids = got[n]
+        assert ids == rows(tables.events.filter(part == k), "event_id") and tasks > 1
+    assert len(got) == live.PARTS + 1
+
+
 def test_the_drift_channel_joins_the_fusion(tables):
     six = {r["event_id"]: r for r in live.live_six_channels(tables).collect()}
     five = {r["event_id"]: r for r in ingest.Ingest("", tables.registry, score=lambda df: df).fused(tables.flows).collect()}
