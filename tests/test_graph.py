@@ -158,3 +158,22 @@ def test_packed_paths_and_rows_that_are_not_shuffled(spark):
     ends = origins.select(F.col("origin").alias("name")).filter("name like '%7'")
     want = G.path_edges(found, found.filter("node like '%7'"))
     assert rows(G.paths_to(graph, origins, ends), "origin", "node", "parent") == rows(want, "origin", "node", "parent") != []
+
+
+def test_paths_are_searched_from_the_smaller_side(spark, monkeypatch):
+    """From the targets, a row for each pair with one, and back from the origins; both as in the distances."""
+    rng = random.Random(8)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(100)] + [("n1", "n1"), ("x", "y")]
+    graph = spark.createDataFrame(pairs, "src string, tgt string")
+    origins = G.graph_nodes(graph).withColumnRenamed("name", "origin")
+    found = G.hop_distances(graph, origins)
+    few, many = origins.select(F.col("origin").alias("name")).filter("name like '%7' or name = 'x'"), origins.filter("origin like '%3'")
+    names = ("origin", "node", "parent")
+    want = rows(G.path_edges(found, found.filter("node like '%7' or node = 'x'")), *names)
+    with monkeypatch.context() as m:
+        m.setattr(G, "_levels", None)  # no search that is packed by origins
+        assert rows(G.paths_to(graph, origins, few), *names) == want != []
+        with pytest.warns(UserWarning):
+            G.paths_to(graph, origins, few, max_depth=1)
+    back = found.join(many, "origin", "left_semi")
+    assert rows(G.paths_to(graph, many, origins.select(F.col("origin").alias("name"))), *names) == rows(G.path_edges(back, back), *names) != []
