@@ -347,3 +347,21 @@ def test_long_words_of_two_letters_are_told_apart(spark):
     texts = [(1, f"one two three {word} five"), (2, f"one two three {other} five"), (3, f"one two three {word} five")]
     got = ngramjoin.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_texts_outside_clusters_are_not_shuffled(spark, docs, monkeypatch):
+    """Neither to fetch the sets of clusters nor to keep one row of each component, however Spark guesses sizes."""
+    fetch, plans = ngramjoin._fetch, []
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ngramjoin, "_fetch", lambda *a: plans.append(fetch(*a)) or plans[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        once = docs.filter("doc_id is null or doc_id != 410")
+        kept = ngramjoin.representatives(once)
+        assert "Exchange hashpartitioning" not in text(kept) and "SortMergeJoin" not in text(kept)
+        assert "Exchange hashpartitioning" not in text(plans[0]) and "SortMergeJoin" not in text(plans[0])
+        few = sorted((tuple(r) for r in kept.collect()), key=repr)
+        monkeypatch.setattr(ngramjoin, "MOST_SENT", 0)
+        assert sorted((tuple(r) for r in ngramjoin.representatives(once).collect()), key=repr) == few != []
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
